@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,20 @@ def threads() -> None:
     """One thread for linear algebra: tasks already fill the cores."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the session's Python workers this package, once for an application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="codelattice-")) / "codelattice_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.add(application)
