@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, funcdocs, leakage, mixing, provenance, spam, syntax
+from . import ann, chunking, funcdocs, leakage, mixing, neardup, provenance, spam, syntax
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,12 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(funcdocs.found, "docs"),
         "p1_function_docs": _on(funcdocs.function_docs, "docs"),
+        "p2_found": _on(neardup.found, "docs"),
+        "p2_classes": _on(neardup.classes, "docs"),
         "p3_found": _on(syntax.invalid, "docs"),
         "p3_rates": _on(syntax.invalid_rates, "docs"),
+        "p4_found": _on(ann.found, "tree_nodes"),
+        "p4_neighbours": _on(ann.neighbours, "tree_nodes"),
         "p5_found": _on(chunking.found, "docs", "tree_nodes", "size_limits"),
         "p5_pieces": _on(chunking.split_all, "docs", "tree_nodes", "size_limits"),
         "p6_found": _on(provenance.found, "docs"),
