@@ -121,6 +121,7 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
 
 def items_of(docs: DataFrame, tree_nodes: DataFrame) -> DataFrame:
     """The code of docs, and code and description of tree_nodes, as (field_name, item_key, text)."""
+    docs, tree_nodes = picked(docs, "doc_id", "code"), picked(tree_nodes, "node_key", "graph_node_data")
     code = docs.select(F.lit("docs.code").alias("field_name"), F.col("doc_id").alias("item_key"), F.col("code").alias("text"))
     data = F.col("graph_node_data")
     nodes = tree_nodes.select(

@@ -17,9 +17,13 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, in lower-cased exact spelling: columns that differ from them by case alone, or any other
-    extra columns, take no part."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns.  A column is taken by its exact name, else by its name in another case; columns that differ from
+    it by case alone, or any other extra columns, take no part."""
+    have = df.columns
+    at = [have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names]
+    if len({c.lower() for c in have}) < len(have):
+        df = df.toDF(*(f"_{i}" for i in range(len(have))))
+    return df.select(*(F.col(f"`{df.columns[i]}`").alias(n) for i, n in zip(at, names)))
 
 
 def batches(rows: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
