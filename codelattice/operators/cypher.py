@@ -384,11 +384,11 @@ class Parser:
 
 
 def _walk(e: Any, visit: Callable[[tuple], None]) -> None:
-    if isinstance(e, tuple):
+    if isinstance(e, tuple) and e and isinstance(e[0], str):
         visit(e)
         for x in e[1:]:
             _walk(x, visit)
-    elif isinstance(e, list):
+    elif isinstance(e, (tuple, list)):
         for x in e:
             _walk(x, visit)
 
