@@ -2,8 +2,9 @@
 
 Method: exact set-similarity join with set-relation skipping.  Equal sets are answered once.  Index lists hold the rarest part of
 each set, sorted by set size, with the place of the entry in its set; whole stretches of a list are skipped once sizes are too
-far apart, and entries by the bound their places give.  Candidate pairs are verified per set, and the overlap with a set is
-derived from the overlap with a highly similar one and their difference.
+far apart, and entries by the bound their places give.  That part is long enough that similar sets must meet in several lists, in
+more the larger they are.  Pairs that do are verified per set, and the overlap with a set is derived from the overlap with a highly
+similar one and their difference.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import WORD, picked, with_code
 SIMILARITY, SHINGLE = 0.7, 3
 #: Counters of the shingle frequencies, a table of fixed size; they only decide the order of a set's members.
 COUNTERS = 1 << 17
+#: For each so many members of a set one more meeting is asked for.
+MEETING = 12
 #: Longer index lists are worked on in blocks of this many entries.
 LIST_BLOCK = 20_000
 #: Places of the filter that tells which records' texts verification may need, a table of fixed size.
@@ -59,6 +62,16 @@ def _least_overlap(a, b, t: float):
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
+def meetings(size):
+    """In how many lists sets of this size and any other similar one at least meet: the rare part of each set has as many members more
+    than one meeting would need, so two sets with enough in common share at least the smaller set's number of rare members."""
+    return 1 + size // MEETING
+
+
+def rare_length(size: int, t: float) -> int:
+    return min(size, size - int(np.ceil(t * size - 1e-9)) + meetings(size))
+
+
 def _counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.int64)
     for batch in it:
@@ -83,9 +96,9 @@ def _setter(frequency, t: float):
                     continue
                 order = np.argsort(counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 docs.append(doc)
-                ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                ids.append(_number(s))
                 sizes.append(n)
-                rare.append(s[order[: n - int(np.ceil(t * n - 1e-9)) + 1]].view(np.int64))
+                rare.append(s[order[: rare_length(n, t)]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], schema=_SETS)
 
     return run
@@ -124,7 +137,7 @@ def _poster(frequency, hot: int):
     return run
 
 
-_PAIRS = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64())])
+_PAIRS = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("met", pa.int32()), ("least", pa.int32())])
 
 
 def list_pairs(key, ids, size, place, side, t: float) -> Iterator[np.ndarray]:
@@ -144,7 +157,7 @@ def list_pairs(key, ids, size, place, side, t: float) -> Iterator[np.ndarray]:
         fit = (most >= _least_overlap(size[at].astype(np.float64), size[other], t)) & ((side[at] == 0) | (side[at] != side[other])) & (ids[at] != ids[other])
         if fit.any():
             a, b = ids[at[fit]], ids[other[fit]]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+            yield np.stack([np.minimum(a, b), np.maximum(a, b), meetings(np.minimum(size[at[fit]], size[other[fit]])).astype(np.int64)], axis=1)
         distance += 1
 
 
@@ -187,8 +200,19 @@ def _matcher(t: float):
 
 
 def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=_PAIRS)
+    pairs, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    columns = (pairs[:, 0].copy(), pairs[:, 1].copy(), met.astype(np.int32), pairs[:, 2].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
+
+
+def _number(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        codes = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([_number(shingles(c)) for c in codes], pa.int64()), pa.array(codes, pa.string())], names=["id", "code"])
 
 
 _VERIFIED = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("shared", pa.int32()), ("either", pa.int32())])
@@ -198,7 +222,7 @@ class _Answers:
     """Overlaps of one set after another with their candidates.  Sets and differences of sets are kept for a while, as the members
     of a family of similar sets are candidates of each other."""
 
-    def __init__(self, kept: int = 3000):
+    def __init__(self, kept: int = 1000):
         self.sets: OrderedDict[int, frozenset] = OrderedDict()
         self.differences: OrderedDict[tuple[int, int], tuple[frozenset, frozenset]] = OrderedDict()
         self.kept = kept
@@ -235,11 +259,11 @@ class _Answers:
 def _verifier(t: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = _Answers()
-        for batch in it:
+        for batch in (whole.slice(first, 256) for whole in it for first in range(0, whole.num_rows, 256)):
             out: list[list[int]] = [[], [], [], []]
-            for a, code_a, b, code_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = answers.set_of(a, code_a), answers.set_of(b, code_b)
-                shared = answers.overlap(a, x, b, y)
+            for b, code_b, a, code_a in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                y, x = answers.set_of(b, code_b), answers.set_of(a, code_a)
+                shared = answers.overlap(b, y, a, x)
                 either = len(x) + len(y) - shared
                 if shared >= t * either - 1e-9:
                     for column, value in zip(out, (a, b, shared, either)):
@@ -268,18 +292,19 @@ def set_join(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
     members = sets.groupBy("doc_id").agg(F.min(F.struct("id", "size")).alias("x")).select("doc_id", "x.id", "x.size")
     each = sets.select("id", "size", "rare").dropDuplicates(["id"])
     postings = each.mapInArrow(_poster(frequency, hot), "key bigint, id bigint, size int, place int, side int")
-    candidates = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "id_a bigint, id_b bigint").distinct()
+    met = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "id_a bigint, id_b bigint, met int, least int")
+    candidates = met.groupBy("id_a", "id_b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("id_a", "id_b")
     candidates = written(candidates, "candidates")
-    # The first record of each candidate set stands for it; a filter of fixed size keeps most other texts from being moved.
+    # The first record of each candidate set stands for it.  A filter of fixed size keeps most other texts from being moved; a text
+    # that passes it by chance meets no candidate, or gives a row that is there already.
     needed = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    first = written(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(needed, "id", "left_semi"), "first")
+    first = sets.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(needed, "id", "left_semi")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int")
     wanted = F.broadcast(first.select(place.alias("place")).distinct())
-    texts = rows.withColumn("place", place).join(wanted, "place", "left_semi").join(first, "doc_id").groupBy("id").agg(F.first("code").alias("code"))
+    texts = rows.withColumn("place", place).join(wanted, "place", "left_semi").select("code").mapInArrow(_numbered, "id bigint, code string")
     pairs = candidates.join(texts.select(F.col("id").alias("id_a"), F.col("code").alias("code_a")), "id_a")
     pairs = pairs.join(texts.select(F.col("id").alias("id_b"), F.col("code").alias("code_b")), "id_b")
-    pairs = pairs.select("id_a", "code_a", "id_b", "code_b").repartition("id_a").sortWithinPartitions("id_a", "id_b")
-    links = pairs.mapInArrow(_verifier(similarity), "id_a bigint, id_b bigint, shared int, either int")
+    links = pairs.select("id_b", "code_b", "id_a", "code_a").mapInArrow(_verifier(similarity), "id_a bigint, id_b bigint, shared int, either int").distinct()
     return members, links
 
 
