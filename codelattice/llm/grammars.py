@@ -598,7 +598,7 @@ def kinds_ruby(text: str) -> str:
 
 # ---------------------------------------------------------------- grammars
 
-_DSL = re.compile(r"\s+|<(\w+)>|'([^']+)'|(\[(?:\\.|[^\]\\])+\])|([!&]?\()|([*+?])|(.)")
+_DSL = re.compile(r"\s+|<(\w+)>|'([^']+)'|(\[(?:\\.|[^\]\\])+\]|\\Z)|([!&]?\()|([*+?])|(.)")
 
 
 def _body(text: str) -> str:
@@ -618,10 +618,10 @@ def _body(text: str) -> str:
 
 
 def grammar(rules: str, start: str) -> regex.Pattern:
-    """A whole-string pattern from ``name = body`` lines: ``<name>`` refers to a rule, quoted text and letters are kinds,
+    """A pattern of ``start`` from ``name = body`` lines: ``<name>`` refers to a rule, quoted text and letters are kinds,
     alternatives are ordered and repetition never gives back."""
     defined = "".join(f"(?P<{n}>{_body(b)})" for n, b in re.findall(r"(?m)^ *(\w+) = (.*(?:\n {8,}.*)*)$", rules))
-    return regex.compile(rf"(?(DEFINE){defined}){_body(start)}\Z")
+    return regex.compile(rf"(?(DEFINE){defined})(?:{_body(start)})")
 
 
 _JS_RULES = r"""
@@ -639,7 +639,7 @@ _JS_RULES = r"""
     steps = (V <decl> (',' <decl>)* | <expr>)? ';' <expr>? ';' <expr>?
     block = '{' <st>* '}'
     decl = <pat> ('=' <asg>)?
-    pat = <id> | <object> | <array>
+    pat = <id> | A | <object> | <array>
     func = Y? F '*'? <id>? <params> <block>
     params = '(' (<param> (',' <param>)* ','?)? ')'
     param = E? <pat> ('=' <asg>)?
@@ -655,7 +655,7 @@ _JS_RULES = r"""
     un = [J!+\^]* <post>
     post = <prim> ('(' (<arg> (',' <arg>)* ','?)? ')' | '.' (<word> | '(' (<arg> (',' <arg>)*)? ')' | '[' <expr> ']') | '[' <expr> ']' | k)* '^'?
     arg = E? <asg>
-    prim = [nskr] | <func> | <id> | '(' <expr> ')' | <array> | <object> | <class> | M &([(.]) | J '.' i
+    prim = [nskrA] | <func> | <id> | '(' <expr> ')' | <array> | <object> | <class> | M &([(.]) | J '.' i
     array = '[' ','* (<arg> (','+ <arg>)* ','*)? ']'
     object = '{' (<prop> (',' <prop>)* ','?)? '}'
     prop = E <asg> | <method> | <key> ':' <asg> | <id> ('=' <asg>)?
@@ -677,7 +677,7 @@ _JAVA_RULES = r"""
     tparam = <ann>* i (e <type> ('&' <type>)*)?
     cbody = '{' (<member>* '}' | <consts> (';' <member>*)? '}')
     consts = <const> (',' <const>)* ','?
-    const = <ann>* i <args>? <cbody>?
+    const = <ann>* [ir] <args>? <cbody>?
     member = [;Zk#] | <mods> (<block> | <types> | <tparams>? (i <mparams> <throws>? <block> | <type> i (<mparams> <dims> <throws>? (<block> | (d <init>)? ';') | <vars> ';')))
     throws = h <type> (',' <type>)*
     mparams = '(' (<mparam> (',' <mparam>)*)? ')'
@@ -698,7 +698,7 @@ _JAVA_RULES = r"""
     un = ([!+\^] | '(' t <dims> ')' | '(' <type> ('&' <type>)* ')' &([inr(!wtS]))* <post>
     post = (&([it]) <type> u [iw] | <prim>) ('.' (i <args>? | <targs> i <args> | w <creator>) | '[' <expr> ']' | u [iw])* '^'?
     args = '(' <list>? ')'
-    prim = [nr] | i <args>? | '(' <expr> ')' | w <creator> | t <dims> '.' i | <type> '.' i | <switch>
+    prim = n | [ir] <args>? | '(' <expr> ')' | w <creator> | t <dims> '.' i | <type> '.' i | <switch>
     creator = <ann>* (t | i <targs>? ('.' i <targs>?)*) (<args> <cbody>? | ('[' <expr>? ']')+ (<init>)?)
 """
 _GO_RULES = r"""
@@ -735,8 +735,8 @@ _GO_RULES = r"""
     arg = <expr> | <type>
     pair = <item> (':' <item>)?
     item = '{' (<pair> (',' <pair>)* ','?)? '}' | <expr>
-    prim = <primn> | &('[' | m | s) <type>
-    primn = [nir] | '(' (<expr> | <type>) ')' | F <sig> <block> | &('[' | m | h | j) <type> &('(' | '{' | ')' | ',')
+    prim = <primn> | &(s) <type>
+    primn = [nir] | '(' (<expr> | <type>) ')' | F <sig> <block> | &('[' | m) <type> '{' (<pair> (',' <pair>)* ','?)? '}' | &('[' | m | h | j) <type> &('(' | ')' | ',')
 """
 _PHP_RULES = r"""
     file = <st>*
@@ -764,7 +764,7 @@ _PHP_RULES = r"""
     expr = <bin> ('?' <expr>? ':' <bin>)* ([=a] '&'? <expr>)?
     bin = <un> ([b+*&|] <un> | g <un>)*
     un = ([!+\^&n] | '(' i ')' &([v0ir(\[!+n]))* <post>
-    post = <prim> (p (<name> | v | '{' <expr> '}') | q (<name> | v | '{' <expr> '}') | '[' <expr>? ']' | '(' (E | <arg> (',' <arg>)* ','?)? ')' | '{' <arms> '}')* '^'?
+    post = <prim> (p (<name> | v | '{' <expr> '}') | q (<name> | v | '{' <expr> '}') | '[' <expr>? ']' | '(' (<arg> (',' <arg>)* ','? | E)? ')' | '{' <arms> '}')* '^'?
     arms = ((<list> | d) '>' <expr>) (',' (<list> | d) '>' <expr>)* ','?
     arg = (<name> ':')? E? '&'? <expr>
     prim = [v0ir] | '(' <expr> ')' | '[' (<elem>? (',' <elem>?)*) ']' | <closure> | M &(q) | C ('(' (<arg> (',' <arg>)*)? ')')? (x i (',' i)*)* <cbody> | '$' ('{' <expr> '}' | v)
@@ -826,10 +826,12 @@ _FOLDS = {
     "javascript": _folds(
         r"""
          <- (?<=[\[{(])(?:(?:[is]:)?\+?[ns],)+(?=(?:[is]:)?\+?[ns][,\]})])
-        r <- [ir]\.i
-        r <- [ir]\((?:@x(?:,@x)*)?\)(?![{>])
+        r <- [irsk]\.i
+        r <- (?<!\.)[ir]\((?:@x(?:,@x)*)?\)(?![{>])
         r <- (?<=[b+*=a(,:?>!R\[])\(@x(?:[b+*]@x)*\)(?![>{])
         r <- @x(?:[b+*]@x)+
+        A <- (?<=[=(,:?\[R])\[(?:@x(?:,@x)*)?\]
+        A <- (?<=[=(,?\[R])\{(?:(?:[is]:@x|i)(?:,(?:[is]:@x|i))*)?\}
         z <- (?<=[{}NZz])(?:(?:Vi=@x|[ir]a@x|r|r=@x|R@x?);)+
         Z <- (?<=[{}NZz])i=@x;
         z <- (?<=[{}NZz])I\(@x\)\{[Zz]*\}(?:L\{[Zz]*\})?(?!L)
@@ -837,13 +839,13 @@ _FOLDS = {
         z <- (?<=[{}NZz])W\(@x\)\{[Zz]*\}
         z <- zz+
         """,
-        x="[inskr]",
+        x="[inskrA]",
     ),
     "java": _folds(
         r"""
          <- (?<=[{(])(?:\+?n,)+(?=\+?n[,})])
         r <- [ir]\.i(?=[(.;,)b+*=a])
-        r <- [ir]\((?:@x(?:,@x)*)?\)(?![{hl])
+        r <- (?<![itw>\].@M])[ir]\((?:@x(?:,@x)*)?\)(?![{hl])
         r <- (?<=[b+*<>=a(,:?!R\[])\((?:r|@x(?:[b+*]@x)+)\)(?![l{inr(!])
         r <- @x(?:[b+]@x)+
         Z <- (?<=[{}Zz])(?:[it]i(?:=@x)?;)+
@@ -936,7 +938,8 @@ _FILE_FOLDS = {
         r"""
         # <- (?<=[{};z#m])Fi\((?:v(?:,v)*)?\)\{z*\}
         m <- (?<=[{};#m])M+Fi\((?:v(?:,v)*)?\)\{z*\}
-        z <- (?<=[{};z#])(?:[NU]i|ki=\[0>0\]);
+        z <- (?<=[{};z#])Ni;
+        # <- (?<=[{};z#m])(?:Ui|ki=\[0>0\]);
         z <- (?<=[{};z#])Ci\{[#m]*\}
         """
     ),
@@ -967,10 +970,37 @@ def folded(kinds: str, language: str, unit: bool) -> str:
 PATIENCE = 30
 
 
+_RULES = {"javascript": _JS_RULES, "java": _JAVA_RULES, "go": _GO_RULES, "php": _PHP_RULES, "ruby": _RUBY_RULES}
+#: What a file begins with, and what it goes on with again and again.
+_FILE = {
+    "javascript": ("", "<st>"),
+    "java": ("(<ann>* p <q> ';')? (Q M? <q> ('.' '*')? ';' | ';')*", "<typedecl>"),
+    "go": ("p i ';' (Q (<imp> | '(' (<imp> (';' <imp>)* ';'?)? ')') ';')*", "(<func> | <decl>) ';' | '#'"),
+    "php": ("", "<st>"),
+    "ruby": ("", "[Nz]+ | <st> (N | \\Z)"),
+}
+
+
 @lru_cache(None)
-def _grammar(language: str, unit: bool) -> regex.Pattern:
-    rules = {"javascript": _JS_RULES, "java": _JAVA_RULES, "go": _GO_RULES, "php": _PHP_RULES, "ruby": _RUBY_RULES}[language]
-    return grammar(rules, "<unit>" if unit else "<file>")
+def _grammar(language: str, part: str) -> regex.Pattern:
+    return grammar(_RULES[language], part)
+
+
+def _matches(kinds: str, language: str, unit: bool) -> bool:
+    """A file is matched one top-level statement after the other, so that what the matcher keeps is bounded by a statement."""
+    if unit:
+        return _grammar(language, "<unit> \\Z").match(kinds, timeout=PATIENCE) is not None
+    head, item = _FILE[language]
+    m = _grammar(language, head).match(kinds, timeout=PATIENCE) if head else None
+    if head and m is None:
+        return False
+    at, match = m.end() if m else 0, _grammar(language, item).match
+    while at < len(kinds):
+        m = match(kinds, at, timeout=PATIENCE)
+        if m is None or m.end() == at:
+            return False
+        at = m.end()
+    return True
 
 
 _KINDS = {"javascript": kinds_javascript, "java": kinds_java, "go": kinds_go, "ruby": kinds_ruby}
@@ -1009,6 +1039,6 @@ def parses(text: str, language: str, unit: bool) -> bool:
     except Broken:
         return False
     try:
-        return _grammar(language, unit).match(folded(kinds, language, unit), timeout=PATIENCE) is not None
-    except TimeoutError:
+        return _matches(folded(kinds, language, unit), language, unit)
+    except (TimeoutError, MemoryError):
         return True
