@@ -28,23 +28,31 @@ SHRUNK = re.compile(r"[.-]min\.[a-z]+$|\.(?:bundle|pack|packed|chunk|umd|esm)\.[
 MADE = re.compile(r"(?:_pb2(?:_grpc)?|\.pb|\.g|\.designer|\.generated|_generated|\.gen|_autogen|\.pb\.gw|_pb|\.freezed|_grpc_pb)\.[a-z]+$|^zz_generated", re.I)
 LOCKED = set("package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml poetry.lock pipfile.lock cargo.lock gemfile.lock composer.lock go.sum".split())
 
-# What notices say, in lower case.
+# What notices say, in lower case.  The first group of each kind counts anywhere in a header, the second only where a
+# comment line begins with it, as prose may hold it too.
 NOTICES = {
-    "generated": """do not edit|don't edit|do not modify|do not change this file|not edit by hand|not edit manually|@generated|generated by|generated from|generated with|generated using|generated code
-        |autogenerated|automatically generated|auto-generated file|auto generated file|auto-generated by|auto-generated from|auto-generated code|code generated|file was generated|file is generated|machine written|machine-written|machine generated|machine-generated
-        |manual edits|manual changes|changes will be lost|edits will be lost|edits are overwritten|changes are overwritten|will be overwritten|automatisch erzeugt|automatisch generiert|nicht von hand
-        |généré automatiquement|généré par|ne pas modifier|generado automáticamente|generado por|no editar|no modificar""",
-    "copied": """bundled copy|bundled from|taken verbatim|verbatim copy|taken from the|copied from|copied verbatim|copy of the upstream|vendored from|vendored copy|forked from|imported from the|local copy|last synced|synced from|send changes upstream|upstream at
-        |embedded because|embedded copy|adapted from the|do not patch here|see upstream|mirrored from|borrowed from""",
+    "generated": (
+        """do not edit|don't edit|do not modify|do not change this file|not edit by hand|not edit manually|@generated|autogenerated|automatically generated|auto-generated file|auto generated file|code generated|file was generated
+        |file is generated|machine written|machine-written|machine generated|machine-generated|manual edits|manual changes|changes will be lost|edits will be lost|edits are overwritten|changes are overwritten|automatisch erzeugt
+        |automatisch generiert|nicht von hand|généré automatiquement|ne pas modifier|generado automáticamente|no editar|no modificar""",
+        "generated by|generated from|generated with|generated using|generated code|produced by the|généré par|generado por|this code was generated|this file is produced|this file was produced",
+    ),
+    "copied": (
+        "bundled copy|taken verbatim|verbatim copy|copied verbatim|vendored from|vendored copy|last synced|send changes upstream|upstream at|do not patch here|embedded because|copy of the upstream",
+        "copied from|taken from|forked from|imported from|adapted from|local copy|embedded copy|mirrored from|borrowed from|bundled from|synced from|see upstream|this is a copy|third-party|third party",
+    ),
 }
+#: How far into a comment line its beginning reaches.
+BEGINNING = 16
 
 
 @lru_cache(None)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, phrases in NOTICES.items():
-        for phrase in re.split(r"\s*\|", phrases):
-            found.add_word(phrase.strip(), (kind, phrase.strip()))
+    for kind, groups in NOTICES.items():
+        for anywhere, phrases in zip((True, False), groups):
+            for phrase in re.split(r"\s*\|", phrases):
+                found.add_word(phrase.strip(), (kind, anywhere, len(phrase.strip())))
     found.make_automaton()
     return found
 
@@ -52,7 +60,8 @@ def _automaton() -> ahocorasick.Automaton:
 _LEADING = re.compile(r"(?:\s|<\?php\b|#[^\n]*|//[^\n]*|/\*(?s:.*?)\*/|<!--(?s:.*?)-->)*")
 _DOCSTRING = re.compile(r'[rR]?(?:"""(?s:.*?)"""|\'\'\'(?s:.*?)\'\'\')')
 _OWNER = re.compile(r"(?:copyright|\(c\)|©)\s+(?:\(c\)\s+|©\s+)?(?:\d{4}(?:\s*-\s*\d{4})?,?\s+)?(?:by\s+)?the\s+([\w.-]+)\s+(?:authors|developers|contributors|project|team|maintainers)", re.I)
-_PART = re.compile(r"\b(?:part of|belongs to)\s+(?:the\s+)?([\w.-]+(?:/[\w.-]+)?)", re.I)
+_PART = re.compile(r"(?m)^[\s*#/;!-]*(?:this (?:module|file|code|package) (?:is|belongs)\s+)?(?:part of|belongs to)\s+(?:the\s+)?([\w.-]+(?:/[\w.-]+)?)", re.I)
+_MARKS = re.compile(r"^[\s*#/;!<\"'-]+")
 
 
 def header(text: str, language: str | None) -> str:
@@ -70,8 +79,10 @@ def _plain(name: str) -> str:
 def notice(text: str, repo: str | None, language: str | None) -> str | None:
     """``generated`` or ``copied`` if the header says so."""
     head = header(text, language)
-    low = re.sub(r"\s*\n[\s*#/;-]*", " ", head.lower())
-    kinds = {kind for _, (kind, _) in _automaton().iter(low)}
+    kinds = set()
+    for line in head.lower().split("\n"):
+        line = _MARKS.sub("", line)
+        kinds.update(kind for end, (kind, anywhere, length) in _automaton().iter(line) if anywhere or end + 1 - length <= BEGINNING)
     own = {_plain(repo), _plain(repo.rsplit("/", 1)[-1])} if repo else set()
     if own and any(_plain(m[1].rstrip(".,")) not in own for m in [*_OWNER.finditer(head), *_PART.finditer(head)]):
         kinds.add("copied")
@@ -128,9 +139,10 @@ _OUT = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("evidence", p
 
 def _kinds(rows: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {n: [] for n in _OUT.names}
-    for doc, repo, path, code, language in zip(*(rows[n] for n in ("doc_id", "repo", "path", "code", "language"))):
+    for doc, repo, path, func, code, language in zip(*(rows[n] for n in ("doc_id", "repo", "path", "func_name", "code", "language"))):
         lang, text = language_of(language, path), plain_lines(code)
-        for evidence, kind in (("path", place(path)), ("header", notice(text, repo, lang)), ("look", look(text, lang))):
+        # what stands before a single function is its documentation, not a file's header
+        for evidence, kind in (("path", place(path)), ("header", None if func is not None else notice(text, repo, lang)), ("look", look(text, lang))):
             if kind:
                 for column, value in zip(_OUT.names, (doc, kind, evidence)):
                     out[column].append(value)
@@ -144,7 +156,7 @@ def not_handwritten(docs: DataFrame) -> DataFrame:
     kind is generated, minified, vendored, copied or data, evidence the first of path, header and look that shows it.
     Null or empty code gives nothing; a null path or repo only takes that evidence away.  Redelivered rows count once.
     """
-    rows = with_code(picked(docs, "doc_id", "repo", "path", "code", "language"))
+    rows = with_code(picked(docs, "doc_id", "repo", "path", "func_name", "code", "language"))
     return rows.mapInArrow(batches(_kinds, _OUT), "doc_id string, kind string, evidence string").distinct()
 
 
