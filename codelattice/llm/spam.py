@@ -12,9 +12,10 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import batches, picked
 
 #: A block whose ratio is below this share of the usual ratio of its length and language is extremely redundant.
@@ -101,19 +102,23 @@ def page_measures(documents: DataFrame) -> DataFrame:
     The table of usual ratios has one row for a two-letter language and half power of two of length, however many pages."""
     rows = picked(documents, "doc_id", "text", "lang").where(F.length("text") > 0)
     kinds = ", ".join(f"{f.name} {'bigint' if pa.types.is_int64(f.type) else 'double' if pa.types.is_float64(f.type) else 'string'}" for f in _OUT)
-    pages = rows.mapInArrow(batches(_measures, _OUT), kinds).withColumn("told_bin", _bin("told_length")).withColumn("listed_bin", _bin("listed_length"))
+    # Numbers only, written once: the usual ratios and the pages' own are taken from the same measures.
+    pages = written(rows.mapInArrow(batches(_measures, _OUT), kinds), "pages").withColumn("told_bin", _bin("told_length")).withColumn("listed_bin", _bin("listed_length"))
     usual = (
         pages.where(F.col("told_words") > 0).groupBy(F.col("told_bin").alias("bin"), "lang")
         .agg(F.percentile_approx("told_ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
     )
-    anywhere = usual.groupBy("bin").agg(F.max_by("usual", "n").alias("anywhere"))
-    usual = F.broadcast(usual.where(F.col("n") >= 30).join(anywhere, "bin", "full").select("bin", "lang", "usual"))
+    # Longer text compresses better, so no length's usual ratio is below that of a greater length: a length at which most pages are
+    # spam takes the ratio of longer ones.
+    longer = Window.orderBy(F.desc("bin"))
+    anywhere = usual.groupBy("bin").agg(F.max_by("usual", "n").alias("anywhere")).withColumn("anywhere", F.max("anywhere").over(longer))
+    usual = F.broadcast(usual.where(F.col("n") >= 30).withColumn("usual", F.max("usual").over(Window.partitionBy("lang").orderBy(F.desc("bin")))).select("bin", "lang", "usual"))
     anywhere = F.broadcast(anywhere)
     for part in ("told", "listed"):
         pages = (
             pages.join(usual.withColumnRenamed("bin", f"{part}_bin").withColumnRenamed("usual", f"{part}_usual_lang"), [f"{part}_bin", "lang"], "left")
             .join(anywhere.withColumnRenamed("bin", f"{part}_bin").withColumnRenamed("anywhere", f"{part}_usual"), f"{part}_bin", "left")
-            .withColumn(f"{part}_usual", F.coalesce(f"{part}_usual_lang", f"{part}_usual"))
+            .withColumn(f"{part}_usual", F.greatest(f"{part}_usual_lang", f"{part}_usual"))
         )
     return pages
 
