@@ -153,8 +153,9 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
 
 def proximity(documents: DataFrame, eval_items: DataFrame, window: int = 24, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, near_share): the largest share of an item's distinct words that a document holds within ``window``
-    words on either side of a rarest term of the item, where that share is at least ``share``: edited or reordered copies."""
+    """(doc_id, item_id, near_share): the largest share of an item's distinct words that a document holds within the item's length,
+    but at least ``window`` words, on either side of a rarest term of the item, where that share is at least ``share``: edited or
+    reordered copies.  Null and short texts match nothing; repeated rows count once."""
     spark = documents.sparkSession
     docs = picked(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     parts = []
@@ -165,7 +166,7 @@ def proximity(documents: DataFrame, eval_items: DataFrame, window: int = 24, sha
         rare = [(item, w) for item, ws in items for w in sorted({w for w in ws if w in holding}, key=lambda w: (holding[w], w))[:3]]
         anchors = spark.createDataFrame(rare or [(0, "")], "item_id bigint, term string")
         near = postings.join(F.broadcast(anchors.where("term != ''")), "term").select("doc_id", "item_id").distinct()
-        held = spark.sparkContext.broadcast(({i: (set(ws), {w for j, w in rare if j == i}) for i, ws in items}, window, share))
+        held = spark.sparkContext.broadcast(({i: (set(ws), {w for j, w in rare if j == i}, max(window, len(ws))) for i, ws in items}, share))
         pairs = docs.join(near.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "doc_id").select("doc_id", "text", "items")
         parts.append(pairs.mapInArrow(batches(_close(held), _NEAR), "doc_id bigint, item_id bigint, near_share double"))
     out = parts[0]
@@ -179,12 +180,12 @@ _NEAR = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("near_share
 
 def _close(held) -> object:
     def run(rows: dict[str, list]) -> dict[str, list]:
-        texts, window, share = held.value
+        texts, share = held.value
         out: dict[str, list] = {n: [] for n in _NEAR.names}
         for doc, text, items in zip(rows["doc_id"], rows["text"], rows["items"]):
             ws = words(text)
             for item in items:
-                own, rare = texts[item]
+                own, rare, window = texts[item]
                 best = max((len(own.intersection(ws[max(0, i - window) : i + window + 1])) / len(own) for i, w in enumerate(ws) if w in rare), default=0.0)
                 if best >= share:
                     for column, value in zip(_NEAR.names, (doc, item, round(best, 6))):
