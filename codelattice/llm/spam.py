@@ -22,6 +22,8 @@ from .common import batches, picked
 REDUNDANT = 0.6
 #: A page is spam from this share of its words in redundant blocks, links, tags and product rows.
 SPAM_SHARE = 0.5
+#: Pages a language must have before its own level of ratios is used.
+LANGUAGE_PAGES = 20
 #: Sentence ends for 100 words, below which redundancy of a list-like block is confirmed.
 FEW_SENTENCES = 4.0
 
@@ -78,7 +80,21 @@ _LANG = re.compile(r"[a-z]+")
 _LANGS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "spa": "es", "spanish": "es"}
 
 
-def _lang(value: str | None) -> str:
+# Common words of the languages, by which a wrong or missing label is corrected.
+_COMMON = {
+    "en": set("the and of to a is in that it with for when each from which was are not".split()),
+    "de": set("der die das und ist nicht wird werden mit nach auf den von ein eine weil".split()),
+    "fr": set("le la les des et est il une dans après chaque avant du sont pas que".split()),
+    "es": set("el la los las en de se que una del con por para antes unos conviene".split()),
+}
+
+
+def _lang(value: str | None, text: str) -> str:
+    """The language a text's common words tell; where they don't, the label's."""
+    words = _WORD.findall(text.lower())
+    counts = sorted(((sum(w in common for w in words), name) for name, common in _COMMON.items()), reverse=True)
+    if counts[0][0] >= 3 and counts[0][0] > 1.3 * counts[1][0]:
+        return counts[0][1]
     m = _LANG.match((value or "").strip().lower())
     name = _LANGS.get(m[0], m[0]) if m else ""
     return name if len(name) == 2 else ""
@@ -87,7 +103,7 @@ def _lang(value: str | None) -> str:
 def _measures(rows: dict[str, list]) -> dict[str, list]:
     out: dict[str, list] = {n: [] for n in _OUT.names}
     for doc, text, lang in zip(rows["doc_id"], rows["text"], rows["lang"]):
-        for name, value in zip(_OUT.names, (doc, _lang(lang), *measured(text))):
+        for name, value in zip(_OUT.names, (doc, _lang(lang, text), *measured(text))):
             out[name].append(value)
     return out
 
@@ -99,27 +115,23 @@ def _bin(length: str) -> F.Column:
 def page_measures(documents: DataFrame) -> DataFrame:
     """Per page its block measures and, from all pages, the usual ratio for the length and language of each block.
 
-    The table of usual ratios has one row for a two-letter language and half power of two of length, however many pages."""
+    The tables of usual ratios have a row for each half power of two of length and for each language, however many pages."""
     rows = picked(documents, "doc_id", "text", "lang").where(F.length("text") > 0)
     kinds = ", ".join(f"{f.name} {'bigint' if pa.types.is_int64(f.type) else 'double' if pa.types.is_float64(f.type) else 'string'}" for f in _OUT)
     # Numbers only, written once: the usual ratios and the pages' own are taken from the same measures.
     pages = written(rows.mapInArrow(batches(_measures, _OUT), kinds), "pages").withColumn("told_bin", _bin("told_length")).withColumn("listed_bin", _bin("listed_length"))
-    usual = (
-        pages.where(F.col("told_words") > 0).groupBy(F.col("told_bin").alias("bin"), "lang")
-        .agg(F.percentile_approx("told_ratio", 0.5, 1000).alias("usual"), F.count(F.lit(1)).alias("n"))
-    )
+    usual = pages.where(F.col("told_words") > 0).groupBy(F.col("told_bin").alias("bin")).agg(F.percentile_approx("told_ratio", 0.5, 1000).alias("usual"))
     # Longer text compresses better, so no length's usual ratio is below that of a greater length: a length at which most pages are
     # spam takes the ratio of longer ones.
-    longer = Window.orderBy(F.desc("bin"))
-    anywhere = usual.groupBy("bin").agg(F.max_by("usual", "n").alias("anywhere")).withColumn("anywhere", F.max("anywhere").over(longer))
-    usual = F.broadcast(usual.where(F.col("n") >= 30).withColumn("usual", F.max("usual").over(Window.partitionBy("lang").orderBy(F.desc("bin")))).select("bin", "lang", "usual"))
-    anywhere = F.broadcast(anywhere)
+    usual = F.broadcast(usual.withColumn("usual", F.max("usual").over(Window.orderBy(F.desc("bin")))))
+    at = lambda part: usual.select(F.col("bin").alias(f"{part}_bin"), F.col("usual").alias(f"{part}_usual"))
+    # A language's texts as a whole lie above or below those ratios by some factor.
+    relative = F.col("told_ratio") / F.col("told_usual")
+    factor = pages.where(F.col("told_words") > 0).join(at("told"), "told_bin").groupBy("lang").agg(F.percentile_approx(relative, 0.5, 1000).alias("factor"), F.count(F.lit(1)).alias("n"))
+    factor = F.broadcast(factor.where(F.col("n") >= LANGUAGE_PAGES).select("lang", F.greatest(F.least("factor", F.lit(1.2)), F.lit(0.6)).alias("factor")))
+    pages = pages.join(at("told"), "told_bin", "left").join(at("listed"), "listed_bin", "left").join(factor, "lang", "left")
     for part in ("told", "listed"):
-        pages = (
-            pages.join(usual.withColumnRenamed("bin", f"{part}_bin").withColumnRenamed("usual", f"{part}_usual_lang"), [f"{part}_bin", "lang"], "left")
-            .join(anywhere.withColumnRenamed("bin", f"{part}_bin").withColumnRenamed("anywhere", f"{part}_usual"), f"{part}_bin", "left")
-            .withColumn(f"{part}_usual", F.greatest(f"{part}_usual_lang", f"{part}_usual"))
-        )
+        pages = pages.withColumn(f"{part}_usual", F.col(f"{part}_usual") * F.coalesce("factor", F.lit(1.0)))
     return pages
 
 
