@@ -42,6 +42,26 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": """
+            WITH t AS (SELECT DISTINCT doc_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS w FROM docs WHERE code <> ''),
+            s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) > 2),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+            SELECT doc_id_a, doc_id_b FROM c JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 10 * k >= 7 * (x.n + y.n - k)
+        """,
+        "p4_found": """
+            WITH u AS (SELECT DISTINCT node_key, graph_node_data.embedding::DOUBLE[] AS e FROM tree_nodes WHERE len(graph_node_data.embedding) = 64
+              AND len(list_filter(graph_node_data.embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(graph_node_data.embedding, lambda x: x <> 0)) > 0),
+            r AS (SELECT a.node_key AS a, b.node_key AS b, row_number() OVER (PARTITION BY a.node_key ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.node_key) AS k FROM u a JOIN u b ON a.node_key <> b.node_key)
+            SELECT DISTINCT least(a, b) AS node_key_a, greatest(a, b) AS node_key_b FROM r WHERE k <= 5
+        """,
+        "p7_found": """
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[a-z0-9_]+') AS w FROM documents WHERE text <> ''),
+            e AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[a-z0-9_]+') AS w FROM eval_items WHERE text <> ''),
+            g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i : i + 11], ' '))) AS x FROM d WHERE len(w) >= 12),
+            h AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i : i + 11], ' '))) AS x FROM e WHERE len(w) >= 12)
+            SELECT DISTINCT doc_id, item_id FROM g JOIN h ON g.x = h.x
+        """,
         "p5_found": """
             WITH items AS (
                 SELECT 'docs.code' AS field_name, doc_id AS item_key, code AS text FROM docs
