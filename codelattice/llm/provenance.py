@@ -72,13 +72,24 @@ def header(text: str, language: str | None) -> str:
     return text[:end]
 
 
+def footer(text: str, found: list[re.Match]) -> str:
+    """The comments after the last line of code; ``found`` are the comments and strings of the text."""
+    start, end = len(text), len(text)
+    for m in reversed(found):
+        if m["c"] is None or text[m.end() : end].strip(" \t\r\n"):
+            break
+        start = end = m.start()
+    own_line = text.rfind("\n", 0, start) + 1
+    return text[start:] if not text[own_line:start].strip() else text[start:].partition("\n")[2]
+
+
 def _plain(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
-def notice(text: str, repo: str | None, language: str | None) -> str | None:
-    """``generated`` or ``copied`` if the header says so."""
-    head = header(text, language)
+def notice(text: str, repo: str | None, language: str | None, found: list[re.Match]) -> str | None:
+    """``generated`` or ``copied`` if the header, or the comments at the end of the file, say so."""
+    head = header(text, language) + "\n" + footer(text, found)
     kinds = set()
     for line in head.lower().split("\n"):
         line = _MARKS.sub("", line)
@@ -110,11 +121,15 @@ LONG_LINE, LINE_STATEMENTS = 300, 8
 DATA_SHARE, DATA_CHARS = 0.6, 1000
 
 
-def look(text: str, language: str | None) -> str | None:
+def opaque(text: str, language: str | None) -> list[re.Match]:
+    """The comments and strings of the text."""
+    return list(_OPAQUE.get(language or "", _OPAQUE["javascript"]).finditer(text))
+
+
+def look(text: str, found: list[re.Match]) -> str | None:
     """``minified`` or ``data`` if the code looks so."""
-    opaque = _OPAQUE.get(language or "", _OPAQUE["javascript"])
     literal, comment, rest, at = 0, 0, [], 0
-    for m in opaque.finditer(text):
+    for m in found:
         rest.append(text[at : m.start()])
         at = m.end()
         if m["c"] is not None:
@@ -142,7 +157,8 @@ def _kinds(rows: dict[str, list]) -> dict[str, list]:
     for doc, repo, path, func, code, language in zip(*(rows[n] for n in ("doc_id", "repo", "path", "func_name", "code", "language"))):
         lang, text = language_of(language, path), plain_lines(code)
         # what stands before a single function is its documentation, not a file's header
-        for evidence, kind in (("path", place(path)), ("header", None if func is not None else notice(text, repo, lang)), ("look", look(text, lang))):
+        islands = opaque(text, lang)
+        for evidence, kind in (("path", place(path)), ("header", None if func is not None else notice(text, repo, lang, islands)), ("look", look(text, islands))):
             if kind:
                 for column, value in zip(_OUT.names, (doc, kind, evidence)):
                     out[column].append(value)

@@ -174,11 +174,12 @@ def test_files_not_written_by_hand(docs_of, odd):
         "vendor": ("lib/vendor/x.py", "x = 1\n"), "vendors": ("apps/vendors/x.py", "x = 1\n"), "codegen": ("codegen/x.py", "x = 1\n"), "pb": ("a/b_pb2.py", "x = 1\n"), "min": ("web/a.min.js", "x\n"), "bundle_word": ("a/my_bundle.js", "let x = 1;\n"),
         "notice": ("a/b.go", "// Code generated by protoc. DO NOT EDIT.\n\npackage a\n"), "mention": ("a/b.go", "package a\n\n// writes an auto-generated header: DO NOT EDIT\nfunc f() {}\n"), "own": ("a/b.py", "# Copyright the proj authors.\nx = 1\n"),
         "foreign": ("a/b.py", "# This module is part of other, not of proj.\n# Copyright the other developers.\nx = 1\n"), "text": ("a/b.py", 'note = """Code generated by x. DO NOT EDIT."""\n'), "blob": ("a/b.py", blob), "shrunk": ("a/b.js", small + "\n"), "table": ("a/b.py", "T = {'a': 1, 'b': 2}\n"),
+        "foot": ("a/b.py", "x = 1\n\n# AUTO-GENERATED FILE - edit x.tmpl instead\n"), "foot_js": ("a/b.js", "let x = 1;\n\n/*\n * Autogenerated with gen on 2021-11-08\n */"), "foot_text": ("a/b.py", "x = '# do not edit'\n"),
         "german": ("a/b.rb", "# Diese Datei wurde automatisch erzeugt.\nx = 1\n"),
     }
     docs = docs_of(*((k, p, None, c) for k, (p, c) in rows.items()), ("null", None, None, None), ("nopath", None, None, "x = 1", None))
     got = {r["doc_id"]: r["kind"] for r in provenance.not_handwritten(odd(docs)).collect()}
-    assert got == {"vendor": "vendored", "pb": "generated", "min": "minified", "notice": "generated", "foreign": "copied", "blob": "data", "shrunk": "minified", "german": "generated"}
+    assert got == {"vendor": "vendored", "pb": "generated", "min": "minified", "notice": "generated", "foreign": "copied", "blob": "data", "shrunk": "minified", "german": "generated", "foot": "generated", "foot_js": "generated"}
 
 
 def test_empty_tables_and_long_texts(spark, docs_of):
