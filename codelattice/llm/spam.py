@@ -1,8 +1,9 @@
 """Keyword-stuffed and link-list pages.
 
 Method: the compression ratio of a page's blocks, normalised by length and language, flags extreme redundancy; low density
-of sentence punctuation confirms it.  Running text and list-like lines form separate blocks, because stuffed keywords may be
-dressed as sentences beside plain lists; links, tags and product rows are told by their form.  A page is spam if most of its
+of sentence punctuation confirms it.  Running text and list-like lines are parts of their own, because stuffed keywords may be
+dressed as sentences beside plain lists; each part is cut into consecutive blocks of bounded size, so that stuffed sentences next
+to real prose are judged by themselves.  Links, tags and product rows are told by their form.  A page is spam if most of its
 words lie in such blocks.
 """
 
@@ -20,6 +21,11 @@ from .common import batches, picked
 
 #: A block whose ratio is below this share of the usual ratio of its length and language is extremely redundant.
 REDUNDANT = 0.6
+#: A block is closed at the end of a sentence or line from this many characters; a rest of under half of it joins the block before.
+BLOCK = 700
+#: Where a whole part is redundant but less than this share of its words lies in redundant blocks, it repeats itself over distances longer
+#: than a block, and all its words count.
+EXPLAINED = 0.25
 #: A page is spam from this share of its words in redundant blocks, links, tags and product rows.
 SPAM_SHARE = 0.5
 #: Pages a language must have before its own level of ratios is used.
@@ -44,9 +50,38 @@ def _ratio(text: str) -> float:
     return len(zlib.compress(data, 6)) / len(data) if data else 1.0
 
 
-def measured(text: str) -> tuple[int, int, int, int, int, float, int, float, float]:
-    """The measures of _NAMES: words in all, in links, tags and product rows, in sentences and in other list-like lines; length and
-    compression ratio of the sentences and of those lines; sentence ends for 100 words of the lines.  Code is only counted."""
+def _blocks(pieces: list[str]) -> list[str]:
+    """Consecutive pieces joined to blocks of about BLOCK characters; a longer piece is cut at blanks, or where there are none anywhere."""
+    out: list[list[str]] = []
+    size = BLOCK
+    for piece in (p for whole in pieces for p in _cut(whole)):
+        if size >= BLOCK:
+            out.append([])
+            size = 0
+        out[-1].append(piece)
+        size += len(piece) + 1
+    if len(out) > 1 and 2 * size < BLOCK:
+        rest = out.pop()
+        out[-1] += rest
+    return ["\n".join(block) for block in out]
+
+
+def _cut(piece: str) -> list[str]:
+    out = []
+    while len(piece) > 2 * BLOCK:
+        at = piece.rfind(" ", BLOCK // 2, BLOCK) + 1 or BLOCK
+        out.append(piece[:at])
+        piece = piece[at:]
+    return [*out, piece]
+
+
+def _block(part: str, whole: bool, text: str, words: int, ends: int) -> dict:
+    return {"part": part, "whole": whole, "words": words, "length": len(text), "ratio": _ratio(text), "ends": 100.0 * ends / words if words else 0.0}
+
+
+def measured(text: str) -> tuple[int, int, list[dict]]:
+    """Words in all; words in links, tags and product rows; the measures of _BLOCK for the sentences ("told") and the other list-like
+    lines ("listed"), each as a whole and, where it has several, by block.  Code is only counted."""
     told, listed, formal, code, fenced = [], [], 0, 0, False
     for line in re.split(r"[\r\n  ]+", text):
         if not line.strip():
@@ -68,14 +103,18 @@ def measured(text: str) -> tuple[int, int, int, int, int, float, int, float, flo
         else:
             for part in _SPLIT.split(line):
                 (told if _END.search(part) and len(_WORD.findall(part)) >= 4 and not _ROW.search(part) else listed).append(part)
-    a, b = "\n".join(told), "\n".join(listed)
-    wa, wb = len(_WORD.findall(a)), len(_WORD.findall(b))
-    ends = 100.0 * len(_END.findall(b)) / wb if wb else 0.0
-    return wa + wb + formal + code, formal, wa, wb, len(a), _ratio(a), len(b), _ratio(b), ends
-
-
-_NAMES = ("words", "formal_words", "told_words", "listed_words", "told_length", "told_ratio", "listed_length", "listed_ratio", "listed_ends")
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((n, pa.float64() if n.endswith(("ratio", "ends")) else pa.int64()) for n in _NAMES)])
+    blocks = []
+    for part, pieces in (("told", told), ("listed", listed)):
+        if pieces:
+            cut = [(t, len(_WORD.findall(t)), len(_END.findall(t))) for t in _blocks(pieces)]
+            blocks.append(_block(part, True, "\n".join(pieces), sum(n for _, n, _ in cut), sum(n for _, _, n in cut)))
+            blocks += [_block(part, False, *c) for c in cut] if len(cut) > 1 else []
+    return sum(b["words"] for b in blocks if b["whole"]) + formal + code, formal, blocks
+
+
+_BLOCK = pa.struct([("part", pa.string()), ("whole", pa.bool_()), ("words", pa.int64()), ("length", pa.int64()), ("ratio", pa.float64()), ("ends", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("formal_words", pa.int64()), ("blocks", pa.list_(_BLOCK))])
+_KINDS = "doc_id bigint, lang string, words bigint, formal_words bigint, blocks array<struct<part: string, whole: boolean, words: bigint, length: bigint, ratio: double, ends: double>>"
 _LANG = re.compile(r"[a-z]+")
 _LANGS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "spa": "es", "spanish": "es"}
 
@@ -108,47 +147,48 @@ def _measures(rows: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def _bin(length: str) -> F.Column:
-    return F.floor(F.log2(F.greatest(F.col(length), F.lit(16))) * 2).cast("int")
+def _bin(length: F.Column) -> F.Column:
+    return F.floor(F.log2(F.greatest(length, F.lit(16))) * 2).cast("int")
 
 
 def page_measures(documents: DataFrame) -> DataFrame:
-    """Per page its block measures and, from all pages, the usual ratio for the length and language of each block.
+    """Per page the measures of its blocks, each with its score: its ratio against the usual one, taken from all pages, for its length
+    and language.
 
     The tables of usual ratios have a row for each half power of two of length and for each language, however many pages."""
     rows = picked(documents, "doc_id", "text", "lang").where(F.length("text") > 0)
-    kinds = ", ".join(f"{f.name} {'bigint' if pa.types.is_int64(f.type) else 'double' if pa.types.is_float64(f.type) else 'string'}" for f in _OUT)
     # Numbers only, written once: the usual ratios and the pages' own are taken from the same measures.
-    pages = written(rows.mapInArrow(batches(_measures, _OUT), kinds), "pages").withColumn("told_bin", _bin("told_length")).withColumn("listed_bin", _bin("listed_length"))
-    usual = pages.where(F.col("told_words") > 0).groupBy(F.col("told_bin").alias("bin")).agg(F.percentile_approx("told_ratio", 0.5, 1000).alias("usual"))
-    # Longer text compresses better, so no length's usual ratio is below that of a greater length: a length at which most pages are
+    pages = written(rows.mapInArrow(batches(_measures, _OUT), _KINDS), "pages")
+    told = pages.select("lang", F.explode("blocks").alias("x")).where("x.part = 'told' AND x.words > 0").select("lang", "x.whole", "x.ratio", _bin(F.col("x.length")).alias("bin"))
+    usual = told.groupBy("bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
+    # Longer text compresses better, so no length's usual ratio is below that of a greater length: a length at which most blocks are
     # spam takes the ratio of longer ones.
     usual = F.broadcast(usual.withColumn("usual", F.max("usual").over(Window.orderBy(F.desc("bin")))))
-    at = lambda part: usual.select(F.col("bin").alias(f"{part}_bin"), F.col("usual").alias(f"{part}_usual"))
     # A language's texts as a whole lie above or below those ratios by some factor.
-    relative = F.col("told_ratio") / F.col("told_usual")
-    factor = pages.where(F.col("told_words") > 0).join(at("told"), "told_bin").groupBy("lang").agg(F.percentile_approx(relative, 0.5, 1000).alias("factor"), F.count(F.lit(1)).alias("n"))
+    factor = told.where("whole").join(usual, "bin").groupBy("lang").agg(F.percentile_approx(F.col("ratio") / F.col("usual"), 0.5, 1000).alias("factor"), F.count(F.lit(1)).alias("n"))
     factor = F.broadcast(factor.where(F.col("n") >= LANGUAGE_PAGES).select("lang", F.greatest(F.least("factor", F.lit(1.2)), F.lit(0.6)).alias("factor")))
-    pages = pages.join(at("told"), "told_bin", "left").join(at("listed"), "listed_bin", "left").join(factor, "lang", "left")
-    for part in ("told", "listed"):
-        pages = pages.withColumn(f"{part}_usual", F.col(f"{part}_usual") * F.coalesce("factor", F.lit(1.0)))
-    return pages
+    ratios = F.broadcast(usual.agg(F.map_from_entries(F.collect_list(F.struct("bin", "usual"))).alias("usual")))
+    pages = pages.crossJoin(ratios).join(factor, "lang", "left")
+    expected = lambda x: F.coalesce(F.col("usual")[_bin(x["length"])] * F.coalesce("factor", F.lit(1.0)), F.lit(0.6))
+    return pages.withColumn("blocks", F.transform("blocks", lambda x: x.withField("score", F.when(x["words"] > 0, x["ratio"] / expected(x)))))
 
 
 def score_pages(documents: DataFrame) -> DataFrame:
     """(doc_id, spam_share, told_score, listed_score, is_spam), one row per row of documents with text.
 
-    A score is a block's compression ratio against the usual one, null where there is no such block.  Null or empty text
-    gives no row; text without any word has share 0.  Repeated rows are judged alike.
+    A score is the compression ratio of a part as a whole against the usual one, null where there is no such part.  Null or empty
+    text gives no row; text without any word has share 0.  Repeated rows are judged alike.
     """
     pages = page_measures(documents)
-    score = lambda part: F.when(F.col(f"{part}_words") > 0, F.col(f"{part}_ratio") / F.coalesce(F.col(f"{part}_usual"), F.lit(0.6)))
-    pages = pages.withColumn("told_score", score("told")).withColumn("listed_score", score("listed"))
-    bad = (
-        F.col("formal_words")
-        + F.when(F.col("told_score") < REDUNDANT, F.col("told_words")).otherwise(0)
-        + F.when((F.col("listed_score") < REDUNDANT) & (F.col("listed_ends") < FEW_SENTENCES), F.col("listed_words")).otherwise(0)
-    )
+    words = lambda blocks: F.aggregate(blocks, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
+    redundant = lambda x: F.coalesce((x["score"] < REDUNDANT) & ((x["part"] == "told") | (x["ends"] < FEW_SENTENCES)), F.lit(False))
+    bad = F.col("formal_words")
+    for part in ("told", "listed"):
+        own = F.filter("blocks", lambda x: x["part"] == F.lit(part))  # noqa: B023
+        pages = pages.withColumn(f"{part}_whole", F.get(F.filter(own, lambda x: x["whole"]), F.lit(0))).withColumn(f"{part}_score", F.col(f"{part}_whole")["score"])
+        pages = pages.withColumn(f"{part}_inside", words(F.filter(own, lambda x: ~x["whole"] & redundant(x))))
+        whole, inside = F.col(f"{part}_whole"), F.col(f"{part}_inside")
+        bad = bad + F.when(redundant(whole) & (inside < EXPLAINED * whole["words"]), whole["words"]).otherwise(inside)
     return pages.withColumn("spam_share", F.when(F.col("words") > 0, bad / F.col("words")).otherwise(0.0)).select(
         "doc_id", "spam_share", "told_score", "listed_score", (F.col("spam_share") > SPAM_SHARE).alias("is_spam")
     )

@@ -239,3 +239,17 @@ def test_spam_pages(spark, odd):
     assert {r["doc_id"] for r in spam.found(odd(pages)).collect()} == set(spammy)
     assert spam.score_pages(pages).where("doc_id IN (300, 301)").count() == 0
     assert spam.found(pages.where("false")).count() == 0
+
+
+def test_stuffed_sentences_beside_prose_are_told(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(12)).capitalize() + "." for _ in range(n))
+    keys = ["cheap", "hotel", "flight", "best", "deal", "online"]
+    stuffed = lambda n: " ".join(" ".join(rng.choice(keys) for _ in range(12)).capitalize() + "." for _ in range(n))
+    rows = [(i, prose(rng.randint(10, 90 if i < 60 else 500)), "en") for i in range(100)]
+    rows += [(100 + i, prose(44) + "\n\n" + stuffed(58), "en") for i in range(5)]  # 57 % stuffed
+    rows += [(200 + i, prose(64) + "\n\n" + stuffed(40), "en") for i in range(5)]  # 38 % stuffed
+    rows += [(300, "\n".join([prose(30)] * 12), "en")]  # repeats over more than a block
+    pages = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in spam.found(pages).collect()} == {*range(100, 105), 300}
