@@ -31,7 +31,7 @@ MEETING = 12
 LIST_BLOCK = 20_000
 #: Places of the filter that tells which records' texts verification may need, a table of fixed size.
 PLACES = 1 << 18
-#: Groups of equal records of up to this size come out as all their pairs; larger ones as pairs of their first record and each other.
+#: Up to so many exact copies of a text come out as all their pairs; more as pairs of the first one and each other.
 COPIES = 200
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -81,14 +81,14 @@ def _counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
 
 
-_SETS = pa.schema([("doc_id", pa.string()), ("id", pa.int64()), ("size", pa.int32()), ("rare", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.string()), ("id", pa.int64()), ("size", pa.int32()), ("text", pa.int64()), ("rare", pa.list_(pa.int64()))])
 
 
 def _setter(frequency, t: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
         for batch in it:
-            docs, ids, sizes, rare = [], [], [], []
+            docs, ids, sizes, texts, rare = [], [], [], [], []
             for doc, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingles(code)
                 n = len(s)
@@ -98,8 +98,9 @@ def _setter(frequency, t: float):
                 docs.append(doc)
                 ids.append(_number(s))
                 sizes.append(n)
+                texts.append(xxhash.xxh3_64_intdigest(code) - (1 << 63))
                 rare.append(s[order[: rare_length(n, t)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(texts, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
@@ -273,8 +274,12 @@ def _verifier(t: float):
     return run
 
 
+def _members(sets: DataFrame) -> DataFrame:
+    return sets.groupBy("doc_id").agg(F.min(F.struct("id", "size", "text")).alias("x")).select("doc_id", "x.id", "x.size", "x.text")
+
+
 def set_join(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (doc_id, id, size) gives each record the number of its set of token triples; links (id_a, id_b,
+    """(members, links): members (doc_id, id, size, text) gives each record the numbers of its set of token triples and of its code; links (id_a, id_b,
     shared, either), id_a < id_b, has every pair of different sets whose similarity is at least ``similarity``, exactly.
 
     Records without code, without doc_id or with fewer than three tokens are in neither table; a doc_id delivered twice counts
@@ -288,8 +293,8 @@ def set_join(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
         counts[r["place"]] = r["n"]
     frequency = spark.sparkContext.broadcast(counts)
     hot = int(max(LIST_BLOCK, 8 * counts.mean()))
-    sets = written(rows.mapInArrow(_setter(frequency, similarity), "doc_id string, id bigint, size int, rare array<bigint>"), "sets")
-    members = sets.groupBy("doc_id").agg(F.min(F.struct("id", "size")).alias("x")).select("doc_id", "x.id", "x.size")
+    sets = written(rows.mapInArrow(_setter(frequency, similarity), "doc_id string, id bigint, size int, text bigint, rare array<bigint>"), "sets")
+    members = _members(sets)
     each = sets.select("id", "size", "rare").dropDuplicates(["id"])
     postings = each.mapInArrow(_poster(frequency, hot), "key bigint, id bigint, size int, place int, side int")
     met = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "id_a bigint, id_b bigint, met int, least int")
@@ -311,19 +316,16 @@ def set_join(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id_a, doc_id_b, similarity), doc_id_a < doc_id_b: records at least so similar.
 
-    Of a group of more than COPIES records with equal sets, the first one stands for the others: it is paired with each of them
-    and with the records similar to it.  Smaller groups come out as all their pairs.
+    Of more than COPIES exact copies of a text, the first one stands for the others: it is paired with each of them and with the
+    records similar to it; ``copies`` tells whom it stands for.  All other records come out as all their pairs.
     """
     members, links = set_join(docs, similarity)
     links = written(links, "links")
     members = written(members, "members")
-    groups = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"))
-    repeated = groups.where("n > 1")
-    within = members.join(repeated, "id")
-    few = within.where(F.col("n") <= COPIES).select("id", "doc_id")
-    equal = few.alias("x").join(few.alias("y"), "id").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    within = _grouped(members)
     many = within.where((F.col("n") > COPIES) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
-    speaking = members.join(groups, "id").where((F.col("n") <= COPIES) | (F.col("doc_id") == F.col("head"))).select("id", "doc_id")
+    speaking = within.where((F.col("n") <= COPIES) | (F.col("doc_id") == F.col("head"))).select("id", "doc_id")
+    equal = speaking.alias("x").join(speaking.alias("y"), "id").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.lit(1.0).alias("similarity"))
     unlike = (
         links.join(speaking.select(F.col("id").alias("id_a"), F.col("doc_id").alias("a")), "id_a").join(speaking.select(F.col("id").alias("id_b"), F.col("doc_id").alias("b")), "id_b")
         .select("a", "b", (F.col("shared") / F.col("either")).alias("similarity"))
@@ -332,6 +334,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return out.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "similarity")
 
 
+def _grouped(members: DataFrame) -> DataFrame:
+    """The members with the number n of records with the same code, and the first of them (head)."""
+    return members.join(members.groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")), ["id", "text"])
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_doc_id, copies): for each record with token triples the first record with the same code, and how many have it."""
+    rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull())
+    # Only the numbers of sets and codes are wanted here, and those don't depend on the frequencies.
+    same = rows.sparkSession.sparkContext.broadcast(np.zeros(COUNTERS, np.int64))
+    sets = rows.mapInArrow(_setter(same, SIMILARITY), "doc_id string, id bigint, size int, text bigint, rare array<bigint>")
+    members = written(_members(sets), "members")
+    return _grouped(members).select("doc_id", F.col("head").alias("first_doc_id"), F.col("n").alias("copies"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, links): one row per record; class_id is the first doc_id of the records it is connected to by links of
     similarity, links the number of different texts it is similar to."""

@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "p1_function_docs": _on(funcdocs.function_docs, "docs"),
         "p2_found": _on(neardup.found, "docs"),
         "p2_classes": _on(neardup.classes, "docs"),
+        "p2_copies": _on(neardup.copies, "docs"),
         "p3_found": _on(syntax.invalid, "docs"),
         "p3_rates": _on(syntax.invalid_rates, "docs"),
         "p4_found": _on(ann.found, "tree_nodes"),

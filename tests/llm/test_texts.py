@@ -75,6 +75,17 @@ def test_large_groups_of_copies_come_out_as_a_star(spark, docs_of, monkeypatch):
     assert got == {("c0", f"c{i}") for i in range(1, 5)} | {("c0", "other")}
 
 
+def test_different_texts_with_equal_triples_come_out_as_all_pairs(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 3)
+    code = "a b c d e f g h i j k l"
+    rows = [(f"c{i}", "x.py", None, code) for i in range(5)] + [(f"d{i}", "x.py", None, code.replace(" ", " " * (i + 2))) for i in range(5)] + [("other", "x.py", None, "a b c d e f g h i j k m")]
+    got = {tuple(r) for r in neardup.found(docs_of(*rows)).collect()}
+    speaking = ["c0", *(f"d{i}" for i in range(5)), "other"]
+    assert got == {("c0", f"c{i}") for i in range(1, 5)} | set(itertools.combinations(speaking, 2))
+    told = {tuple(r) for r in neardup.copies(docs_of(*rows)).collect()}
+    assert told == {(f"c{i}", "c0", 5) for i in range(5)} | {(d, d, 1) for d in speaking[1:]}
+
+
 def test_no_duplicates_in_nothing(docs_of):
     none = docs_of(("a", "x", None, "a b c")).where("false")
     assert neardup.found(none).count() == 0 and neardup.classes(none).count() == 0
