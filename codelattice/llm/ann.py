@@ -3,7 +3,8 @@
 Method: additive quantisation.  Full-dimensional codebooks are fitted to residuals one after another; a beam search encodes each
 vector as a sum of one codeword of each, and the norm of that sum is stored.  The first codes of the beam's best sums name the
 cells a vector is searched in; there, lookup tables of query-codeword products score the stored codes, and the best candidates
-are reranked with the exact vectors.
+are reranked with the exact vectors.  How many codes name a cell and how many cells are searched is chosen by how many neighbours
+that reaches for some vectors; vectors that still see too few others, or all where no such choice reaches enough, are searched exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ NEIGHBOURS, DIMENSION = 5, 64
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 6, 256, 8, 16384, 6
 #: Cells a vector is searched in; vectors for a cell to aim at; a fuller cell is searched in blocks of this size; candidates reranked.
 PROBES, CELL, CELL_BLOCK, RERANK = 4, 32, 4096, 160
+#: Share of the neighbours of ASKED vectors that must lie in the cells searched; vectors in a block of the exact search.
+REACH, ASKED, EXACT_BLOCK = 0.95, 256, 16384
 
 
 def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -48,9 +51,9 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return out
 
 
-def encode(vectors: np.ndarray, codebooks: np.ndarray, depth: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(vectors: np.ndarray, codebooks: np.ndarray, depth: int, beam: int = BEAM, probes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, norms of the sums, cells): beam search over the codebooks; cells are the numbers of the first ``depth`` codes of the
-    beam after that depth, best first, -1 where the beam is shorter."""
+    beam after that depth, best first, -1 where the beam is shorter; at depth 1 they are at least ``probes``, if there are so many."""
     n = len(vectors)
     books, words, dim = codebooks.shape
     flat = codebooks.reshape(-1, dim)
@@ -67,13 +70,16 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, depth: int, beam: int = B
         for j in range(codes.shape[2]):
             grown += 2 * gram[j * words + codes[:, :, j]][:, :, span]
         grown = grown.reshape(n, -1)
+        errors_of_words = grown
         width = min(beam, grown.shape[1])
         best = np.argpartition(grown, width - 1, axis=1)[:, :width]
         value = grown[rows, best]
         order = np.argsort(value, axis=1, kind="stable")
         best, errors = best[rows, order], value[rows, order]
         codes = np.concatenate([codes[rows, best // words], (best % words)[:, :, None]], axis=2)
-        if b + 1 == depth:
+        if depth == 1 and not b and probes > beam:
+            cells = np.argsort(errors_of_words, axis=1, kind="stable")[:, :probes].astype(np.int64)
+        elif b + 1 == depth:
             number = np.zeros((n, width), np.int64)
             for j in range(depth):
                 number = number * words + codes[:, :, j]
@@ -85,6 +91,63 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, depth: int, beam: int = B
     return top, np.linalg.norm(total, axis=1).astype(np.float32), cells
 
 
+def _sifter(asked, k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threads()
+        keys, points = asked.value
+        best = np.full((len(keys), k), -np.inf)
+        found = np.full((len(keys), k, points.shape[1]), 0, np.float32)
+        for batch in it:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                v = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                unit = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+                cosine = (points @ unit.T).astype(np.float64)
+                cosine[keys[:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
+                for i in np.flatnonzero(cosine.max(axis=1) > best[:, -1]):
+                    value = np.concatenate([best[i], cosine[i]])
+                    top = np.argsort(-value, kind="stable")[:k]
+                    found[i] = [found[i, j] if j < k else unit[j - k] for j in top]
+                    best[i] = value[top]
+        row, place = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(best[row, place]), pa.array([found[i, j].tobytes() for i, j in zip(row, place)], pa.binary())], schema=_SIFTED)
+
+    return run
+
+
+_SIFTED = pa.schema([("a", pa.int64()), ("cosine", pa.float64()), ("vector", pa.binary())])
+
+
+def reach(vectors: DataFrame, keys: np.ndarray, points: np.ndarray, codebooks: np.ndarray, k: int, schemes: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The first of the schemes (depth, probes) whose cells hold at least the share REACH of the k nearest of all vectors, for ASKED of
+    the points; None if none does.  The nearest are found by one pass over all vectors."""
+    some = np.arange(len(points))[:: -(-len(points) // ASKED)]
+    keys, points = keys[some], points[some]
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"))
+    sifted = vectors.select("node_key", "vector").mapInArrow(_sifter(vectors.sparkSession.sparkContext.broadcast((keys, points)), k), "a bigint, cosine double, vector binary")
+    near = sifted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "vector").collect()  # at most ASKED * k rows
+    if not near:
+        return schemes[0]
+    wanted = np.array([np.frombuffer(r["vector"], np.float32) for r in near])
+    for depth, probes in schemes:
+        cells = encode(points, codebooks, depth, probes=probes)[2]
+        searched = {key: set(list(dict.fromkeys(c for c in row if c >= 0))[:probes]) for key, row in zip(keys.tolist(), cells.tolist())}
+        home = encode(wanted, codebooks, depth)[2][:, 0].tolist()
+        if np.mean([cell in searched[r["a"]] for r, cell in zip(near, home)]) >= REACH:
+            return depth, probes
+    return None
+
+
+def _schemes(depth: int, probes: int, words: int) -> list[tuple[int, int]]:
+    """(depth, probes) from the least to the most vectors searched."""
+    out = [(d, p) for d in range(depth, 0, -1) for p in (probes, 2 * probes) if p <= BEAM or d == 1]
+    p = 4 * probes
+    while 2 * p <= words:
+        out.append((1, p))
+        p *= 2
+    return out or [(1, probes)]
+
+
 _ENCODED = pa.schema([("node_key", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("vector", pa.binary()), ("cells", pa.list_(pa.int64()))])
 
 
@@ -97,7 +160,7 @@ def _encoder(codebooks, depth: int, probes: int):
                 part = batch.slice(first, 512)
                 v = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
                 unit = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
-                codes, norms, cells = encode(unit, books, depth)
+                codes, norms, cells = encode(unit, books, depth, probes=probes)
                 cells = [list(dict.fromkeys(c for c in row if c >= 0))[:probes] for row in cells.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
@@ -184,6 +247,65 @@ def _searcher(codebooks, k: int):
     return run
 
 
+def _exact_searcher(k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threads()
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in it:
+            group = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and group[a] != last:
+                    yield from _exact_hits(pa.Table.from_batches(held), k)
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+                last = group[a]
+        if held:
+            yield from _exact_hits(pa.Table.from_batches(held), k)
+
+    return run
+
+
+def _exact_hits(t: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest base vectors of each asking one in a group of two blocks."""
+    keys, base = t.column("node_key").to_numpy(), t.column("is_base").to_numpy(zero_copy_only=False)
+    vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(t.num_rows, -1)
+    bk, bv = keys[base], vectors[base].astype(np.float64)
+    qk, qv = keys[~base], vectors[~base]
+    if not len(bk):
+        return
+    for first in range(0, len(qk), 256):
+        a = qk[first : first + 256]
+        cosine = qv[first : first + 256].astype(np.float64) @ bv.T
+        cosine[a[:, None] == bk[None, :]] = -np.inf
+        width = min(k, len(bk))
+        # The smaller key is nearer among equal cosines, so all that tie with the k-th are given.
+        bound = np.partition(cosine, len(bk) - width, axis=1)[:, len(bk) - width]
+        row, column = np.nonzero((cosine >= bound[:, None]) & np.isfinite(cosine))
+        if len(row) > 4 * k * len(a):  # many equal vectors: the k smallest keys of each are enough
+            order = np.lexsort((bk[column], -cosine[row, column], row))
+            row, column = row[order], column[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column = row[keep], column[keep]
+        if len(row):
+            yield _hits([(a[row], bk[column], cosine[row, column])])
+
+
+def exactly(asking: DataFrame, rows: DataFrame, total: int, k: int) -> DataFrame:
+    """(a, b, cosine): for each of ``asking`` its k nearest of ``rows`` (both node_key, vector), and possibly more, by comparing blocks."""
+    spread = lambda n: F.pmod(F.xxhash64("node_key"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = (max(1, -(-n // EXACT_BLOCK)) for n in (asking.count(), total))
+    asked = asking.select(spread(left).alias("i"), "node_key", "vector").select("i", every(right).alias("j"), "node_key", "vector", F.lit(False).alias("is_base"))
+    base = rows.select(spread(right).alias("j"), "node_key", "vector").select(every(left).alias("i"), "j", "node_key", "vector", F.lit(True).alias("is_base"))
+    pairs = asked.select((F.col("i") * right + F.col("j")).cast("bigint").alias("pair"), "node_key", "vector", "is_base")
+    pairs = pairs.unionByName(base.select((F.col("i") * right + F.col("j")).cast("bigint").alias("pair"), "node_key", "vector", "is_base"))
+    return pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_exact_searcher(k), "a bigint, b bigint, cosine double")
+
+
 def _hits(ready: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ready)], schema=_HITS)
 
@@ -200,7 +322,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> Da
     """(a, b, cosine): for each of the vectors (node_key, vector) its k nearest others by cosine.
 
     Every vector is indexed and searched for; the codebooks alone are fitted on a bounded sample.  Keys that come twice count
-    once.  Among equal cosines the smaller key is nearer.  The search is approximate: see the README for its measured recall.
+    once.  Among equal cosines the smaller key is nearer.  The search is approximate, exact where no cells would reach enough neighbours
+    and for vectors that see fewer than k others: see the README for its measured recall.
     """
     threads()
     spark = vectors.sparkSession
@@ -216,9 +339,16 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> Da
     points = (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32)
     words = int(min(WORDS, max(2, len(points) // 16)))
     depth = next((d for d in range(1, BOOKS) if total <= CELL * words**d), BOOKS)
-    codebooks = spark.sparkContext.broadcast(fit(points, words=words))
+    books = fit(points, words=words)
+    scheme = reach(vectors, np.array([r["node_key"] for r in sample], np.int64), points, books, k, _schemes(depth, probes, words))
+    codebooks = spark.sparkContext.broadcast(books)
+    depth, probes = scheme or (1, 1)
     rows = vectors.mapInArrow(_encoder(codebooks, depth, probes), "node_key bigint, codes binary, norm float, vector binary, cells array<bigint>")
     rows = written(rows, "encoded")
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    ranked = lambda hits: hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "cosine")
+    if scheme is None:
+        return ranked(exactly(rows, rows, total, k))
     # A cell with more base vectors than a block holds is searched block by block: its base is spread over blocks by a hash of
     # the key and its queries go to all of them.
     full = rows.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_BLOCK)
@@ -230,8 +360,12 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> Da
     )
     sorted_cells = placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
     hits = sorted_cells.mapInArrow(_searcher(codebooks, k), "a bigint, b bigint, cosine double")
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "cosine")
+    near = written(ranked(hits), "near")
+    enough = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, total - 1)).select(F.col("a").alias("node_key"))
+    short = written(rows.join(enough, "node_key", "left_anti").select("node_key", "vector"), "short")
+    if short.isEmpty():
+        return near
+    return near.join(short.select(F.col("node_key").alias("a")), "a", "left_anti").unionByName(ranked(exactly(short, rows, total, k)))
 
 
 def neighbours(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -114,6 +114,32 @@ def test_neighbours_recall(spark, odd):
     assert all(a < 600 and b < 600 for a, b in got)
 
 
+def test_vectors_without_clusters_have_their_neighbours(spark):
+    points = np.random.default_rng(5).normal(size=(9000, 64)).astype(np.float32)
+    rows = [(k, x.tolist()) for k, x in enumerate(points)]
+    got = {(r["a"], r["b"]) for r in ann.nearest(spark.createDataFrame(rows, "node_key bigint, vector array<float>")).collect()}
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
+    true = set()
+    for first in range(0, 9000, 1000):
+        cos = unit[first : first + 1000] @ unit.T
+        cos[np.arange(1000), np.arange(first, first + 1000)] = -2
+        true |= {(first + i, int(j)) for i, row in enumerate(np.argpartition(-cos, 5, axis=1)[:, :5]) for j in row}
+    assert len(got) == 45000 and len(got & true) >= 0.9 * len(true)
+
+
+def test_vectors_whose_cells_hold_too_few_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 1)
+    monkeypatch.setattr(ann, "REACH", 0.0)
+    monkeypatch.setattr(ann, "EXACT_BLOCK", 50)
+    points = np.random.default_rng(6).normal(size=(300, 64)).astype(np.float32)
+    got = {(r["a"], r["b"]) for r in ann.nearest(ann.usable(_nodes(spark, enumerate(points))), probes=1).collect()}
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    true = {(i, int(j)) for i, row in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in row}
+    assert len(got) == 1500 and len(got & true) >= 0.9 * len(true)
+
+
 def test_few_equal_and_no_vectors(spark):
     one = [1.0] * 64
     assert ann.found(_nodes(spark, [(1, one)])).count() == 0
