@@ -7,7 +7,7 @@ between them is water and is skipped.  Strings are blanked first, so that code i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,6 +80,26 @@ class Source:
         return None
 
 
+    def cut(self, start: int, end: int) -> str:
+        return self.text[start:end].strip("\n").rstrip()
+
+    def with_annotations(self, at: int) -> int:
+        """The start of the annotations on the line of ``at`` and directly above it, else ``at``."""
+        marks = {"java": "@", "javascript": "@", "php": "#"}.get(self.language)
+        line = self.line_start(at)
+        if not marks:
+            return at
+        lead = self.code[line:at].strip()
+        first = at if not lead.startswith(marks) else line + len(self.code[line:at]) - len(self.code[line:at].lstrip())
+        while line:
+            up = self.line_start(line - 1)
+            before = self.code[up:line]
+            if not before.strip().startswith(marks):
+                break
+            line, first = up, up + len(before) - len(before.lstrip())
+        return first
+
+
 def _after_brackets(code: str, at: int) -> int:
     """The place after the bracket group that opens at ``at``; -1 where it never closes."""
     depth = 0
@@ -113,7 +133,53 @@ def _docstring(source: Source, at: int) -> str | None:
     return None
 
 
-def _python(source: Source) -> Iterator[tuple[str, str | None]]:
+_PY_DECORATOR = re.compile(r"(?m)^[ \t]*@")
+_PY_STEP = re.compile(r"[()\[\]{}]|\n[ \t]*(?=[^\s#])")
+_JS_STEP = re.compile(r"[()\[\]{};]|\n\s*(?=[^\s.?:+\-*/%&|=,<>)\]}])")
+
+
+def _python_span(code: str, head: int, at: int, indent: int) -> tuple[int, int]:
+    """(start, end) of a function with its decorators: ``head`` is the start of its first line, ``at`` the place after its name."""
+    start = head
+    for m in reversed(list(_PY_DECORATOR.finditer(code, 0, head))):
+        depth, broken = 0, False
+        for c in _PY_STEP.finditer(code, m.end(), start):
+            if c[0][0] == "\n":
+                broken = broken or not depth and c.end() < start
+            else:
+                depth += 1 if c[0] in "([{" else -1
+        if broken or depth:
+            break
+        start = m.start()
+    depth = 0
+    for c in _PY_STEP.finditer(code, at):
+        if c[0][0] != "\n":
+            depth += 1 if c[0] in "([{" else -1
+        elif not depth and len(c[0][1:].expandtabs(8)) <= indent and code[c.start() - 1] != "\\":
+            return start, c.start()
+    return start, len(code)
+
+
+def _expression_end(code: str, at: int) -> int:
+    """The end of the expression at ``at`` that is a JavaScript function's body."""
+    depth = 0
+    for c in _JS_STEP.finditer(code, at):
+        if c[0] in "([{":
+            depth += 1
+        elif c[0] in ")]}":
+            depth -= 1
+            if depth < 0:
+                return c.start()
+        elif not depth:
+            return c.end() if c[0] == ";" else c.start()
+    return len(code)
+
+
+#: Name, raw documentation, and the function's code (annotations, signature and body) when asked for.
+_Function = tuple[str, "str | None", Callable[[], str]]
+
+
+def _python(source: Source) -> Iterator[_Function]:
     code, stack = source.code, []
     heads = list(_PY_HEAD.finditer(code))
     for m in heads:
@@ -124,7 +190,7 @@ def _python(source: Source) -> Iterator[tuple[str, str | None]]:
             stack.append((indent, "class", m[4]))
             continue
         if not any(kind == "def" for _, kind, _ in stack):
-            yield (f"{stack[-1][2]}.{m[4]}" if stack else m[4]), _docstring(source, m.end())
+            yield (f"{stack[-1][2]}.{m[4]}" if stack else m[4]), _docstring(source, m.end()), lambda m=m, indent=indent: source.cut(*_python_span(code, m.start(), m.end(), indent))
         stack.append((indent, "def", m[4]))
 
 
@@ -143,7 +209,7 @@ _PHP = re.compile(
 _NOT_NAMES = set("if for while switch catch return function with super new synchronized else do try await typeof throw".split())
 
 
-def _braced(source: Source) -> Iterator[tuple[str, str | None]]:
+def _braced(source: Source) -> Iterator[_Function]:
     code, language = source.code, source.language
     scan = {"javascript": _JS, "java": _JAVA, "go": _GO, "php": _PHP}[language]
     stack: list[tuple[str, str]] = []
@@ -177,10 +243,12 @@ def _braced(source: Source) -> Iterator[tuple[str, str | None]]:
             lead = code[source.line_start(start) : start].strip()
             doc = source.comment_before(start) if not lead or lead[0] in "@#" else None
             owner = g.get("recv") or (stack[-1][1] if kind == "class" else "")
+            braced = code[body : body + 1] == "{"
+            end = _after_brackets(code, body) if braced else _expression_end(code, body) if language == "javascript" else body + 1
             if kind in ("file", "class"):
-                yield (f"{owner}.{name}" if owner else name), doc
-            if code[body : body + 1] == "{":  # the balanced body is water: functions inside functions don't count
-                at = _after_brackets(code, body)
+                yield (f"{owner}.{name}" if owner else name), doc, lambda start=start, end=end if end >= 0 else n: source.cut(source.with_annotations(start), end)
+            if braced:  # the balanced body is water: functions inside functions don't count
+                at = end
                 if at < 0:
                     return
 
@@ -191,16 +259,21 @@ _RUBY_ISLAND = re.compile(
 )
 
 
-def _ruby(source: Source) -> Iterator[tuple[str, str | None]]:
+def _ruby(source: Source) -> Iterator[_Function]:
     stack: list[tuple[str, str]] = []
+    held: tuple[str, str | None, int] | None = None  # the function not yet ended
     looped = -1
     for m in _RUBY_ISLAND.finditer(source.code):
         if m["end"]:
             if stack:
                 stack.pop()
+            if held and all(kind == "class" for kind, _ in stack):
+                name, doc, start = held
+                yield name, doc, lambda start=start, end=m.end(): source.cut(start, end)
+                held = None
         elif m["def"]:
             if all(kind == "class" for kind, _ in stack):
-                yield (f"{stack[-1][1]}.{m['name']}" if stack else m["name"]), source.comment_before(m.end())
+                held = (f"{stack[-1][1]}.{m['name']}" if stack else m["name"]), source.comment_before(m.end()), m.start()
             stack.append(("def", ""))
         elif m["cls"]:
             stack.append(("class", m["cname"].rsplit("::", 1)[-1]))
@@ -212,26 +285,30 @@ def _ruby(source: Source) -> Iterator[tuple[str, str | None]]:
             if m["open"] in ("while", "until", "for"):
                 looped = source.line_start(m.start("open"))
             stack.append(("block", ""))
+    if held:
+        name, doc, start = held
+        yield name, doc, lambda: source.cut(start, len(source.text))
 
 
 _LEAD = re.compile(r"(?:\s|<\?php\b|@[\w.]+(?:\([^()\n]*\))?|#\[[^\]\n]*\])*")
 
 
-def functions(text: str, language: str, func_name: str | None) -> Iterator[tuple[str, str | None]]:
-    """Names and raw documentation of the functions in the text; with ``func_name`` the text is that one function."""
+def functions(text: str, language: str, func_name: str | None) -> Iterator[_Function]:
+    """Names, raw documentation and code of the functions in the text; with ``func_name`` the text is that one function."""
     source = Source(text, language)
     if func_name is None:
         yield from _python(source) if language == "python" else _ruby(source) if language == "ruby" else _braced(source)
     elif language == "python":
         m = _PY_HEAD.search(source.code)
         if m and m[2]:
-            yield func_name, _docstring(source, m.end())
+            yield func_name, _docstring(source, m.end()), lambda: source.cut(0, len(text))
     else:
         start = _LEAD.match(source.code).end()
         if language in ("java", "php"):  # annotations on the declaration's own line or above it
             first = re.compile(r"\s*(?:<\?php\b\s*)?").match(source.code).end()
             start = start if source.code[first : first + 1] not in "@#" else first
-        yield func_name, source.comment_before(start)
+        first = re.compile(r"\s*(?:<\?php\b\s*)?").match(source.code).end()
+        yield func_name, source.comment_before(start), lambda: source.cut(first, len(text))
 
 
 # ---------------------------------------------------------------- what documentation says
@@ -308,35 +385,50 @@ def is_real(doc: str | None, name: str) -> bool:
     return says and count >= 4
 
 
-_OUT = pa.schema([("doc_id", pa.string()), ("func_name", pa.string()), ("language", pa.string()), ("documentation", pa.string())])
+_OUT = pa.schema([("doc_id", pa.string()), ("func_name", pa.string()), ("language", pa.string()), ("documentation", pa.string()), ("code", pa.string())])
+_FOUND = pa.schema([("doc_id", pa.string()), ("func_name", pa.string())])
 
 
-def documented(code: str, language: str, func_name: str | None) -> list[tuple[str, str]]:
-    """(name, documentation) of the functions with real documentation; none if the code is not valid."""
+def documented_code(code: str, language: str, func_name: str | None, wanted: bool = True) -> list[tuple[str, str, str]]:
+    """(name, documentation, code) of the functions with real documentation; none if the code is not valid.  The code of a function is
+    its annotations, signature and body; it is left empty unless ``wanted``."""
     text = plain_lines(code)
-    found = [(name, told(doc)) for name, doc in functions(text, language, func_name) if is_real(doc, name)]
+    found = [(name, told(doc), own() if wanted else "") for name, doc, own in functions(text, language, func_name) if is_real(doc, name)]
     return found if found and parses(text, language, func_name is not None) else []
 
 
-def _pairs(rows: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {n: [] for n in _OUT.names}
-    for doc, path, func, code, language in zip(*(rows[n] for n in ("doc_id", "path", "func_name", "code", "language"))):
-        lang = language_of(language, path)
-        for name, text in documented(code, lang, func) if lang else ():
-            for column, value in zip(_OUT.names, (doc, name, lang, text)):
-                out[column].append(value)
-    return out
+def documented(code: str, language: str, func_name: str | None) -> list[tuple[str, str]]:
+    """(name, documentation) of the functions with real documentation; none if the code is not valid."""
+    return [(name, doc) for name, doc, _ in documented_code(code, language, func_name, False)]
+
+
+def _pairs(schema: pa.Schema) -> Callable[[dict[str, list]], dict[str, list]]:
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for doc, path, func, code, language in zip(*(rows[n] for n in ("doc_id", "path", "func_name", "code", "language"))):
+            lang = language_of(language, path)
+            for name, text, own in documented_code(code, lang, func, "code" in out) if lang else ():
+                for column, value in zip(schema.names, (doc, name, lang, text, own)):
+                    out[column].append(value)
+        return out
+
+    return run
+
+
+def _rows(docs: DataFrame, schema: pa.Schema) -> DataFrame:
+    rows = with_code(picked(docs, "doc_id", "path", "func_name", "code", "language"))
+    return rows.mapInArrow(batches(_pairs(schema), schema), ", ".join(f"{n} string" for n in schema.names)).distinct()
 
 
 def function_docs(docs: DataFrame) -> DataFrame:
-    """(doc_id, func_name, language, documentation), one row per function or method with real documentation.
+    """(doc_id, func_name, language, documentation, code), one row per function or method with real documentation; code is its
+    annotations, signature and body.
 
     Null or empty code, and code that does not parse, gives nothing; so does a row of unknown language.  Two functions of
-    one name in one file with the same documentation are one row.  Redelivered rows count once.
+    one name in one file with the same documentation and code are one row.  Redelivered rows count once.
     """
-    rows = with_code(picked(docs, "doc_id", "path", "func_name", "code", "language"))
-    return rows.mapInArrow(batches(_pairs, _OUT), "doc_id string, func_name string, language string, documentation string").distinct()
+    return _rows(docs, _OUT)
 
 
 def found(docs: DataFrame) -> DataFrame:
-    return function_docs(docs).select("doc_id", "func_name").distinct()
+    return _rows(docs, _FOUND)

@@ -146,6 +146,22 @@ def test_functions_with_documentation(language, text, want):
     assert {n for n, _ in funcdocs.documented(text.replace("\n", "\r\n"), language, None)} == want
 
 
+def test_pairs_have_the_code_of_the_function(docs_of):
+    code = lambda language, text: {n: c for n, _, c in funcdocs.documented_code(text, language, None)}
+    py = code("python", PY.replace("    def method(self):", "    @cached(\n        1,\n    )\n    @other\n    def method(self):"))
+    assert py["A.method"].startswith("    @cached(\n") and py["A.method"].endswith("return nested") and py["promised"].startswith("def promised():\n") and py["promised"].endswith('well."""')
+    js = code("javascript", JS)
+    assert js == {"add": "const add = (a, b) => { return a + b; }", "Store.find": "async find(key) { if (key) { return g(function inner() {}); } }"}
+    assert code("javascript", "// Adds one to the given number.\nconst f = (a) => g(a,\n  1) + 1;\nconst b = 2;\n") == {"f": "const f = (a) => g(a,\n  1) + 1;"}
+    assert code("java", JAVA) == {"A.build": "@Override\n  public Map<String, Integer> build(int a) throws E { return new B() { void run() {} }; }"}
+    assert code("go", GO) == {"Worker.Run": "func (w *Worker) Run(n int) error {\n\treturn nil\n}"}
+    assert code("ruby", RUBY) == {"A.sort_it": "  def sort_it(a)\n    a.each do |x|\n      if x then y end\n    end\n  end", "show": "def show(t)\nend"}
+    assert code("php", PHP) == {"A.first": "#[Pure]\n    public static function first($a) { return 1; }", "open_it": "function open_it() { }"}
+    twice = "class A {\n  /** Gives the number of open files. */\n  int f(int a) { return 1; }\n  /** Gives the number of open files. */\n  int f(long a) { return 2; }\n}\n"
+    rows = funcdocs.function_docs(docs_of(("a", "A.java", None, twice), ("b", "A.java", "A.f", "// Gives the number of open files.\n@X\nint f() { return 1; }"))).collect()
+    assert sorted(r["code"] for r in rows) == ["@X\nint f() { return 1; }", "int f(int a) { return 1; }", "int f(long a) { return 2; }"]
+
+
 @pytest.mark.parametrize(
     ("doc", "real"),
     [
