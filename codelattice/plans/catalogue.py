@@ -545,9 +545,16 @@ def _(spark, at):
     return p.select("p_partkey", T.sequence_ratio(F.col("p_name"), F.col("p_type")).alias("ratio"))
 
 
+def _python(docs: DataFrame) -> DataFrame:
+    """Rows of docs in Python: by their label however written, else by the path's extension."""
+    label = F.lower(F.regexp_replace(F.coalesce("language", F.lit("")), r"^\s+|\s+$", ""))
+    known = label.isin("python", "py", "python3", "javascript", "js", "node", "java", "go", "golang", "php", "ruby", "rb")
+    return docs.where(label.isin("python", "py", "python3") | ~known & F.coalesce(F.lower("path").rlike(r"\.pyw?$"), F.lit(False)))
+
+
 @query("syntax_check")
 def _(spark, at):
-    return _t(spark, at, "docs").where("language = 'python'").select("doc_id", T.parses_as_python(F.col("code")).alias("valid")).distinct()
+    return _python(_t(spark, at, "docs")).select("doc_id", T.parses_as_python(F.col("code")).alias("valid")).distinct()
 
 
 # ---------------------------------------------------------------- keys and names
@@ -588,7 +595,7 @@ def _(spark, at):
 
 @query("import_categories")
 def _(spark, at):
-    d = _t(spark, at, "docs").where("language = 'python' AND code IS NOT NULL").select("doc_id", "repo", F.explode(T.imported_modules(F.col("code"))).alias("module")).distinct()
+    d = _python(_t(spark, at, "docs")).where("code IS NOT NULL").select("doc_id", "repo", F.explode(T.imported_modules(F.col("code"))).alias("module")).distinct()
     none = spark.createDataFrame([], "repo string, package string")
     return readers.categorised_imports(d, none)
 
