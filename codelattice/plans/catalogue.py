@@ -521,6 +521,13 @@ def _(spark, at):
     return d.select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.fits_context(F.col("text"), [], 200, 0).alias("fits"))
 
 
+@query("token_budget_fit_all")
+def _(spark, at):
+    """Over every document; token_budget_fit has only those its SQL has."""
+    d = _t(spark, at, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.fits_context(F.col("text"), [], 200, 0).alias("fits"))
+
+
 @query(
     "budget_pack_prefix",
     "SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 8000",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -60,3 +61,12 @@ def test_python_rows_are_told_by_label_or_path(spark, tmp_path):
     want = {r[0] for r in rows if language_of(r[4], r[2]) == "python"}
     assert {r["doc_id"] for r in catalogue.queries()["syntax_check"](spark, str(tmp_path)).collect()} == want
     assert {r["doc_id"] for r in catalogue.queries()["import_categories"](spark, str(tmp_path)).collect()} == want
+
+
+def test_tokens_of_every_document_like_brute_force(spark, tmp_path):
+    texts = ["", "a b", "naïve, Straße!", "x_1+y\u00a0z", "tab\tand\x0bline\r\n", "... ¿qué? 日本", "w " * 200, "w " * 201, None]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate((t, g) for t in texts for g in ("en", "xx", None))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    count = lambda t: len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]", t))
+    want = {(i, count(t), count(t) <= 200) for i, t, _ in rows if t is not None}
+    assert {tuple(r) for r in catalogue.queries()["token_budget_fit_all"](spark, str(tmp_path)).collect()} == want
