@@ -159,7 +159,8 @@ _GO_OPS = _table("""
 _PHP_WORDS = _table("""
     F function fn
     C class trait interface enum
-    n new clone print include include_once require require_once yield throw
+    n new clone print include include_once require require_once throw
+    y yield
     M public private protected static final abstract var readonly
     k const
     N namespace
@@ -317,6 +318,8 @@ def kinds_javascript(text: str) -> str:
     out: list[str] = []
     words, ops, match = _JS_WORDS, _JS_OPS, _SCAN["javascript"].match
     at, n, line, last = 0, len(text), False, ";"
+    open_headers: list[bool] = []  # for each open parenthesis whether it is a control statement's
+    header = False  # the last closed parenthesis was one
     if text.startswith("#!"):
         at = text.find("\n") if "\n" in text else n
     while at < n:
@@ -341,13 +344,17 @@ def kinds_javascript(text: str) -> str:
             at, k = _template(text, at), "k"
         else:
             o = m["o"]
-            if o[0] == "/" and last in _BEFORE_REGEX:
+            if o[0] == "/" and (last in _BEFORE_REGEX or last == ")" and header):
                 r = _JS_REGEX.match(text, m.start("o"))
                 if r is None:
                     raise Broken("pattern not closed")
                 at, k = r.end(), "s"
             else:
                 k = ops.get(o, o)
+                if o == "(":
+                    open_headers.append(last in "IWO")
+                elif o == ")":
+                    header = bool(open_headers) and open_headers.pop()
         if line:
             if last in _JS_ENDS and k not in _JS_GOES_ON and not (last == ")" and k == "{"):
                 out.append("N")
@@ -445,6 +452,8 @@ def kinds_php(text: str, inside: bool = False) -> str:
                 k = words.get(m["w"].lower(), "i")
                 if out and out[-1] in "pq":
                     k = "i"
+                elif out and out[-1] == "y" and m["w"].lower() == "from":
+                    continue
             elif g == "v":
                 k = "v"
             elif g == "o":
@@ -541,10 +550,12 @@ def kinds_ruby(text: str) -> str:
                 k = "i"
                 if text.startswith("=", at) and re.compile(r"=\s*\(|=[ \t]*[a-z_]").match(text, at) and not text.startswith("==", at) and text[at + 1 : at + 2] == "(":
                     at += 1
-            elif at < n and text[at] == ":" and not text.startswith("::", at) and last != "?" and (at + 1 == n or text[at + 1] in " \t\n\"'[({,):"):
+            elif at < n and text[at] == ":" and not text.startswith("::", at) and last != "?" and (at + 1 == n or text[at + 1] in " \t\n\"'[({,):}"):
                 k, at = "j", at + 1
             else:
                 k = words.get(word, "i")
+                if last in "CM" and k == "i" and (word[0].islower() or word[0] == "_") and not text.startswith("::", at):
+                    raise Broken("name of a class or module")
                 if k == "W" or k == "O":
                     header = last in "N" or last in "=(" or k == "O"
                 elif k == "o" and header:
@@ -598,7 +609,7 @@ def kinds_ruby(text: str) -> str:
 
 # ---------------------------------------------------------------- grammars
 
-_DSL = re.compile(r"\s+|<(\w+)>|'([^']+)'|(\[(?:\\.|[^\]\\])+\]|\\Z)|([!&]?\()|([*+?])|(.)")
+_DSL = re.compile(r"\s+|<(\w+)>|'([^']+)'|(\[(?:\\.|[^\]\\])+\]|\\Z)|([!&~]?\()|([*+?])|(.)")
 
 
 def _body(text: str) -> str:
@@ -609,7 +620,7 @@ def _body(text: str) -> str:
         elif literal:
             out.append(re.escape(literal))
         elif group:
-            out.append({"(": "(?>", "!(": "(?!", "&(": "(?="}[group])
+            out.append({"(": "(?>", "!(": "(?!", "&(": "(?=", "~(": "(?<!"}[group])
         elif times:
             out.append(times + "+")
         elif chars or other:
@@ -619,7 +630,7 @@ def _body(text: str) -> str:
 
 def grammar(rules: str, start: str) -> regex.Pattern:
     """A pattern of ``start`` from ``name = body`` lines: ``<name>`` refers to a rule, quoted text and letters are kinds,
-    alternatives are ordered and repetition never gives back."""
+    ``!(``, ``&(`` and ``~(`` say what must not follow, must follow and must not stand before, alternatives are ordered and repetition never gives back."""
     defined = "".join(f"(?P<{n}>{_body(b)})" for n, b in re.findall(r"(?m)^ *(\w+) = (.*(?:\n {8,}.*)*)$", rules))
     return regex.compile(rf"(?(DEFINE){defined})(?:{_body(start)})")
 
@@ -650,7 +661,7 @@ _JS_RULES = r"""
     member = [;NZ#] | t <block> | <method> | <mods> <key> ('=' <asg>)? <end>
     expr = <asg> (',' <asg>)*
     arrow = Y? (<id> | <params>) '>' (<block> | <asg>)
-    asg = &(Y? (<id> '>' | '(')) <arrow> | y '*'? <asg>? | <bin> ('?' <asg> ':' <asg>)? ([=a] <asg>)?
+    asg = &(Y? (<id> '>' | '(')) <arrow> | y '*'? <asg>? | <bin> ('?' <asg> ':' <asg>)? (~([nsk]) [=a] <asg>)?
     bin = <un> ([b+*g] <un>)*
     un = [J!+\^]* <post>
     post = <prim> ('(' (<arg> (',' <arg>)* ','?)? ')' | '.' (<word> | '(' (<arg> (',' <arg>)*)? ')' | '[' <expr> ']') | '[' <expr> ']' | k)* '^'?
@@ -692,7 +703,7 @@ _JAVA_RULES = r"""
     switch = S '(' <expr> ')' '{' ((c <pattern> (',' <pattern>)* | d) (l (<block> | R <expr> ';' | <expr> ';') | ':' <st>*))* '}'
     pattern = <type> i | <bin>
     list = <expr> (',' <expr>)*
-    expr = &(i l | '(') <lambda> | <bin> ('?' <expr> ':' <expr>)? ([=a] <expr>)?
+    expr = &(i l | '(') <lambda> | <bin> ('?' <expr> ':' <expr>)? (~(n) [=a] <expr>)?
     lambda = (i | '(' (i (',' i)*)? ')' | <mparams>) l (<block> | <expr>)
     bin = <un> ((b | '+' | '*' | '<'  | '>' '>'? '>'? | '&' | '|') <un> | q M? <type> i?)*
     un = ([!+\^] | '(' t <dims> ')' | '(' <type> ('&' <type>)* ')' &([inr(!wtS]))* <post>
@@ -745,7 +756,7 @@ _PHP_RULES = r"""
     params = '(' (<param> (',' <param>)* ','?)? ')'
     param = M* <type>? '&'? E? v ('=' <expr>)?
     fn = F '&'? <name> <params> (':' <type>)?
-    name = [iFCnMkNURBILeWDOfATKPScdgGbx]
+    name = [iFCnyMkNURBILeWDOfATKPScdgGbx]
     closure = M? F '&'? <params> ((U '(' ('&'? v (',' '&'? v)* ','?)? ')')? (':' <type>)? <block> | (':' <type>)? '>' <expr>)
     block = '{' <st>* '}'
     cls = M* C i (':' <type>)? (x i (',' i)*)* <cbody>
@@ -761,7 +772,7 @@ _PHP_RULES = r"""
     body = ':' <st>* e ';' | <st>
     cases = ((c <expr> | d) [:;] <st>*)*
     list = <expr> (',' <expr>)*
-    expr = <bin> ('?' <expr>? ':' <bin>)* ([=a] '&'? <expr>)?
+    expr = y (<expr> ('>' <expr>)?)? | <bin> ('?' <expr>? ':' <bin>)* (~(0) [=a] '&'? <expr>)?
     bin = <un> ([b+*&|] <un> | g <un>)*
     un = ([!+\^&n] | '(' i ')' &([v0ir(\[!+n]))* <post>
     post = <prim> (p (<name> | v | '{' <expr> '}') | q (<name> | v | '{' <expr> '}') | '[' <expr>? ']' | '(' (<arg> (',' <arg>)* ','? | E)? ')' | '{' <arms> '}')* '^'?
@@ -780,7 +791,7 @@ _RUBY_RULES = r"""
     nots = (q | '!')* (R (<args>)? | <mlhs> '=' <args> | <asg>)
     mlhs = <lhs> (',' <lhs>)+
     lhs = '*'? i ('.' i | u i | '[' [^\]]* ']')* | '*' | '(' <lhs> (',' <lhs>)* ')'
-    asg = <tern> (('=' | A) N* <value>)?
+    asg = <tern> (~(n) ('=' | A) N* <value>)?
     value = (<asg> | R) (',' <arg> (',' <arg>)*)? (v <asg>)?
     tern = <bin> ('?' N* <tern> N* (':' N* <tern>))?
     bin = <un> ((b | '+' | '*' | '<' | '>' !(.) | '&' | '|' | '!' | S) N* <un>)* (b &([)\]N]))?
@@ -799,7 +810,7 @@ _RUBY_RULES = r"""
         | I <simple> (t | N t?) <sts> (l <simple> (t | N t?) <sts>)* (L <sts>)? E | W <simple> (D | N) <sts> E | O <plist> g <simple> (D | N) <sts> E | c <simple>? N* ([wg] <args> (t | N t?) <sts>)+ (L <sts>)? E
         | B <body> E | f (<paren2> | <plist>)? <block> | u i | R
     paren2 = '(' <plist>? ')'
-    pair = j N* <asg>? | S <un> | <asg> N* '>' N* <asg>
+    pair = j N* (<asg> ('>' N* <asg>)?)? | S <un> | <asg> N* '>' N* <asg>
 """
 
 
@@ -966,7 +977,7 @@ def folded(kinds: str, language: str, unit: bool) -> str:
             return kinds
 
 
-#: Seconds after which a text nested beyond all measure is given the benefit of the doubt.
+#: Seconds after which a text nested beyond all measure is left undecided.
 PATIENCE = 30
 
 
@@ -1013,7 +1024,7 @@ def plain_lines(text: str) -> str:
     return text.removeprefix("﻿").rstrip()
 
 
-def _parses_python(text: str, unit: bool) -> bool:
+def _parses_python(text: str, unit: bool) -> bool | None:
     if unit and text.lstrip("\n")[:1] in (" ", "\t"):
         text = "if 1:\n" + text
     try:
@@ -1023,14 +1034,15 @@ def _parses_python(text: str, unit: bool) -> bool:
     except (SyntaxError, ValueError):
         return False
     except (RecursionError, MemoryError):
-        return True  # nested beyond this parser's stack, which is no fault of the text
+        return None  # nested beyond this parser's stack, which is no fault of the text
     if unit and len(body) == 1 and isinstance(body[0], ast.If) and text.startswith("if 1:\n"):
         body = body[0].body
     return not unit or len(body) == 1 and isinstance(body[0], (ast.FunctionDef, ast.AsyncFunctionDef))
 
 
-def parses(text: str, language: str, unit: bool) -> bool:
-    """Whether the text is valid syntax; ``unit``: as one declaration of a function or method, else as a file."""
+def parses(text: str, language: str, unit: bool) -> bool | None:
+    """Whether the text is valid syntax; ``unit``: as one declaration of a function or method, else as a file.  None where that cannot
+    be told, as the text is nested beyond the matcher's memory or its time."""
     text = plain_lines(text)
     if language == "python":
         return _parses_python(text, unit)
@@ -1041,4 +1053,4 @@ def parses(text: str, language: str, unit: bool) -> bool:
     try:
         return _matches(folded(kinds, language, unit), language, unit)
     except (TimeoutError, MemoryError):
-        return True
+        return None

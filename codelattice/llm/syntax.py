@@ -36,10 +36,11 @@ def ranked(text: str) -> list[str]:
     return sorted(LANGUAGES, key=lambda lang: (-scores[lang], LANGUAGES.index(lang)))
 
 
-def verdict(code: str, language: str, unit: bool) -> tuple[bool, str | None]:
-    """Whether the code is valid in its language; if not, the best-ranked language it is valid in."""
-    if parses(code, language, unit):
-        return True, None
+def verdict(code: str, language: str, unit: bool) -> tuple[bool | None, str | None]:
+    """Whether the code is valid in its language (None: cannot be told); if not, the best-ranked language it is valid in."""
+    own = parses(code, language, unit)
+    if own is not False:
+        return own, None
     code = plain_lines(code)
     if not re.search(r"\w", code):
         return False, None
@@ -57,7 +58,7 @@ def _verdicts(rows: dict[str, list]) -> dict[str, list]:
             valid, other, cause = None, None, "unknown language"
         else:
             valid, other = verdict(code, lang, func is not None)
-            cause = None if valid else "wrong language" if other else "corrupt"
+            cause = None if valid else "undecided" if valid is None else "wrong language" if other else "corrupt"
         for name, value in zip(_OUT.names, (doc, repo, lang, valid, other, cause)):
             out[name].append(value)
     return out
@@ -67,8 +68,8 @@ def check_syntax(docs: DataFrame) -> DataFrame:
     """(doc_id, repo, language, valid, parses_as, cause), one row per doc_id.
 
     Judged as TESTDATA says: rows with func_name as one declaration, others as a file.  Null or empty code gives no row; a
-    row whose language is neither named nor told by its path has valid null and cause ``unknown language``.  A doc_id
-    delivered more than once counts once; a null doc_id is kept as it is.  Other columns are not read.
+    row whose language is neither named nor told by its path has valid null and cause ``unknown language``, one that is nested beyond
+    the parser's memory or time has valid null and cause ``undecided``.  A doc_id delivered more than once counts once; a null doc_id is kept as it is.  Other columns are not read.
     """
     rows = with_code(picked(docs, "doc_id", "repo", "path", "func_name", "code", "language"))
     found = rows.mapInArrow(batches(_verdicts, _OUT), "doc_id string, repo string, language string, valid boolean, parses_as string, cause string")
@@ -80,9 +81,13 @@ def invalid(docs: DataFrame) -> DataFrame:
 
 
 def invalid_rates(docs: DataFrame) -> DataFrame:
-    """(repo, language, files, invalid_files, wrong_language_files, invalid_share) per repo and language."""
+    """(repo, language, files, invalid_files, wrong_language_files, undecided_files, invalid_share) per repo and language; files that are
+    undecided count in no share."""
     return (
-        check_syntax(docs).where(F.col("valid").isNotNull()).groupBy("repo", "language")
-        .agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("valid")).alias("invalid_files"), F.count_if(F.col("cause") == "wrong language").alias("wrong_language_files"))
-        .withColumn("invalid_share", F.round(F.col("invalid_files") / F.col("files"), 6))
+        check_syntax(docs).where(F.col("language").isNotNull()).groupBy("repo", "language")
+        .agg(
+            F.count("valid").alias("files"), F.count_if(~F.col("valid")).alias("invalid_files"), F.count_if(F.col("cause") == "wrong language").alias("wrong_language_files"),
+            F.count_if(F.col("cause") == "undecided").alias("undecided_files"),
+        )
+        .withColumn("invalid_share", F.when(F.col("files") > 0, F.round(F.col("invalid_files") / F.col("files"), 6)))
     )
