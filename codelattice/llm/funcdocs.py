@@ -21,7 +21,9 @@ _SINGLE = r"'(?:[^'\\\n]|\\(?s:.))*'"
 #: Comments (c) and strings (s) of each language.
 _OPAQUE = {
     "python": re.compile(r'(?P<c>\#[^\n]*)|(?P<s>[rRuUbBfF]{0,2}(?:"""(?s:[^\\]|\\.)*?"""|\'\'\'(?s:[^\\]|\\.)*?\'\'\'|' + rf"{_QUOTED}|{_SINGLE}))"),
-    "javascript": re.compile(rf"(?P<c>//[^\n]*|{_BLOCK})|(?P<s>{_QUOTED}|{_SINGLE}|`(?:[^`\\]|\\.)*`|(?<=[=(,:;!&|?])[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/)"),
+    "javascript": re.compile(
+        rf"(?P<c>//[^\n]*|{_BLOCK})|(?P<s>{_QUOTED}|{_SINGLE}|`(?:[^`\\]|\\.)*`|(?:(?<=[=(,:;!&|?{{}}>])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=^)|(?<=\n))[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/|(?<=\))[ \t]*/(?![*/= ])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/(?=[a-z]*\.[a-z]))"
+    ),
     "java": re.compile(rf'(?P<c>//[^\n]*|{_BLOCK})|(?P<s>"""(?s:[^\\]|\\.)*?"""|{_QUOTED}|{_SINGLE})'),
     "go": re.compile(rf"(?P<c>//[^\n]*|{_BLOCK})|(?P<s>{_QUOTED}|{_SINGLE}|`[^`]*`)"),
     "php": re.compile(rf"(?P<c>//[^\n]*|\#(?!\[)[^\n]*|{_BLOCK})|(?P<s>\"(?s:[^\"\\]|\\.)*\"|'(?s:[^'\\]|\\.)*'|<<<[ \t]*[\"']?(?P<t>\w+)[\"']?\n(?s:.*?)\n[ \t]*(?P=t)\b)"),
@@ -232,8 +234,8 @@ def _braced(source: Source) -> Iterator[_Function]:
                     continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             params = _after_brackets(code, at) if code[at : at + 1] == "(" else at
-            if params < 0:
-                return
+            if params < 0:  # it seems not to close, so this is no function; what follows is scanned on
+                continue
             tail = re.compile(r"[^{};=]*(?:=>\s*)?").match(code, params)
             body = tail.end()
             if g.get("mname") and language == "javascript" and code[body : body + 1] != "{":
@@ -248,9 +250,7 @@ def _braced(source: Source) -> Iterator[_Function]:
             if kind in ("file", "class"):
                 yield (f"{owner}.{name}" if owner else name), doc, lambda start=start, end=end if end >= 0 else n: source.cut(source.with_annotations(start), end)
             if braced:  # the balanced body is water: functions inside functions don't count
-                at = end
-                if at < 0:
-                    return
+                at = end if end >= 0 else body + 1  # seems never to close: what is inside is scanned as if it stood outside
 
 
 _RUBY_ISLAND = re.compile(
@@ -394,7 +394,7 @@ def documented_code(code: str, language: str, func_name: str | None, wanted: boo
     its annotations, signature and body; it is left empty unless ``wanted``."""
     text = plain_lines(code)
     found = [(name, told(doc), own() if wanted else "") for name, doc, own in functions(text, language, func_name) if is_real(doc, name)]
-    return found if found and parses(text, language, func_name is not None) else []
+    return found if found and parses(text, language, func_name is not None) is not False else []
 
 
 def documented(code: str, language: str, func_name: str | None) -> list[tuple[str, str]]:
