@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, picked
+from .common import batches, picked, sized
 
 #: Smallest piece as a share of the largest; expected distance of landmarks as a share of it; how far a cut may be moved to a boundary.
 LEAST, LANDMARKS, REACH = 0.4, 0.15, 0.12
@@ -56,15 +56,17 @@ class _Boundaries:
 def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int, int]]:
     """(start, own start, end) of each piece: it is text[start:end], of which text[own start:end] is not in the piece before.
 
-    No piece is longer than max_chars; without their repeated starts the pieces are the text, whole and in order.
+    No piece is longer than max_chars; without their repeated starts the pieces are the text, whole and in order.  Each piece but the
+    first repeats about overlap_chars of what stands before it, a quarter more or less, to start at a natural boundary; an overlap of
+    max_chars or more is taken as one less, as a piece must have something new.
     """
     n = len(text)
     if max_chars < 1:
         raise ValueError("max_chars must be positive")
     if n <= max_chars:
         return [(0, 0, n)]
-    overlap = max(0, min(overlap_chars, max_chars // 2))
-    slack = overlap // 4
+    overlap = max(0, min(overlap_chars, max_chars - 1))
+    slack = min(overlap, max_chars - overlap) // 4
     room = max_chars - overlap - slack
     least, reach = max(1, int(room * LEAST)), max(1, int(room * REACH))
     marks = landmarks(text, max(2, int(room * LANDMARKS)))
@@ -105,6 +107,12 @@ def _cut(rows: dict[str, list]) -> dict[str, list]:
     return out
 
 
+def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """The items (field_name, item_key, text) that are longer than their field's limit, with max_chars and overlap_chars."""
+    limits = picked(limits, "field_name", "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates(["field_name"])
+    return picked(items, "field_name", "item_key", "text").join(sized(limits, "limits"), "field_name").where(F.length("text") > F.col("max_chars"))
+
+
 def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of the items (field_name, item_key, text) that are longer than their field's limit, in characters.
 
@@ -112,11 +120,7 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
     limit, is not split, nor is null text.  Columns: field_name, item_key, piece (from 0), pieces, start, own_start, end, text;
     the piece is the item's [start, end), of which [own_start, end) is new.  An item that comes twice gives its pieces twice.
     """
-    limits = picked(limits, "field_name", "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates(["field_name"])
-    fields = [r["field_name"] for r in limits.select("field_name").limit(1000).collect()]
-    small = F.broadcast(limits) if len(fields) < 1000 else limits
-    long = picked(items, "field_name", "item_key", "text").join(small, "field_name").where(F.length("text") > F.col("max_chars"))
-    return long.mapInArrow(batches(_cut, _OUT), _DDL)
+    return oversized(items, limits).mapInArrow(batches(_cut, _OUT), _DDL)
 
 
 def items_of(docs: DataFrame, tree_nodes: DataFrame) -> DataFrame:
@@ -132,8 +136,14 @@ def items_of(docs: DataFrame, tree_nodes: DataFrame) -> DataFrame:
 
 
 def split_all(docs: DataFrame, tree_nodes: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pieces of every oversized item of docs and tree_nodes; redelivered docs rows are cut once."""
-    return split_items(items_of(docs, tree_nodes), limits).dropDuplicates(["field_name", "item_key", "piece"])
+    """Pieces of every oversized item of docs and tree_nodes; redelivered docs rows are cut once, as the delivery with the smallest
+    text should they differ.  Only the texts of items that come more than once are moved."""
+    long = oversized(items_of(docs, tree_nodes), limits)
+    key = ["field_name", "item_key"]
+    again = sized(long.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key), "redelivered")
+    once = long.join(again, key, "left_anti")
+    chosen = long.join(again, key, "left_semi").groupBy(*key, "max_chars", "overlap_chars").agg(F.min("text").alias("text")).select(*once.columns)
+    return once.unionByName(chosen).mapInArrow(batches(_cut, _OUT), _DDL)
 
 
 def found(docs: DataFrame, tree_nodes: DataFrame, limits: DataFrame) -> DataFrame:

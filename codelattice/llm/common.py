@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
+#: Rows a table may have to be sent whole to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
 WORD = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -41,3 +46,9 @@ def batches(rows: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schem
 def with_code(docs: DataFrame) -> DataFrame:
     """Rows of docs that hold code: neither null nor empty."""
     return docs.where(F.length("code") > 0)
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once; to be broadcast if they are no more than BROADCAST_ROWS, else left to the optimiser."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
