@@ -13,6 +13,7 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batches, picked, with_code
 from .funcdocs import _OPAQUE
@@ -87,17 +88,21 @@ def _plain(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
-def notice(text: str, repo: str | None, language: str | None, found: list[re.Match]) -> str | None:
-    """``generated`` or ``copied`` if the header, or the comments at the end of the file, say so."""
+def notice(text: str, repo: str | None, language: str | None, found: list[re.Match]) -> tuple[str | None, str | None]:
+    """``generated`` or ``copied`` if the header, or the comments at the end of the file, say so.  Second, where nothing but a notice of
+    the authors and name of one other repository tells that it is copied: that repository, as ``owner/name``."""
     head = header(text, language) + "\n" + footer(text, found)
     kinds = set()
     for line in head.lower().split("\n"):
         line = _MARKS.sub("", line)
         kinds.update(kind for end, (kind, anywhere, length) in _automaton().iter(line) if anywhere or end + 1 - length <= BEGINNING)
     own = {_plain(repo), _plain(repo.rsplit("/", 1)[-1])} if repo else set()
-    if own and any(_plain(m[1].rstrip(".,")) not in own for m in [*_OWNER.finditer(head), *_PART.finditer(head)]):
-        kinds.add("copied")
-    return "generated" if "generated" in kinds else "copied" if kinds else None
+    foreign = {x for m in [*_OWNER.finditer(head), *_PART.finditer(head)] if own and _plain(x := m[1].rstrip(".,")) not in own}
+    if foreign and not kinds:
+        origin = next((x for x in sorted(foreign) if "/" in x), None)
+        alone = origin and all(_plain(x) in (_plain(origin), _plain(origin.rsplit("/", 1)[-1])) for x in foreign)
+        return "copied", origin if alone else None
+    return "generated" if "generated" in kinds else "copied" if kinds or foreign else None, None
 
 
 def place(path: str | None) -> str | None:
@@ -149,7 +154,7 @@ def look(text: str, found: list[re.Match]) -> str | None:
     return "minified" if crowded and 2 * crowded >= len(code) else None
 
 
-_OUT = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("evidence", pa.string())])
+_OUT = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("evidence", pa.string()), ("origin", pa.string())])
 
 
 def _kinds(rows: dict[str, list]) -> dict[str, list]:
@@ -158,23 +163,29 @@ def _kinds(rows: dict[str, list]) -> dict[str, list]:
         lang, text = language_of(language, path), plain_lines(code)
         # what stands before a single function is its documentation, not a file's header
         islands = opaque(text, lang)
-        for evidence, kind in (("path", place(path)), ("header", None if func is not None else notice(text, repo, lang, islands)), ("look", look(text, islands))):
-            if kind:
-                for column, value in zip(_OUT.names, (doc, kind, evidence)):
-                    out[column].append(value)
-                break
+        said, origin = (None, None) if func is not None else notice(text, repo, lang, islands)
+        told = [(kind, evidence) for evidence, kind in (("path", place(path)), ("header", said), ("look", look(text, islands))) if kind]
+        if told:
+            for column, value in zip(_OUT.names, (doc, *told[0], origin if told == [("copied", "header")] else None)):
+                out[column].append(value)
     return out
 
 
 def not_handwritten(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, evidence) of the rows not written by hand for their repo; all other rows are hand-written.
 
-    kind is generated, minified, vendored, copied or data, evidence the first of path, header and look that shows it.
+    kind is generated, minified, vendored, copied, moved or data, evidence the first of path, header and look that shows it.  moved are
+    files that show nothing but their own authors' notice, of another repo that is in docs as well: hand-written source of this
+    collection in a second place, which is for the search for near-duplicates to settle.
     Null or empty code gives nothing; a null path or repo only takes that evidence away.  Redelivered rows count once.
     """
-    rows = with_code(picked(docs, "doc_id", "repo", "path", "func_name", "code", "language"))
-    return rows.mapInArrow(batches(_kinds, _OUT), "doc_id string, kind string, evidence string").distinct()
+    rows = picked(docs, "doc_id", "repo", "path", "func_name", "code", "language")
+    told = with_code(rows).mapInArrow(batches(_kinds, _OUT), "doc_id string, kind string, evidence string, origin string")
+    repos = rows.where(F.col("repo").isNotNull()).select(F.lower("repo").alias("place")).distinct().withColumn("known", F.lit(True))
+    placed = told.withColumn("place", F.lower("origin")).join(repos, "place", "left")
+    return placed.select("doc_id", F.when(F.col("known"), "moved").otherwise(F.col("kind")).alias("kind"), "evidence").distinct()
 
 
 def found(docs: DataFrame) -> DataFrame:
-    return not_handwritten(docs).select("doc_id").distinct()
+    """(doc_id) of the rows to leave out so that only hand-written source remains: all kinds but moved."""
+    return not_handwritten(docs).where("kind <> 'moved'").select("doc_id").distinct()
