@@ -29,11 +29,11 @@ VALID = {
 }
 BROKEN = {
     "python": ["def f(:\n  pass", "print 'a'", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "x = (1,\n", "if a &gt; b:\n    pass\n"],
-    "javascript": ["function f( { }", "let x = ;", "if (a) { b()", "class A { foo() }", "let = = 3;", "x = `a${b`", "def f():\n  pass\n", "a b c\n", "foo(1 2)"],
+    "javascript": ["function f( { }", "let x = ;", "if (a) { b()", "class A { foo() }", "let = = 3;", "x = `a${b`", "def f():\n  pass\n", "a b c\n", "foo(1 2)", "1 = 2;", "x = 'a' = 3;"],
     "java": ["class A { void f() { return 1 } }", "class A { void f() { x = 1; }", "public class { }", "class A { return x; }", "class A { int x = ; }"],
     "go": ["package a\nfunc f() {\n", "package a\nfunc f() { x := }\n", "func f() {}\n", "package a\nvar x = \"a\n", "package a\n}\n"],
-    "php": ["<?php function f( { }", "<?php $x = ;", "<?php if ($a) {", "no tag", "<?php class A { echo 1; }"],
-    "ruby": ["def f\n  x\n", "class A\nend\nend\n", "x = (1 + \n", "if a\n  b\n", "foo(a b c\n"],
+    "php": ["<?php function f( { }", "<?php $x = ;", "<?php if ($a) {", "no tag", "<?php class A { echo 1; }", "<?php 1 = 2;"],
+    "ruby": ["def f\n  x\n", "class A\nend\nend\n", "x = (1 + \n", "if a\n  b\n", "foo(a b c\n", "class a\nend\n", "1 = 2\n"],
 }
 
 
@@ -44,6 +44,23 @@ def test_valid_code_passes(language, unit):
         assert parses(text.replace("\n", "\r\n"), language, unit), text
 
 
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("javascript", "if (a) /re/.test(b);\n"), ("javascript", "while (a(b)) /[(]/.exec(c);\nvar y = (a) / b / c;\n"), ("javascript", "a.b = c[1] = 'x';\nf(a = 1);\nvar {q = 1} = z;\n"),
+        ("php", "<?php function f() { yield from g(); yield; $x = yield $k => $v; foo(yield $a); return (yield); }\n"), ("php", "<?php $a->yield(); function from() {} from();\n"),
+        ("ruby", "case x\nin {a: Integer => n}\n  puts n\nin {b:}\n  y\nend\n"), ("ruby", "class A < B\n  class << self\n    def x; end\n  end\nend\nmodule M::N\nend\nx.class\n"),
+    ],
+)
+def test_more_valid_code_passes(language, text):
+    assert parses(text, language, False)
+
+
+def test_functions_after_patterns_and_open_brackets_are_found():
+    text = "// Tells whether the text has a bracket.\nfunction a(s) { return /\\(/.test(s); }\n// Tells whether the text has another one.\nfunction b(s) { if (s) /[{]/.exec(s); return s / 2 / 1; }\n// Gives back the fourth of all numbers.\nfunction d() { return 1; }\n"
+    assert [n for n, _ in funcdocs.documented(text, "javascript", None)] == ["a", "b", "d"]
+
+
 @pytest.mark.parametrize("language", sorted(BROKEN))
 def test_broken_code_fails(language):
     for text in BROKEN[language]:
@@ -76,6 +93,13 @@ def test_syntax_rows(docs_of, odd):
     assert rates == {"python": (3, 0.666667)}
 
 
+def test_what_cannot_be_decided_is_told(docs_of, monkeypatch):
+    monkeypatch.setattr(syntax, "parses", lambda text, language, unit: None if "deep" in text else True)
+    assert syntax.verdict("deep", "go", False) == (None, None) and syntax.verdict("x", "go", False) == (True, None)
+    rows = syntax._verdicts({n: [v] for n, v in (("doc_id", "a"), ("repo", "r"), ("path", "a.go"), ("func_name", None), ("code", "deep"), ("language", None))})
+    assert rows["valid"] == [None] and rows["cause"] == ["undecided"]
+
+
 PY = '''import os
 
 text = """def inner():
@@ -193,8 +217,13 @@ def test_files_not_written_by_hand(docs_of, odd):
         "foot": ("a/b.py", "x = 1\n\n# AUTO-GENERATED FILE - edit x.tmpl instead\n"), "foot_js": ("a/b.js", "let x = 1;\n\n/*\n * Autogenerated with gen on 2021-11-08\n */"), "foot_text": ("a/b.py", "x = '# do not edit'\n"),
         "german": ("a/b.rb", "# Diese Datei wurde automatisch erzeugt.\nx = 1\n"),
     }
-    docs = docs_of(*((k, p, None, c) for k, (p, c) in rows.items()), ("null", None, None, None), ("nopath", None, None, "x = 1", None))
+    moved = "# Copyright the tool authors.\n# Part of else/tool, made to sort.\nx = 1\n"
+    docs = docs_of(
+        *((k, p, None, c) for k, (p, c) in rows.items()), ("null", None, None, None), ("nopath", None, None, "x = 1", None), ("original", "a/b.py", None, moved, "else/tool"), ("moved", "a/b.py", None, moved),
+        ("away", "a/b.py", None, moved.replace("tool", "gone")), ("more", "a/b.py", None, moved + "# Bundled copy of it.\n"),
+    )
     got = {r["doc_id"]: r["kind"] for r in provenance.not_handwritten(odd(docs)).collect()}
+    assert {r["doc_id"] for r in provenance.found(docs).collect()} == set(got) - {"moved"} and [got.pop(x) for x in ("moved", "away", "more")] == ["moved", "copied", "copied"]
     assert got == {"vendor": "vendored", "pb": "generated", "min": "minified", "notice": "generated", "foreign": "copied", "blob": "data", "shrunk": "minified", "german": "generated", "foot": "generated", "foot_js": "generated"}
 
 

@@ -162,8 +162,10 @@ def test_full_cells_are_searched_in_blocks(spark, monkeypatch):
 def test_pieces_are_bounded_and_lose_nothing(seed):
     rng = random.Random(seed)
     text = "".join(rng.choice(["word ", "é", "\n", "\n\n", ". ", "x" * 30, "𝄞", "def f():\n    "]) for _ in range(rng.randrange(1, 3000)))
-    for most, overlap in ((100, 20), (500, 0), (999, 600), (7, 3)):
+    for most, overlap in ((100, 20), (100, 80), (500, 0), (999, 600), (7, 3), (20, 19), (20, 50)):
         cuts = chunking.pieces(text, most, overlap)
+        real = min(overlap, most - 1)
+        assert all(own - start >= min(own, real - real // 4) for start, own, _ in cuts[1:])
         assert all(end - start <= most for start, _, end in cuts)
         assert "".join(text[own:end] for _, own, end in cuts) == text
         assert all(a[2] == b[1] and b[0] <= b[1] for a, b in zip(cuts, cuts[1:]))
@@ -244,12 +246,44 @@ def test_packing_is_a_round_trip(spark):
     pages = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
     blocks = mixing.pack(pages, targets, length=50).collect()
-    encode = mixing._tokenizer(mixing.TOKENIZER)
-    want = sorted(t for _, x, _ in rows for t in encode.encode(x, add_special_tokens=False).ids)
-    assert sorted(t for b in blocks for t in b["tokens"]) == want
+    encode = mixing.tokenizer(mixing.TOKENIZER)
+    want = {i: encode([x])[0].tolist() for i, x, _ in rows}
+    assert sorted(t for b in blocks for t in b["tokens"]) == sorted(t for x in want.values() for t in x)
+    got: dict[int, list[int]] = {}
+    for b in sorted(blocks, key=lambda b: b["number"]):
+        for doc, a, z in zip(b["doc_ids"], b["starts"], [*b["starts"][1:], b["n_tokens"]]):
+            got.setdefault(doc, []).extend(b["tokens"][a:z])
+    assert got == want and sum(b["n_tokens"] < 50 for b in blocks) <= 1
+    assert np.array_equal(mixing.tokenizer("/opt/tokenizers/byte_bpe_50k.json")([rows[3][1]])[0], want[3])
     assert sorted(b["number"] for b in blocks) == list(range(len(blocks))) and all(b["n_tokens"] <= 50 for b in blocks)
 
 
+def test_mixture_is_the_same_for_all_settings_and_meets_its_shares(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_CHARS", 3000)
+    monkeypatch.setattr(mixing, "RESTS", 3)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 5)
+    monkeypatch.setattr(mixing, "MOST_BUNDLES", 4)
+    rng = random.Random(16)
+    rows = [(i, _code(rng, rng.randrange(5, 300)), rng.choice(["a", "a", "a", "b", "c"])) for i in range(150)] + [(1000, "w", "a"), (1000, "w", "a"), (None, _code(rng, 90), "b")]
+    pages = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    results, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted((r["shard"], r["slot"], r["source"], r["number"], r["use"], tuple(r["tokens"]), tuple(r["starts"])) for r in mixing.mixture(pages.repartition(int(n)), targets, length=32).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
+    total = sum(len(r[5]) for r in results[0])
+    for source, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
+        assert abs(sum(len(r[5]) for r in results[0] if r[2] == source) - share * total) <= 32
+    shards = {}
+    for r in results[0]:
+        shards.setdefault(r[0], []).append(r[1])
+    assert len(shards) > 4 and all(sorted(s) == list(range(len(s))) and len(s) >= 5 for s in shards.values())
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 1000])
 def test_permutations(size):
     assert sorted(mixing.permuted(np.arange(size), size, 3).tolist()) == list(range(size))
