@@ -63,6 +63,16 @@ def oracle_sql() -> dict[str, str]:
             h AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i : i + 11], ' '))) AS x FROM e WHERE len(w) >= 12)
             SELECT DISTINCT doc_id, item_id FROM g JOIN h ON g.x = h.x
         """,
+        "p7_near": """
+            WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[a-z0-9_]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text <> '')),
+            e AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[a-z0-9_]+') AS w FROM (SELECT DISTINCT item_id, text FROM eval_items WHERE text <> '')),
+            tok AS (SELECT k, doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d), df AS (SELECT term, count(DISTINCT k) AS n FROM tok GROUP BY term),
+            own AS (SELECT item_id, greatest(len(w), 24) AS reach, len(list_distinct(w)) AS size, unnest(list_distinct(w)) AS term FROM e WHERE len(w) >= 12),
+            held AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS have, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS r FROM own JOIN df USING (term)),
+            centres AS (SELECT DISTINCT k, doc_id, item_id, pos, reach, size FROM held JOIN tok USING (term) WHERE r <= have - ceil(0.8 * size - 1e-9) + 1),
+            near AS (SELECT c.doc_id, c.item_id, c.k, c.pos, c.size, count(DISTINCT t.term) AS m FROM centres c JOIN tok t ON t.k = c.k AND t.pos BETWEEN c.pos - c.reach AND c.pos + c.reach JOIN own o ON o.item_id = c.item_id AND o.term = t.term GROUP BY ALL)
+            SELECT doc_id, item_id, round(max(m / size), 6) AS near_share FROM near WHERE m / size >= 0.8 GROUP BY doc_id, item_id
+        """,
         "p5_found": """
             WITH items AS (
                 SELECT 'docs.code' AS field_name, doc_id AS item_key, code AS text FROM docs

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from codelattice.llm import ann, chunking, leakage, mixing, neardup, spam
+from codelattice.llm import ann, chunking, common, leakage, mixing, neardup, spam
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -217,12 +217,48 @@ def test_leaks_like_brute_force(spark, odd):
     assert leakage.found(pages.where("false"), table).count() == leakage.found(pages, table.where("false")).count() == 0
 
 
-def test_items_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_WORDS", 15)
-    text = " ".join(WORDS[:14])
-    pages = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    items = spark.createDataFrame([(i, "b", text) for i in range(3)], "item_id bigint, benchmark string, text string")
-    assert leakage.found(pages, items).count() == 3
+def _near_brute(docs, items, window, share):
+    df = {}
+    for text in {(d, t) for d, t in docs if t}:
+        for w in set(leakage.words(text[1])):
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for item, text in items:
+        own = leakage.words(text)
+        distinct = set(own)
+        held = sorted((w for w in distinct if w in df), key=lambda w: (df[w], w))
+        anchors = held[: len(held) - int(np.ceil(share * len(distinct) - 1e-9)) + 1] if len(own) >= 12 else []
+        reach = max(window, len(own))
+        for d, t in docs:
+            ws = leakage.words(t or "")
+            best = max((len(distinct & set(ws[max(0, i - reach) : i + reach + 1])) / len(distinct) for i, w in enumerate(ws) if w in anchors), default=0)
+            if best >= share:
+                out[d, item] = max(out.get((d, item), 0), round(best, 6))
+    return out
+
+
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_phrases_and_near_copies_with_and_without_broadcasts(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", rows)
+    rng = random.Random(21)
+    items = [(i, _code(rng, rng.randrange(10, 50))) for i in range(15)]
+    docs = []
+    for d in range(60):
+        ws = items[d % 15][1].split()
+        for _ in range(rng.randrange(0, len(ws) // 3)):  # the rarest words as likely as any other
+            ws[rng.randrange(len(ws))] = rng.choice(WORDS)
+        if d % 4 == 0:
+            rng.shuffle(ws)
+        docs.append((d, _code(rng, 60) + " " + " ".join(ws) + " " + _code(rng, 60)))
+    docs += [(5, "another text under the same id " + items[0][1]), (90, None), (91, "")]
+    pages = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    grams = lambda t: {tuple(x) for w in [leakage.words(t or "")] for x in (w[i : i + 12] for i in range(len(w) - 11))}
+    assert {tuple(r) for r in leakage.found(pages, table).collect()} == {(d, i) for d, t in docs for i, x in items if grams(t) & grams(x)}
+    near = {(r["doc_id"], r["item_id"]): r["near_share"] for r in leakage.proximity(pages, table).collect()}
+    assert near == _near_brute(docs, items, 24, 0.8) and len(near) > 10
+    assert leakage.proximity(pages.where("false"), table).count() == leakage.proximity(pages, table.where("false")).count() == 0
 
 
 # ---------------------------------------------------------------- 8
