@@ -48,7 +48,7 @@ def with_code(docs: DataFrame) -> DataFrame:
     return docs.where(F.length("code") > 0)
 
 
-def sized(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once; to be broadcast if they are no more than BROADCAST_ROWS, else left to the optimiser."""
+def sized(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows, written once; to be broadcast if they are no more than ``rows`` (BROADCAST_ROWS if not given), else left to the optimiser."""
     kept = written(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return F.broadcast(kept) if kept.count() <= (BROADCAST_ROWS if rows is None else rows) else kept

@@ -1,41 +1,45 @@
 """Near-duplicate records with small edits.
 
 Method: exact set-similarity join with set-relation skipping.  Equal sets are answered once.  Index lists hold the rarest part of
-each set, sorted by set size, with the place of the entry in its set; whole stretches of a list are skipped once sizes are too
-far apart, and entries by the bound their places give.  That part is long enough that similar sets must meet in several lists, in
-more the larger they are.  Pairs that do are verified per set, and the overlap with a set is derived from the overlap with a highly
-similar one and their difference.
+each set, sorted by set size and by the place of the entry in its set: for a block of entries of one size and place, the entries of another
+size that may match are one stretch of places, and all others are skipped without being looked at.  That part is long enough that similar
+sets must meet in several lists, in more the larger they are.  Each set is then compared with the first of the sets it met; the overlap of
+two sets that were compared with the same one is derived from what each of them lacks of it and has besides.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import written
-from .common import WORD, picked, with_code
+from .common import WORD, picked, sized, with_code
 
 SIMILARITY, SHINGLE = 0.7, 3
-#: Counters of the shingle frequencies, a table of fixed size; they only decide the order of a set's members.
-COUNTERS = 1 << 17
+#: Counters of the shingle frequencies: a power of two near the number of records, between these.  They only decide the order of a set's
+#: members and which lists may be long.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 17, 1 << 20
 #: For each so many members of a set one more meeting is asked for.
 MEETING = 12
 #: Longer index lists are worked on in blocks of this many entries.
 LIST_BLOCK = 20_000
+#: Rows of a table of two or three numbers that may be broadcast.
+NARROW_ROWS = 1_000_000
 #: Places of the filter that tells which records' texts verification may need, a table of fixed size.
 PLACES = 1 << 18
-#: Up to so many exact copies of a text come out as all their pairs; more as pairs of the first one and each other.
-COPIES = 200
+#: Least hashes by which sets are first brought to one that is probably similar, to find classes.
+HASHES = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+_SALTS = np.arange(1, HASHES + 1, dtype=np.uint64) * _M1
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M2
@@ -62,106 +66,170 @@ def _least_overlap(a, b, t: float):
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def meetings(size):
-    """In how many lists sets of this size and any other similar one at least meet: the rare part of each set has as many members more
-    than one meeting would need, so two sets with enough in common share at least the smaller set's number of rare members."""
-    return 1 + size // MEETING
+def rare_length(size: int, t: float) -> int:
+    """Members in the rare part: as many more than one meeting needs as further meetings are asked for, so that two sets with enough in
+    common share at least 1 + size // MEETING members of their rare parts, by the smaller set's size."""
+    return min(size, size - int(np.ceil(t * size - 1e-9)) + 1 + size // MEETING)
 
 
-def rare_length(size: int, t: float) -> int:
-    return min(size, size - int(np.ceil(t * size - 1e-9)) + meetings(size))
+def _counter(width: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(width, np.int64)
+        for batch in it:
+            every = np.concatenate([np.empty(0, np.uint64), *(shingles(code) for code in batch.column(0).to_pylist())])
+            counts += np.bincount((every & np.uint64(width - 1)).astype(np.int64), minlength=width)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+
+    return run
 
 
-def _counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in it:
-        every = np.concatenate([np.empty(0, np.uint64), *(shingles(code) for code in batch.column(0).to_pylist())])
-        counts += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+def frequencies(rows: DataFrame, records: int) -> np.ndarray:
+    """How often members fall on each counter, over all rows (code)."""
+    width = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, records - 1).bit_length()))
+    table = rows.select("code").mapInArrow(_counter(width), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most a row for a counter
+    counts = np.zeros(width, np.int64)
+    counts[table.column("place").to_numpy()] = table.column("n").to_numpy()
+    return counts
 
 
-_SETS = pa.schema([("doc_id", pa.string()), ("id", pa.int64()), ("size", pa.int32()), ("text", pa.int64()), ("rare", pa.list_(pa.int64()))])
+_SETS = pa.schema(
+    [("doc_id", pa.string()), ("text", pa.int64()), ("number", pa.int64()), ("size", pa.int32()), ("rare", pa.list_(pa.int64())), ("least", pa.list_(pa.int64()))]
+)
 
 
 def _setter(frequency, t: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
+        mask = np.uint64(len(counts) - 1)
         for batch in it:
-            docs, ids, sizes, texts, rare = [], [], [], [], []
-            for doc, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[] for _ in _SETS]
+            for doc, text, code in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = shingles(code)
                 n = len(s)
                 if not n:
                     continue
-                order = np.argsort(counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                docs.append(doc)
-                ids.append(_number(s))
-                sizes.append(n)
-                texts.append(xxhash.xxh3_64_intdigest(code) - (1 << 63))
-                rare.append(s[order[: rare_length(n, t)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(texts, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], schema=_SETS)
+                order = np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")
+                least = [_mixed(s ^ salt).min() for salt in _SALTS]
+                for column, value in zip(out, (doc, text, _number(s), n, s[order[: rare_length(n, t)]].view(np.int64), np.array(least, np.uint64).view(np.int64))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SETS)], schema=_SETS)
 
     return run
 
 
-_POSTINGS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("side", pa.int32())])
+_POSTINGS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("class", pa.int64())])
 
 
-def _poster(frequency, hot: int):
-    """Postings of a set's rare members.  A list that may be longer than ``hot`` is cut in blocks by a hash of the set; each pair
-    of blocks is a list of its own, where only entries of different sides (side 0: any) are compared."""
+def _poster(frequency=None, hot: int = 0):
+    """Postings of the rare members of rows (id, size, rare, class); with ``hot`` the keys only, of lists that may be longer."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = frequency.value
+        counts = frequency.value if frequency is not None else None
         for batch in it:
             lists = batch.column(2)
             lengths = np.diff(np.asarray(lists.offsets))
-            member = np.asarray(lists.flatten()).view(np.uint64)
-            ids = np.repeat(np.asarray(batch.column(0)), lengths)
-            sizes = np.repeat(np.asarray(batch.column(1)), lengths).astype(np.int32)
+            member = np.asarray(lists.flatten())
+            if counts is not None:
+                member = member[counts[(member.view(np.uint64) & np.uint64(len(counts) - 1)).astype(np.int64)] > hot]
+                yield pa.RecordBatch.from_arrays([pa.array(member)], names=["key"])
+                continue
+            repeated = [np.repeat(np.asarray(batch.column(i)), lengths) for i in (0, 1, 3)]
             places = (np.arange(len(member)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            blocks = -(-counts[(member & np.uint64(COUNTERS - 1)).astype(np.int64)] // hot)
-            plain = blocks <= 1
-            keys, out = [member[plain]], [[x[plain] for x in (ids, sizes, places)] + [np.zeros(int(plain.sum()), np.int32)]]
-            for i in np.flatnonzero(~plain):
-                k = int(blocks[i])
-                own = int(_mixed(np.array([ids[i]]).view(np.uint64))[0] % np.uint64(k))
-                other = np.arange(k)
-                a, b = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
-                keys.append(_mixed(_mixed(member[i] + a * _M1) + b * _M2))
-                out.append([np.full(k, ids[i]), np.full(k, sizes[i], np.int32), np.full(k, places[i], np.int32), np.where(a == b, 0, np.where(other >= own, 1, 2)).astype(np.int32)])
-            columns = [np.concatenate(keys).view(np.int64), *(np.concatenate(x) for x in zip(*out))]
-            for first in range(0, len(columns[0]), 50_000):
+            columns = [member, repeated[0], repeated[1].astype(np.int32), places, repeated[2]]
+            for first in range(0, len(member), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 50_000]) for c in columns], schema=_POSTINGS)
 
     return run
 
 
-_PAIRS = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("met", pa.int32()), ("least", pa.int32())])
+_MET = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("place_a", pa.int32()), ("place_b", pa.int32()), ("met", pa.int32())])
+_MET_DDL = "id_a bigint, id_b bigint, size_a int, size_b int, place_a int, place_b int, met int"
+
 
+def list_pairs(key, ids, size, place, side, classes, t: float, most: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Pairs of sets that meet in a list and may be similar: columns id, id, size, size, place, place, ids in order.
 
-def list_pairs(key, ids, size, place, side, t: float) -> Iterator[np.ndarray]:
-    """Pairs of sets that meet in a list and may be similar.  Entries are sorted by size within their list, so that for each
-    distance the rest of a list is skipped as soon as sizes are too far apart."""
-    order = np.lexsort((size, key))
-    key, ids, size, place, side = (x[order] for x in (key, ids, size, place, side))
-    at = np.arange(len(key))
-    distance = 1
-    while len(at):
-        at = at[at + distance < len(key)]
-        at = at[(key[at] == key[at + distance]) & (size[at] >= t * size[at + distance] - 1e-9)]
-        if not len(at):
+    Entries of a list are sorted by size and place.  For a block of entries of size a at place i and another size b, what may still match
+    stands from i - (a - need) to i + (b - need), where need is the overlap they must have; only that stretch is looked at.  Lists
+    whose entries are all of one class (0 is none) are skipped, as are pairs within one.
+    """
+    order = np.lexsort((place, size, key))
+    key, ids, size, place, side, classes = (x[order] for x in (key, ids, size, place, side, classes))
+    n = len(key)
+    if not n:
+        return
+    new_list = np.r_[True, key[1:] != key[:-1]]
+    new_size = new_list | np.r_[True, size[1:] != size[:-1]]
+    new_block = new_size | np.r_[True, place[1:] != place[:-1]]
+    group = np.cumsum(new_size) - 1  # a size within a list
+    starts = np.flatnonzero(new_size)
+    list_of = np.cumsum(new_list)[starts]
+    sizes = size[starts].astype(np.int64)
+    span = np.int64(place.max()) + 1
+    code = group * span + place  # ascending
+    blocks = np.flatnonzero(new_block)
+    ends = np.r_[blocks[1:], n]
+    if classes.any():
+        first = np.flatnonzero(new_list)
+        low, high = np.minimum.reduceat(classes, first), np.maximum.reduceat(classes, first)
+        mixed = (low != high) | (low == 0)
+        blocks, ends = blocks[mixed[np.cumsum(new_list)[blocks] - 1]], ends[mixed[np.cumsum(new_list)[blocks] - 1]]
+    distance = 0
+    while len(blocks):
+        own = group[blocks]
+        other = own + distance
+        ok = other < len(starts)
+        blocks, ends, own, other = blocks[ok], ends[ok], own[ok], other[ok]
+        ok = (list_of[own] == list_of[other]) & (sizes[own] >= t * sizes[other] - 1e-9)
+        blocks, ends, own, other = blocks[ok], ends[ok], own[ok], other[ok]
+        if not len(blocks):
             return
-        other = at + distance
-        most = 1 + np.minimum(place[at], place[other]) + np.minimum(size[at] - place[at], size[other] - place[other]) - 1
-        fit = (most >= _least_overlap(size[at].astype(np.float64), size[other], t)) & ((side[at] == 0) | (side[at] != side[other])) & (ids[at] != ids[other])
-        if fit.any():
-            a, b = ids[at[fit]], ids[other[fit]]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b), meetings(np.minimum(size[at[fit]], size[other[fit]])).astype(np.int64)], axis=1)
+        a, b, i = sizes[own], sizes[other], place[blocks].astype(np.int64)
+        need = _least_overlap(a.astype(np.float64), b, t).astype(np.int64)
+        low = np.searchsorted(code, other * span + np.clip(i - (a - need), 0, span - 1))
+        high = np.searchsorted(code, other * span + np.clip(i + (b - need), 0, span - 1), side="right")
+        # every entry of the block with the stretch; within its own size only with what comes after it
+        count = ends - blocks
+        entry = np.repeat(blocks, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        low, high = np.repeat(low, count), np.repeat(high, count)
+        if not distance:
+            low = np.maximum(low, entry + 1)
+        length = np.maximum(high - low, 0)
+        for x in range(0, len(entry), max(1, most // 64)):
+            part = slice(x, x + max(1, most // 64))
+            yield from _fits(entry[part], low[part], length[part], ids, size, place, side, classes, most)
         distance += 1
 
 
+def _fits(entry, low, length, ids, size, place, side, classes, most: int) -> Iterator[np.ndarray]:
+    total = np.cumsum(length)
+    at = 0
+    while at < len(entry):
+        begun = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, begun + most, side="right")))
+        n = length[at:to]
+        x = np.repeat(entry[at:to], n)
+        y = np.repeat(low[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        fit = ((side[x] == 0) | (side[x] != side[y])) & (ids[x] != ids[y]) & ((classes[x] != classes[y]) | (classes[x] == 0))
+        x, y = x[fit], y[fit]
+        if len(x):
+            swap = ids[x] > ids[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            yield np.stack([ids[x], ids[y], size[x], size[y], place[x], place[y]], axis=1)
+
+
+def _summed(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    met = np.diff(np.r_[starts, len(rows)])
+    last = [np.maximum.reduceat(rows[:, i], starts) for i in (4, 5)]
+    columns = [*(rows[starts, i] for i in range(4)), *last, met]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _MET)], schema=_MET)
+
+
 def _matcher(t: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -172,15 +240,15 @@ def _matcher(t: float):
             for pairs in list_pairs(*(np.concatenate(x) for x in zip(*parts)), t):
                 found.append(pairs)
                 n += len(pairs)
-                if n > 2_000_000:
-                    yield _unique(found)
+                if n > 1_000_000:
+                    yield _summed(found)
                     found, n = [], 0
             if found:
-                yield _unique(found)
+                yield _summed(found)
 
         # Rows come sorted by key, so that a list is never cut; lists are worked on a few hundred thousand entries at a time.
         for batch in it:
-            columns = [np.asarray(batch.column(i)) for i in range(5)]
+            columns = [np.asarray(batch.column(i)) for i in range(6)]
             key = columns[0]
             if rows > 400_000 and len(key):
                 last = held[-1][0][-1]
@@ -200,167 +268,182 @@ def _matcher(t: float):
     return run
 
 
-def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    columns = (pairs[:, 0].copy(), pairs[:, 1].copy(), met.astype(np.int32), pairs[:, 2].astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
-
-
 def _number(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        codes = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([_number(shingles(c)) for c in codes], pa.int64()), pa.array(codes, pa.string())], names=["id", "code"])
-
-
-_VERIFIED = pa.schema([("id_a", pa.int64()), ("id_b", pa.int64()), ("shared", pa.int32()), ("either", pa.int32())])
-
-
-class _Answers:
-    """Overlaps of one set after another with their candidates.  Sets and differences of sets are kept for a while, as the members
-    of a family of similar sets are candidates of each other."""
-
-    def __init__(self, kept: int = 1000):
-        self.sets: OrderedDict[int, frozenset] = OrderedDict()
-        self.differences: OrderedDict[tuple[int, int], tuple[frozenset, frozenset]] = OrderedDict()
-        self.kept = kept
-        self.last: tuple[int, int, int] | None = None
-
-    def set_of(self, number: int, code: str) -> frozenset:
-        found = self.sets.get(number)
-        if found is None:
-            found = self.sets[number] = frozenset(shingles(code).tolist())
-            if len(self.sets) > self.kept:
-                self.sets.popitem(last=False)
-        return found
-
-    def overlap(self, a: int, x: frozenset, b: int, y: frozenset) -> int:
-        shared = None
-        if self.last and self.last[0] == a and (before := self.last[1]) in self.sets:
-            pair = (before, b)
-            change = self.differences.get(pair)
-            if change is None:
-                z = self.sets[before]
-                if abs(len(z) - len(y)) * 8 < len(y):
-                    change = (y - z, z - y)
-                    self.differences[pair] = change
-                    if len(self.differences) > self.kept:
-                        self.differences.popitem(last=False)
-            if change is not None and 4 * (len(change[0]) + len(change[1])) < len(y):
-                shared = self.last[2] + len(x & change[0]) - len(x & change[1])
-        if shared is None:
-            shared = len(x & y)
-        self.last = (a, b, shared)
-        return shared
-
-
-def _verifier(t: float):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = _Answers()
-        for batch in (whole.slice(first, 256) for whole in it for first in range(0, whole.num_rows, 256)):
-            out: list[list[int]] = [[], [], [], []]
-            for b, code_b, a, code_a in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                y, x = answers.set_of(b, code_b), answers.set_of(a, code_a)
-                shared = answers.overlap(b, y, a, x)
-                either = len(x) + len(y) - shared
-                if shared >= t * either - 1e-9:
-                    for column, value in zip(out, (a, b, shared, either)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _VERIFIED)], schema=_VERIFIED)
-
-    return run
-
-
-def _members(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("doc_id").agg(F.min(F.struct("id", "size", "text")).alias("x")).select("doc_id", "x.id", "x.size", "x.text")
-
-
-def set_join(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (doc_id, id, size, text) gives each record the numbers of its set of token triples and of its code; links (id_a, id_b,
-    shared, either), id_a < id_b, has every pair of different sets whose similarity is at least ``similarity``, exactly.
+class Records:
+    """The sets of a table of records, written once: (id, doc_id, text, number, size, rare, least), id being the row's own number.
 
-    Records without code, without doc_id or with fewer than three tokens are in neither table; a doc_id delivered twice counts
-    once (with its smallest set number, should the deliveries differ).
+    Records without code, without doc_id or with fewer than three tokens have none.  ``first`` gives of each number of a set that several rows
+    have the smallest id, ``each`` one row for a set.
     """
-    spark = docs.sparkSession
-    rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull())
-    counted = rows.select("code").mapInArrow(_counter, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    counts = np.zeros(COUNTERS, np.int64)
-    for r in counted.toLocalIterator():  # at most COUNTERS rows
-        counts[r["place"]] = r["n"]
-    frequency = spark.sparkContext.broadcast(counts)
-    hot = int(max(LIST_BLOCK, 8 * counts.mean()))
-    sets = written(rows.mapInArrow(_setter(frequency, similarity), "doc_id string, id bigint, size int, text bigint, rare array<bigint>"), "sets")
-    members = _members(sets)
-    each = sets.select("id", "size", "rare").dropDuplicates(["id"])
-    postings = each.mapInArrow(_poster(frequency, hot), "key bigint, id bigint, size int, place int, side int")
-    met = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(similarity), "id_a bigint, id_b bigint, met int, least int")
-    candidates = met.groupBy("id_a", "id_b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("id_a", "id_b")
-    candidates = written(candidates, "candidates")
-    # The first record of each candidate set stands for it.  A filter of fixed size keeps most other texts from being moved; a text
-    # that passes it by chance meets no candidate, or gives a row that is there already.
-    needed = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    first = sets.groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(needed, "id", "left_semi")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int")
-    wanted = F.broadcast(first.select(place.alias("place")).distinct())
-    texts = rows.withColumn("place", place).join(wanted, "place", "left_semi").select("code").mapInArrow(_numbered, "id bigint, code string")
-    pairs = candidates.join(texts.select(F.col("id").alias("id_a"), F.col("code").alias("code_a")), "id_a")
-    pairs = pairs.join(texts.select(F.col("id").alias("id_b"), F.col("code").alias("code_b")), "id_b")
-    links = pairs.select("id_b", "code_b", "id_a", "code_a").mapInArrow(_verifier(similarity), "id_a bigint, id_b bigint, shared int, either int").distinct()
-    return members, links
+
+    def __init__(self, docs: DataFrame, similarity: float):
+        spark = docs.sparkSession
+        self.similarity = similarity
+        self.rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("code").alias("text"), "code")
+        counts = frequencies(self.rows, docs.count())
+        self.frequency, self.long = spark.sparkContext.broadcast(counts), bool(counts.max(initial=0) > LIST_BLOCK)
+        made = self.rows.mapInArrow(_setter(self.frequency, similarity), "doc_id string, text bigint, number bigint, size int, rare array<bigint>, least array<bigint>")
+        self.sets = written(made.withColumn("id", F.monotonically_increasing_id()), "sets")
+        again = self.sets.groupBy("number").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("number", "first")
+        self.again = sized(again, "again", NARROW_ROWS)
+        self.each = self.sets.join(self.again, "number", "left").where("first IS NULL OR first = id").drop("first")
+
+    def members(self) -> DataFrame:
+        """(doc_id, text, id): each record with the id of its set; a doc_id delivered more than once counts once, with its smallest set and
+        text should the deliveries differ."""
+        placed = self.sets.select("doc_id", "text", "id", "number").join(self.again, "number", "left").select("doc_id", "text", F.coalesce("first", "id").alias("id"))
+        return placed.groupBy("doc_id").agg(F.min(F.struct("id", "text")).alias("x")).select("doc_id", "x.text", "x.id")
+
+    def candidates(self, classes: DataFrame | None = None) -> DataFrame:
+        """(id_a, id_b, size_a, size_b), id_a < id_b: all pairs of different sets that may be similar, and some that are not; with
+        classes(id, class) only such of different classes."""
+        rows = self.each.select("id", "size", "rare")
+        rows = rows.withColumn("class", F.lit(0).cast("bigint")) if classes is None else rows.join(classes, "id", "left").withColumn("class", F.coalesce("class", -F.col("id") - 1))
+        posted = rows.mapInArrow(_poster(), "key bigint, id bigint, size int, place int, class bigint").withColumn("side", F.lit(0))
+        if self.long:
+            keys = rows.mapInArrow(_poster(self.frequency, LIST_BLOCK), "key bigint")
+            hot = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST_BLOCK).select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
+            posted = self._cut(posted, sized(hot, "hot", NARROW_ROWS))
+        met = posted.select("key", "id", "size", "place", "side", "class").repartition("key").sortWithinPartitions("key").mapInArrow(_matcher(self.similarity), _MET_DDL)
+        met = met.groupBy("id_a", "id_b", "size_a", "size_b").agg(F.sum("met").alias("met"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
+        least = 1 + F.floor(F.least("size_a", "size_b") / MEETING)
+        need = F.ceil((F.col("size_a") + F.col("size_b")) * (self.similarity / (1 + self.similarity)) - 1e-9)
+        # After the last member they met in, no more can be common than either has left.
+        most = F.col("met") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+        return met.where((F.col("met") >= least) & (most >= need)).select("id_a", "id_b", "size_a", "size_b")
+
+    @staticmethod
+    def _cut(posted: DataFrame, hot: DataFrame) -> DataFrame:
+        """Long lists in blocks by a hash of the set: each pair of blocks is a list of its own, where only entries of different sides
+        (side 0: any) are compared."""
+        rows = posted.drop("side").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = F.when(F.col("blocks") > 1, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key"))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("other") > F.col("own"), 1).otherwise(2)
+        return rows.select(key.alias("key"), "id", "size", "place", "class", side.alias("side"))
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, code) of the sets of ids(id), each once."""
+        # A filter of fixed size keeps most other texts from being moved.
+        wanted = sized(self.each.select("id", "doc_id", "text").join(ids, "id", "left_semi"), "wanted")
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).cast("int")
+        places = F.broadcast(wanted.select(place.alias("place")).distinct())
+        some = self.rows.withColumn("place", place).join(places, "place", "left_semi").select("doc_id", "text", "code")
+        return some.join(wanted, ["doc_id", "text"]).select("id", "code").dropDuplicates(["id"])
+
+    def links(self, candidates: DataFrame) -> DataFrame:
+        """(id_a, id_b, shared, either) of the candidates that are similar."""
+        candidates = written(candidates.select("id_a", "id_b", "size_a", "size_b"), "candidates")
+        met = candidates.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))).alias("x")).select("x.*")
+        nearest = written(met.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("head")), "heads")
+        texts = written(self.texts(nearest.select("id")), "texts")
+        heads = texts.join(nearest.where("head < id").select(F.col("head").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("head"), F.col("code").alias("head_code"))
+        told = texts.join(nearest.where("id <> head"), "id").join(heads, "head").select("id", "code", "head", "head_code")
+        told = written(told.mapInArrow(_differ, "id bigint, size int, head bigint, shared int, plus array<bigint>, minus array<bigint>"), "differences")
+        pairs = candidates.join(told.select(F.col("id").alias("id_b"), F.col("head").alias("id_a"), "shared"), ["id_a", "id_b"], "left")
+        direct = pairs.where("shared IS NOT NULL").select("id_a", "id_b", "size_a", "size_b", "shared")
+        rest = written(pairs.where("shared IS NULL").select("id_a", "id_b", "size_a", "size_b"), "rest")
+        # Of the other pairs those whose sets were compared with the same one, from the differences alone.
+        side = lambda s: told.where("plus IS NOT NULL").select(F.col("id").alias(f"id_{s}"), F.col("head").alias(f"head_{s}"), F.col("plus").alias(f"plus_{s}"), F.col("minus").alias(f"minus_{s}"))
+        both = rest.join(side("a"), "id_a").join(side("b"), "id_b").where("head_a = head_b")
+        size = F.col("size_a") - F.size("plus_a") + F.size("minus_a")  # of the set both were compared with
+        lacking = F.size("minus_a") + F.size("minus_b") - F.size(F.array_intersect("minus_a", "minus_b"))
+        derived = both.select("id_a", "id_b", "size_a", "size_b", (size - lacking + F.size(F.array_intersect("plus_a", "plus_b"))).alias("shared"))
+        derived = written(derived, "derived")
+        # What is left is compared by its texts.
+        left = rest.join(derived.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
+        code = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("code").alias(f"code_{s}"))
+        compared = left.join(code("a"), "id_a").join(code("b"), "id_b").select("id_a", "id_b", "size_a", "size_b", "code_a", "code_b")
+        compared = compared.mapInArrow(_comparer, "id_a bigint, id_b bigint, size_a int, size_b int, shared int")
+        every = direct.unionByName(derived).unionByName(compared).withColumn("either", F.col("size_a") + F.col("size_b") - F.col("shared"))
+        return every.where(F.col("shared") >= self.similarity * F.col("either") - 1e-9).select("id_a", "id_b", "shared", "either")
+
+
+_DIFFERENCES = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("head", pa.int64()), ("shared", pa.int32()), ("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64()))])
+
+
+def _differ(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the sets share with the one they are compared with, and, where that is most of it, what they have besides and lack."""
+    head, base = None, np.empty(0, np.uint64)
+    for batch in it:
+        out: list[list] = [[] for _ in _DIFFERENCES]
+        for i, code, h, head_code in zip(*(batch.column(x).to_pylist() for x in range(4))):
+            if h != head:
+                head, base = h, shingles(head_code)
+            s = shingles(code)
+            shared = len(np.intersect1d(s, base, assume_unique=True))
+            alike = 2 * shared >= len(base)
+            plus, minus = (np.setdiff1d(x, y, assume_unique=True).view(np.int64) if alike else None for x, y in ((s, base), (base, s)))
+            for column, value in zip(out, (i, len(s), h, shared, plus, minus)):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _DIFFERENCES)], schema=_DIFFERENCES)
+
+
+def _comparer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        shared = [len(np.intersect1d(shingles(a), shingles(b), assume_unique=True)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int32())], names=["id_a", "id_b", "size_a", "size_b", "shared"])
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id_a, doc_id_b, similarity), doc_id_a < doc_id_b: records at least so similar.
+    """(doc_id_a, doc_id_b, similarity), doc_id_a < doc_id_b: records at least so similar, exactly.
 
-    Of more than COPIES exact copies of a text, the first one stands for the others: it is paired with each of them and with the
-    records similar to it; ``copies`` tells whom it stands for.  All other records come out as all their pairs.
+    Each record is paired with the first record of every text that is similar to its own, its own included.  So different texts come out as
+    all their pairs, also where their triples are equal, and exact copies of a text are not paired out among each other or with the copies
+    of another one, however few or many they are; ``copies`` tells for whom a first record stands.
+    Records without code, without doc_id or with fewer than three tokens are not paired; a doc_id delivered twice counts once.
     """
-    members, links = set_join(docs, similarity)
-    links = written(links, "links")
-    members = written(members, "members")
-    within = _grouped(members)
-    many = within.where((F.col("n") > COPIES) & (F.col("doc_id") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
-    speaking = within.where((F.col("n") <= COPIES) | (F.col("doc_id") == F.col("head"))).select("id", "doc_id")
-    equal = speaking.alias("x").join(speaking.alias("y"), "id").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.lit(1.0).alias("similarity"))
-    unlike = (
-        links.join(speaking.select(F.col("id").alias("id_a"), F.col("doc_id").alias("a")), "id_a").join(speaking.select(F.col("id").alias("id_b"), F.col("doc_id").alias("b")), "id_b")
-        .select("a", "b", (F.col("shared") / F.col("either")).alias("similarity"))
-    )
-    out = equal.unionByName(many).unionByName(unlike)
-    return out.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "similarity")
-
-
-def _grouped(members: DataFrame) -> DataFrame:
+    records = Records(docs, similarity)
+    members = written(records.members(), "members")
+    links = written(records.links(records.candidates()), "links")
+    texts = members.groupBy("id", "text").agg(F.min("doc_id").alias("head"))
+    own = members.join(texts, "id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("similarity"))
+    linked = links.select("id_a", "id_b", (F.col("shared") / F.col("either")).alias("similarity"))
+    linked = linked.unionByName(linked.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "similarity"))
+    heads = linked.join(texts.select(F.col("id").alias("id_b"), F.col("head").alias("b")), "id_b").select(F.col("id_a").alias("id"), "b", "similarity")
+    out = members.select("id", F.col("doc_id").alias("a")).join(heads, "id").select("a", "b", "similarity").unionByName(own)
+    return out.where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"), "similarity").distinct()
+
+
+def _copies(members: DataFrame) -> DataFrame:
     """The members with the number n of records with the same code, and the first of them (head)."""
     return members.join(members.groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")), ["id", "text"])
 
 
+def _has_set() -> Column:
+    return F.size(F.regexp_extract_all("code", F.lit(r"([A-Za-z0-9_]+)"), 1)) >= SHINGLE
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first_doc_id, copies): for each record with token triples the first record with the same code, and how many have it."""
-    rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull())
-    # Only the numbers of sets and codes are wanted here, and those don't depend on the frequencies.
-    same = rows.sparkSession.sparkContext.broadcast(np.zeros(COUNTERS, np.int64))
-    sets = rows.mapInArrow(_setter(same, SIMILARITY), "doc_id string, id bigint, size int, text bigint, rare array<bigint>")
-    members = written(_members(sets), "members")
-    return _grouped(members).select("doc_id", F.col("head").alias("first_doc_id"), F.col("n").alias("copies"))
+    rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull()).where(_has_set())
+    members = rows.select("doc_id", F.xxhash64("code").alias("text")).groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("id", F.lit(0))
+    return _copies(written(members, "members")).select("doc_id", F.col("head").alias("first_doc_id"), F.col("n").alias("copies"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, links): one row per record; class_id is the first doc_id of the records it is connected to by links of
-    similarity, links the number of different texts it is similar to."""
-    members, links = set_join(docs, similarity)
-    links, members = written(links, "links"), written(members, "members")
-    number = components(links, "id_a", "id_b")
-    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    joined = members.join(number.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "id"))
-    names = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return joined.join(names, "component").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    """(doc_id, class_id, members): one row per record; class_id is the first doc_id of the records it is connected to by similarity,
+    members how many they are.
+
+    Sets are first compared with the smallest one that shares one of their least hashes, which is linear and joins most of a
+    class; only sets that this leaves in different classes are then searched for as pairs, so that a large family is never paired out.
+    """
+    records = Records(docs, similarity)
+    hashed = records.each.select("id", "size", F.posexplode("least").alias("at", "hash"))
+    first = hashed.groupBy("at", "hash").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = hashed.join(first, ["at", "hash"]).where("id > first.id").select(F.col("first.id").alias("id_a"), F.col("id").alias("id_b"), F.col("first.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
+    near = written(records.links(near), "near")
+    number = sized(components(near, "id_a", "id_b").select(F.col("node").alias("id"), (F.col("component") + 1).alias("class")), "numbers", NARROW_ROWS)
+    more = written(records.links(records.candidates(number)), "more")
+    number = components(near.select("id_a", "id_b").unionByName(more.select("id_a", "id_b")), "id_a", "id_b")
+    joined = written(records.members().join(number.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")), "joined")
+    names = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    return joined.join(names, "component").select("doc_id", "class_id", "members")
 
 
 def found(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id_a", "doc_id_b").distinct()
+    """(doc_id_a, doc_id_b) of ``near_duplicates``."""
+    return near_duplicates(docs).select("doc_id_a", "doc_id_b")

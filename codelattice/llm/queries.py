@@ -47,8 +47,25 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT DISTINCT doc_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS w FROM docs WHERE code <> ''),
             s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) > 2),
             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-            c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-            SELECT doc_id_a, doc_id_b FROM c JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 10 * k >= 7 * (x.n + y.n - k)
+            c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            p AS (SELECT doc_id_a, doc_id_b FROM c JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 10 * k >= 7 * (x.n + y.n - k)),
+            f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY code) = doc_id AS is_first FROM (SELECT DISTINCT doc_id, code FROM docs WHERE code <> ''))
+            SELECT doc_id_a, doc_id_b FROM p JOIN f x ON x.doc_id = doc_id_a JOIN f y ON y.doc_id = doc_id_b WHERE x.is_first OR y.is_first
+        """,
+        "p2_classes": """
+            WITH RECURSIVE t AS (SELECT DISTINCT doc_id, regexp_extract_all(code, '[A-Za-z0-9_]+') AS w FROM docs WHERE code <> ''),
+            s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) > 2),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 7 * (x.n + y.n - k)),
+            ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+            walk(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT walk.doc_id, b FROM walk JOIN ways ON a = node),
+            named AS (SELECT doc_id, min(node) AS class_id FROM walk GROUP BY doc_id)
+            SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS members FROM named
+        """,
+        "p2_copies": """
+            WITH t AS (SELECT DISTINCT doc_id, code FROM docs WHERE code <> '' AND len(regexp_extract_all(code, '[A-Za-z0-9_]+')) > 2)
+            SELECT doc_id, min(doc_id) OVER (PARTITION BY code) AS first_doc_id, count(*) OVER (PARTITION BY code) AS copies FROM t
         """,
         "p4_found": """
             WITH u AS (SELECT DISTINCT node_key, graph_node_data.embedding::DOUBLE[] AS e FROM tree_nodes WHERE len(graph_node_data.embedding) = 64
