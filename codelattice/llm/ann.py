@@ -1,10 +1,10 @@
 """Most similar vectors for every vector.
 
 Method: additive quantisation.  Full-dimensional codebooks are fitted to residuals one after another; a beam search encodes each
-vector as a sum of one codeword of each, and the norm of that sum is stored.  The first codes of the beam's best sums name the
-cells a vector is searched in; there, lookup tables of query-codeword products score the stored codes, and the best candidates
-are reranked with the exact vectors.  How many codes name a cell and how many cells are searched is chosen by how many neighbours
-that reaches for some vectors; vectors that still see too few others, or all where no such choice reaches enough, are searched exactly.
+vector as a sum of one codeword of each, and the norm of that sum is stored.  The first codes name cells of a few hundred vectors;
+a vector is searched for in the cells of the beam's best sums.  There, lookup tables of query-codeword products score the stored codes
+of all the cell's vectors, and the best of them are reranked with the exact vectors.  How many cells are searched is chosen by how many
+neighbours that reaches for some vectors; where no number of them reaches enough, and for vectors that see too few others, the search is exact.
 """
 
 from __future__ import annotations
@@ -13,27 +13,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import threads, written
-from .common import picked
+from .common import picked, sized
 
 NEIGHBOURS, DIMENSION = 5, 64
-#: Codebooks, codewords of each, beam width; vectors the codebooks are fitted on (chosen by a hash of the key), rounds of fitting.
-BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 6, 256, 8, 16384, 6
-#: Cells a vector is searched in; vectors for a cell to aim at; a fuller cell is searched in blocks of this size; candidates reranked.
-PROBES, CELL, CELL_BLOCK, RERANK = 4, 32, 4096, 160
-#: Share of the neighbours of ASKED vectors that must lie in the cells searched; vectors in a block of the exact search.
-REACH, ASKED, EXACT_BLOCK = 0.95, 256, 16384
-
-
-def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
-    """(books, words, dimension) codebooks by k-means on what the books before leave over."""
+#: Codebooks behind those that name cells, codewords of each, beam width; vectors the codebooks are fitted on (chosen by a hash of the
+#: key), rounds of fitting.
+BOOKS, WORDS, BEAM, SAMPLE, ROUNDS = 8, 256, 8, 16384, 6
+#: Vectors for a cell to aim at; codewords a single codebook may have to name cells; candidates of a cell reranked.
+CELL, CELL_WORDS, RERANK = 512, 1024, 96
+#: A cell with more base vectors, or more vectors searched for, is worked on in pairs of blocks of these sizes.
+CELL_BLOCK, QUERY_BLOCK = 4096, 16384
+#: Numbers of cells a vector may be searched in; share of the neighbours of ASKED vectors that must lie in them; vectors in a block of the
+#: exact search.
+PROBES, REACH, ASKED, EXACT_BLOCK = (4, 6, 8, 12, 16, 24, 32, 48, 64), 0.985, 256, 16384
+
+
+def fit(sample: np.ndarray, sizes: list[int], rounds: int = ROUNDS, seed: int = 0) -> list[np.ndarray]:
+    """Codebooks (words, dimension) of the given sizes, each by k-means on what the books before leave over."""
     rng = np.random.default_rng(seed)
     rest = sample.astype(np.float32).copy()
-    out = np.zeros((books, words, sample.shape[1]), np.float32)
-    for b in range(books):
+    out = []
+    for words in sizes:
         centres = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
         for _ in range(rounds):
             nearest = np.argmax(rest @ centres.T - 0.5 * np.einsum("ij,ij->i", centres, centres), axis=1)
@@ -45,50 +50,68 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
             centres[used] = sums[used] / counts[used, None]
             if (~used).any():
                 centres[~used] = rest[rng.choice(len(rest), int((~used).sum()))]
-        out[b] = centres
+        out.append(centres)
         nearest = np.argmax(rest @ centres.T - 0.5 * np.einsum("ij,ij->i", centres, centres), axis=1)
         rest -= centres[nearest]
     return out
 
 
-def encode(vectors: np.ndarray, codebooks: np.ndarray, depth: int, beam: int = BEAM, probes: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, norms of the sums, cells): beam search over the codebooks; cells are the numbers of the first ``depth`` codes of the
-    beam after that depth, best first, -1 where the beam is shorter; at depth 1 they are at least ``probes``, if there are so many."""
-    n = len(vectors)
-    books, words, dim = codebooks.shape
-    flat = codebooks.reshape(-1, dim)
-    gram = flat @ flat.T
-    products = vectors @ flat.T
-    # error of a sum s for a vector x, without |x|²: |s|² - 2 x·s
-    codes = np.zeros((n, 1, 0), np.int32)
-    errors = np.zeros((n, 1), np.float32)
-    cells = np.full((n, beam), -1, np.int64)
-    rows = np.arange(n)[:, None]
-    for b in range(books):
-        span = slice(b * words, (b + 1) * words)
-        grown = errors[:, :, None] + (np.diagonal(gram)[span] - 2 * products[:, span])[:, None, :]
-        for j in range(codes.shape[2]):
-            grown += 2 * gram[j * words + codes[:, :, j]][:, :, span]
-        grown = grown.reshape(n, -1)
-        errors_of_words = grown
-        width = min(beam, grown.shape[1])
-        best = np.argpartition(grown, width - 1, axis=1)[:, :width]
-        value = grown[rows, best]
-        order = np.argsort(value, axis=1, kind="stable")
-        best, errors = best[rows, order], value[rows, order]
-        codes = np.concatenate([codes[rows, best // words], (best % words)[:, :, None]], axis=2)
-        if depth == 1 and not b and probes > beam:
-            cells = np.argsort(errors_of_words, axis=1, kind="stable")[:, :probes].astype(np.int64)
-        elif b + 1 == depth:
-            number = np.zeros((n, width), np.int64)
-            for j in range(depth):
-                number = number * words + codes[:, :, j]
-            cells[:, :width] = number
-    top = codes[:, 0, :].astype(np.uint8)
-    total = np.zeros((n, dim), np.float32)
-    for b in range(books):
-        total += codebooks[b][top[:, b]]
-    return top, np.linalg.norm(total, axis=1).astype(np.float32), cells
+class Coder:
+    """Codebooks, of which the first ``depth`` name cells, with the products of their codewords."""
+
+    def __init__(self, books: list[np.ndarray], depth: int):
+        self.books, self.depth = books, depth
+        self.flat = np.concatenate(books)
+        self.starts = np.cumsum([0, *(len(b) for b in books)])
+        self.gram = self.flat @ self.flat.T
+
+    def encode(self, vectors: np.ndarray, probes: int = 1, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, norms of the sums, cells): beam search over the codebooks; cells are the numbers of the ``probes`` best sums of the first
+        codebooks, best first, -1 where there are fewer."""
+        n = len(vectors)
+        products = vectors @ self.flat.T
+        squares = np.diagonal(self.gram)
+        # error of a sum s for a vector x, without |x|²: |s|² - 2 x·s
+        codes = np.zeros((n, 1, 0), np.int64)
+        errors = np.zeros((n, 1), np.float32)
+        cells = np.full((n, probes), -1, np.int64)
+        rows = np.arange(n)[:, None]
+        for b, book in enumerate(self.books):
+            span, words = slice(self.starts[b], self.starts[b + 1]), len(book)
+            grown = errors[:, :, None] + (squares[span] - 2 * products[:, span])[:, None, :]
+            for j in range(codes.shape[2]):
+                grown += 2 * self.gram[self.starts[j] + codes[:, :, j]][:, :, span]
+            grown = grown.reshape(n, -1)
+            width = min(max(beam, probes) if b < self.depth else beam, grown.shape[1])
+            best = np.argpartition(grown, width - 1, axis=1)[:, :width] if width < grown.shape[1] else np.broadcast_to(np.arange(width), grown.shape)
+            value = grown[rows, best]
+            order = np.argsort(value, axis=1, kind="stable")
+            best, errors = best[rows, order], value[rows, order]
+            codes = np.concatenate([codes[rows, best // words], (best % words)[:, :, None]], axis=2)
+            if b + 1 == self.depth:
+                number = np.zeros(codes.shape[:2], np.int64)
+                for j in range(self.depth):
+                    number = number * len(self.books[j]) + codes[:, :, j]
+                some = min(probes, number.shape[1])
+                cells[:, :some] = number[:, :some]
+                codes, errors = codes[:, :beam], errors[:, :beam]
+        top = codes[:, 0, :]
+        total = self.flat[self.starts[:-1] + top].sum(axis=1)
+        return top.astype(np.uint16), np.linalg.norm(total, axis=1).astype(np.float32), cells
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(rows, -1)
+
+
+_UNITS = pa.schema([("node_key", pa.int64()), ("same", pa.string()), ("vector", pa.binary())])
+
+
+def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+        unit = [x.tobytes() for x in (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_hexdigest(x) for x in unit]), pa.array(unit, pa.binary())], schema=_UNITS)
 
 
 def _sifter(asked, k: int):
@@ -100,8 +123,7 @@ def _sifter(asked, k: int):
         for batch in it:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
-                v = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
-                unit = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+                unit = _vectors(part.column(1), part.num_rows)
                 cosine = (points @ unit.T).astype(np.float64)
                 cosine[keys[:, None] == part.column(0).to_numpy()[None, :]] = -np.inf
                 for i in np.flatnonzero(cosine.max(axis=1) > best[:, -1]):
@@ -118,53 +140,35 @@ def _sifter(asked, k: int):
 _SIFTED = pa.schema([("a", pa.int64()), ("cosine", pa.float64()), ("vector", pa.binary())])
 
 
-def reach(vectors: DataFrame, keys: np.ndarray, points: np.ndarray, codebooks: np.ndarray, k: int, schemes: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The first of the schemes (depth, probes) whose cells hold at least the share REACH of the k nearest of all vectors, for ASKED of
+def reach(units: DataFrame, keys: np.ndarray, points: np.ndarray, coder: Coder, k: int) -> int | None:
+    """The first of the numbers PROBES of cells that hold at least the share REACH of the k nearest of all vectors, for ASKED of
     the points; None if none does.  The nearest are found by one pass over all vectors."""
     some = np.arange(len(points))[:: -(-len(points) // ASKED)]
     keys, points = keys[some], points[some]
     best = Window.partitionBy("a").orderBy(F.desc("cosine"))
-    sifted = vectors.select("node_key", "vector").mapInArrow(_sifter(vectors.sparkSession.sparkContext.broadcast((keys, points)), k), "a bigint, cosine double, vector binary")
+    sifted = units.select("node_key", "vector").mapInArrow(_sifter(units.sparkSession.sparkContext.broadcast((keys, points)), k), "a bigint, cosine double, vector binary")
     near = sifted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "vector").collect()  # at most ASKED * k rows
     if not near:
-        return schemes[0]
-    wanted = np.array([np.frombuffer(r["vector"], np.float32) for r in near])
-    for depth, probes in schemes:
-        cells = encode(points, codebooks, depth, probes=probes)[2]
-        searched = {key: set(list(dict.fromkeys(c for c in row if c >= 0))[:probes]) for key, row in zip(keys.tolist(), cells.tolist())}
-        home = encode(wanted, codebooks, depth)[2][:, 0].tolist()
-        if np.mean([cell in searched[r["a"]] for r, cell in zip(near, home)]) >= REACH:
-            return depth, probes
-    return None
-
-
-def _schemes(depth: int, probes: int, words: int) -> list[tuple[int, int]]:
-    """(depth, probes) from the least to the most vectors searched."""
-    out = [(d, p) for d in range(depth, 0, -1) for p in (probes, 2 * probes) if p <= BEAM or d == 1]
-    p = 4 * probes
-    while 2 * p <= words:
-        out.append((1, p))
-        p *= 2
-    return out or [(1, probes)]
+        return PROBES[0]
+    home = coder.encode(np.array([np.frombuffer(r["vector"], np.float32) for r in near]))[2][:, 0]
+    cells = dict(zip(keys.tolist(), coder.encode(points, PROBES[-1])[2]))
+    place = np.array([int(np.flatnonzero(cells[r["a"]] == h)[0]) if (cells[r["a"]] == h).any() else PROBES[-1] for r, h in zip(near, home)])
+    return next((p for p in PROBES if np.mean(place < p) >= REACH), None)
 
 
 _ENCODED = pa.schema([("node_key", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("vector", pa.binary()), ("cells", pa.list_(pa.int64()))])
 
 
-def _encoder(codebooks, depth: int, probes: int):
+def _encoder(shared, probes: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         threads()
-        books = codebooks.value
+        coder = Coder(*shared.value)
         for batch in it:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                v = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
-                unit = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
-                codes, norms, cells = encode(unit, books, depth, probes=probes)
-                cells = [list(dict.fromkeys(c for c in row if c >= 0))[:probes] for row in cells.tolist()]
+                codes, norms, cells = coder.encode(_vectors(part.column(1), part.num_rows), probes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array(cells, pa.list_(pa.int64()))],
-                    schema=_ENCODED,
+                    [part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), part.column(1), pa.array([row[row >= 0] for row in cells], pa.list_(pa.int64()))], schema=_ENCODED
                 )
 
     return run
@@ -173,69 +177,78 @@ def _encoder(codebooks, depth: int, probes: int):
 _HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
 
-def nearest_in_cell(keys, codes, norms, vectors, is_base, codebooks: np.ndarray, k: int, rerank: int = RERANK):
-    """For each vector of a cell its k nearest of the cell's base vectors, itself left out: lookup-table scores, then exact ones."""
-    base = np.flatnonzero(is_base)
-    if len(base) == 0:
+def nearest_in_cell(asked: tuple, base: tuple, books: list[np.ndarray], k: int, rerank: int = RERANK) -> tuple | None:
+    """For each asked (keys, vectors) its k nearest of the base (keys, vectors, codes, norms), itself left out: lookup-table scores of all
+    of the base, then exact ones of the best; all that tie with the last of the k come as well, up to so many again."""
+    (keys, vectors), (bk, bv, codes, norms) = asked, base
+    if not len(bk) or not len(keys):
         return None
-    bk, bv = keys[base], vectors[base]
-    books, words, dim = codebooks.shape
+    starts = np.cumsum([0, *(len(b) for b in books)])
+    flat = np.concatenate(books).T
+    at = starts[:-1] + codes.astype(np.int64)
     out = []
     for first in range(0, len(keys), 512):
         q, qk = vectors[first : first + 512], keys[first : first + 512]
-        if len(base) > rerank:
-            tables = (q @ codebooks.reshape(-1, dim).T).reshape(len(q), books, words)
-            score = np.zeros((len(q), len(base)), np.float32)
-            for b in range(books):
-                score += tables[:, b, :][:, codes[base, b]]
-            score /= np.maximum(norms[base], 1e-6)
+        if len(bk) > rerank:
+            tables = q @ flat
+            score = tables[:, at[:, 0]]
+            for b in range(1, len(books)):
+                score += tables[:, at[:, b]]
+            score /= np.maximum(norms, 1e-6)
             score[qk[:, None] == bk[None, :]] = -np.inf
-            pick = np.argpartition(score, len(base) - rerank, axis=1)[:, -rerank:]
-            exact = np.einsum("ij,ikj->ik", q.astype(np.float64), bv[pick].astype(np.float64))
+            pick = np.argpartition(score, len(bk) - rerank, axis=1)[:, -rerank:]
+            exact = np.matmul(bv[pick], q[:, :, None])[:, :, 0].astype(np.float64)
         else:
-            pick = np.broadcast_to(np.arange(len(base)), (len(q), len(base)))
-            exact = q.astype(np.float64) @ bv.T.astype(np.float64)
+            pick = np.broadcast_to(np.arange(len(bk)), (len(q), len(bk)))
+            exact = (q @ bv.T).astype(np.float64)
         exact[bk[pick] == qk[:, None]] = -np.inf
         width = min(k, exact.shape[1])
-        top = np.argsort(-exact, axis=1, kind="stable")[:, :width]
+        top = np.argsort(-exact, axis=1, kind="stable")[:, : 2 * width]
         rows = np.arange(len(q))[:, None]
         value = exact[rows, top]
-        ok = np.isfinite(value)
-        out.append((np.broadcast_to(qk[:, None], value.shape)[ok], bk[pick[rows, top]][ok], value[ok]))
+        ok = np.isfinite(value) & (value >= value[:, width - 1 : width] - 1e-6)
+        # the exact cosines of what is kept, in double precision
+        row, column = np.nonzero(ok)
+        other = pick[row, top[row, column]]
+        cosine = np.einsum("ij,ij->i", q[row].astype(np.float64), bv[other].astype(np.float64))
+        out.append((qk[row], bk[other], cosine))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _searcher(codebooks, k: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        threads()
-        books = codebooks.value
-        dim = books.shape[2]
-        held: list[pa.RecordBatch] = []
-
-        def groups() -> Iterator[pa.Table]:
-            """Rows of one (cell, block) after the other; rows come sorted, a group is at most the copies of a bounded block's rows."""
-            last = None
-            for batch in it:
-                key = np.asarray(batch.column(0)) * 1_000_003 + np.asarray(batch.column(1))
-                cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if a == b:
-                        continue
-                    if held and key[a] != last:
-                        yield pa.Table.from_batches(held)
-                        held.clear()
-                    held.append(batch.slice(a, b - a))
-                    last = key[a]
-            if held:
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (cell, block) after the other; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in it:
+        cell, block = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(cell)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and (cell[a], block[a]) != last:
                 yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = (cell[a], block[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _searcher(shared, k: int):
+    """``shared`` is None for the exact search, where all of the base counts as best."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        threads()
+        books = shared.value[0] if shared else [np.zeros((1, 1), np.float32)]
         ready: list[tuple] = []
-        for t in groups():
-            if t.num_rows < 2:
-                continue
-            keys = t.column("node_key").to_numpy()
-            raw = lambda name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
-            hit = nearest_in_cell(keys, raw("codes", np.uint8), t.column("norm").to_numpy(), raw("vector", np.float32), t.column("is_base").to_numpy(zero_copy_only=False), books, k)
+        for t in _groups(it):
+            keys, vectors = t.column("node_key").to_numpy(), _vectors(t.column("vector"), t.num_rows)
+            base, asks = (t.column(x).to_numpy(zero_copy_only=False) for x in ("is_base", "asks"))
+            if shared:
+                codes = np.frombuffer(b"".join(t.column("codes").filter(pa.array(base)).to_pylist()), np.uint16).reshape(int(base.sum()), -1)
+                hit = nearest_in_cell((keys[asks], vectors[asks]), (keys[base], vectors[base], codes, t.column("norm").to_numpy()[base]), books, k)
+            else:
+                hit = nearest_in_cell((keys[asks], vectors[asks]), (keys[base], vectors[base], np.zeros((int(base.sum()), 1)), np.ones(int(base.sum()))), books, k, rerank=1 << 62)
             if hit is not None and len(hit[0]):
                 ready.append(hit)
             if sum(len(r[0]) for r in ready) > 20_000:
@@ -247,67 +260,48 @@ def _searcher(codebooks, k: int):
     return run
 
 
-def _exact_searcher(k: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        threads()
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in it:
-            group = np.asarray(batch.column(0))
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and group[a] != last:
-                    yield from _exact_hits(pa.Table.from_batches(held), k)
-                    held.clear()
-                held.append(batch.slice(a, b - a))
-                last = group[a]
-        if held:
-            yield from _exact_hits(pa.Table.from_batches(held), k)
+def _hits(ready: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), f.type) for x, f in zip(zip(*ready), _HITS)], schema=_HITS)
+
+
+def _spread(n: int | F.Column, salt: int) -> F.Column:
+    return F.pmod(F.xxhash64("node_key", F.lit(salt)), n if isinstance(n, F.Column) else F.lit(n)).cast("int")
 
-    return run
 
+def _each(n: int | F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), (n if isinstance(n, F.Column) else F.lit(n)) - 1))
 
-def _exact_hits(t: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest base vectors of each asking one in a group of two blocks."""
-    keys, base = t.column("node_key").to_numpy(), t.column("is_base").to_numpy(zero_copy_only=False)
-    vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(t.num_rows, -1)
-    bk, bv = keys[base], vectors[base].astype(np.float64)
-    qk, qv = keys[~base], vectors[~base]
-    if not len(bk):
-        return
-    for first in range(0, len(qk), 256):
-        a = qk[first : first + 256]
-        cosine = qv[first : first + 256].astype(np.float64) @ bv.T
-        cosine[a[:, None] == bk[None, :]] = -np.inf
-        width = min(k, len(bk))
-        # The smaller key is nearer among equal cosines, so all that tie with the k-th are given.
-        bound = np.partition(cosine, len(bk) - width, axis=1)[:, len(bk) - width]
-        row, column = np.nonzero((cosine >= bound[:, None]) & np.isfinite(cosine))
-        if len(row) > 4 * k * len(a):  # many equal vectors: the k smallest keys of each are enough
-            order = np.lexsort((bk[column], -cosine[row, column], row))
-            row, column = row[order], column[order]
-            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, column = row[keep], column[keep]
-        if len(row):
-            yield _hits([(a[row], bk[column], cosine[row, column])])
-
-
-def exactly(asking: DataFrame, rows: DataFrame, total: int, k: int) -> DataFrame:
-    """(a, b, cosine): for each of ``asking`` its k nearest of ``rows`` (both node_key, vector), and possibly more, by comparing blocks."""
-    spread = lambda n: F.pmod(F.xxhash64("node_key"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+def exactly(asking: DataFrame, units: DataFrame, total: int, k: int) -> DataFrame:
+    """(a, b, cosine): for each of ``asking`` its k nearest of ``units`` (both node_key, vector), and possibly more, by comparing blocks."""
     left, right = (max(1, -(-n // EXACT_BLOCK)) for n in (asking.count(), total))
-    asked = asking.select(spread(left).alias("i"), "node_key", "vector").select("i", every(right).alias("j"), "node_key", "vector", F.lit(False).alias("is_base"))
-    base = rows.select(spread(right).alias("j"), "node_key", "vector").select(every(left).alias("i"), "j", "node_key", "vector", F.lit(True).alias("is_base"))
-    pairs = asked.select((F.col("i") * right + F.col("j")).cast("bigint").alias("pair"), "node_key", "vector", "is_base")
-    pairs = pairs.unionByName(base.select((F.col("i") * right + F.col("j")).cast("bigint").alias("pair"), "node_key", "vector", "is_base"))
-    return pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_exact_searcher(k), "a bigint, b bigint, cosine double")
+    columns = lambda base: ["cell", "block", "node_key", "vector", F.lit(base).alias("is_base"), F.lit(not base).alias("asks")]
+    asked = asking.select(_spread(left, 1).alias("cell"), "node_key", "vector").select("cell", _each(right).alias("block"), "node_key", "vector").select(*columns(False))
+    base = units.select(_spread(right, 2).alias("block"), "node_key", "vector").select(_each(left).alias("cell"), "block", "node_key", "vector").select(*columns(True))
+    return asked.unionByName(base).repartition(left * right, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_searcher(None, k), "a bigint, b bigint, cosine double")
 
 
-def _hits(ready: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ready)], schema=_HITS)
+def in_cells(encoded: DataFrame, shared, k: int) -> DataFrame:
+    """(a, b, cosine): for each vector its k nearest, and possibly more, of each cell it is searched in.
+
+    A vector is base of its first cell and asks in all of its cells.  Cells that are too full are worked on as a grid: blocks of base
+    vectors against blocks of asking ones, each pair a group of its own, so that no group outgrows a block of each.
+    """
+    placed = encoded.select("node_key", "codes", "norm", "vector", F.posexplode("cells").alias("rank", "cell"))
+    full = encoded.select(F.posexplode("cells").alias("rank", "cell")).groupBy("cell").agg(F.count_if(F.col("rank") == 0).alias("base"), F.count(F.lit(1)).alias("asking"))
+    full = full.where((F.col("base") > CELL_BLOCK) | (F.col("asking") > QUERY_BLOCK))
+    full = sized(full.select("cell", F.greatest(F.ceil(F.col("base") / CELL_BLOCK), F.lit(1)).cast("int").alias("bases"), F.ceil(F.col("asking") / QUERY_BLOCK).cast("int").alias("askers")), "full")
+    placed = placed.join(full, "cell", "left")
+    is_base = F.col("rank") == 0
+    none = lambda c: F.when(is_base, F.col(c)).alias(c)
+    plain = placed.where("bases IS NULL").select("cell", F.lit(0).alias("block"), "node_key", none("codes"), none("norm"), "vector", is_base.alias("is_base"), F.lit(True).alias("asks"))
+    grid = placed.where("bases IS NOT NULL").withColumn("b", _spread(F.col("bases"), 3)).withColumn("q", _spread(F.col("askers"), 4))
+    base = grid.where(is_base).withColumn("q", _each(F.col("askers"))).select("cell", (F.col("b") * F.col("askers") + F.col("q")).alias("block"), "node_key", "codes", "norm", "vector", F.lit(True).alias("is_base"), F.lit(False).alias("asks"))
+    asking = grid.withColumn("b", _each(F.col("bases"))).select(
+        "cell", (F.col("b") * F.col("askers") + F.col("q")).alias("block"), "node_key", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), "vector", F.lit(False).alias("is_base"), F.lit(True).alias("asks")
+    )
+    rows = plain.unionByName(base).unionByName(asking)
+    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_searcher(shared, k), "a bigint, b bigint, cosine double")
 
 
 def usable(nodes: DataFrame, dimension: int = DIMENSION) -> DataFrame:
@@ -318,58 +312,68 @@ def usable(nodes: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return nodes.where(F.col("node_key").isNotNull() & e.isNotNull()).where(fine).select("node_key", e.alias("vector"))
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, probes: int = PROBES) -> DataFrame:
+def _books(total: int, points: int) -> tuple[int, list[int]]:
+    """How many codebooks name cells, and the sizes of all."""
+    cells = max(1, round(total / CELL))
+    depth = next(d for d in range(1, 9) if cells <= CELL_WORDS**d)
+    first = min(max(1, int(np.ceil(cells ** (1 / depth) - 1e-9))), points)
+    return depth, [first] * depth + [min(WORDS, max(2, points // 16))] * BOOKS
+
+
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, cosine): for each of the vectors (node_key, vector) its k nearest others by cosine.
 
     Every vector is indexed and searched for; the codebooks alone are fitted on a bounded sample.  Keys that come twice count
-    once.  Among equal cosines the smaller key is nearer.  The search is approximate, exact where no cells would reach enough neighbours
-    and for vectors that see fewer than k others: see the README for its measured recall.
+    once, with the first of their vectors in order.  Among equal cosines the smaller key is nearer.  Of more than k + 1 equal vectors all
+    have the smallest keys among them as neighbours, which needs no search.  The search is approximate, exact where no cells would reach
+    enough neighbours and for vectors that see fewer than k others: see the README for its measured recall.
     """
     threads()
     spark = vectors.sparkSession
-    total = vectors.count()
+    units = written(vectors.select("node_key", "vector").mapInArrow(_units, "node_key bigint, same string, vector binary"), "units")
+    again = sized(units.groupBy("node_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node_key"), "again")
+    if not again.isEmpty():
+        one = units.join(again, "node_key", "left_semi").groupBy("node_key").agg(F.min(F.struct("same", "vector")).alias("x")).select("node_key", "x.same", "x.vector")
+        units = written(units.join(again, "node_key", "left_anti").unionByName(one), "units")
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "cosine")
+    # Large groups of equal vectors: the k + 1 smallest keys stand for all.
+    many = sized(units.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same"), "many")
+    copies = None
+    if not many.isEmpty():
+        members = units.select("node_key", "same").join(many, "same")
+        first = members.withColumn("place", F.row_number().over(Window.partitionBy("same").orderBy("node_key"))).where(F.col("place") <= k + 1)
+        first = sized(first.select("same", F.col("node_key").alias("b"), "place"), "first")
+        rest = written(members.join(first.select("same", F.col("b").alias("node_key")), ["same", "node_key"], "left_anti"), "rest")
+        copies = rest.join(first.where(F.col("place") <= k), "same").select(F.col("node_key").alias("a"), "b", F.lit(1.0).alias("cosine"))
+        units = written(units.join(rest.select("node_key"), "node_key", "left_anti"), "units")
+    total = units.count()
     # About SAMPLE vectors, those whose key's hash is small: the driver gets no more whatever the number of vectors.
     share = min(1.0, SAMPLE / max(1, total))
-    chosen = vectors.where(F.pmod(F.xxhash64("node_key"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else vectors
+    chosen = units.where(F.pmod(F.xxhash64("node_key"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else units
     sample = chosen.select("node_key", "vector").limit(SAMPLE + SAMPLE // 8).collect()
     sample.sort(key=lambda r: r["node_key"])
     if len(sample) < 2:
-        return spark.createDataFrame([], "a bigint, b bigint, cosine double")
-    points = np.array([r["vector"] for r in sample], np.float64)
-    points = (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32)
-    words = int(min(WORDS, max(2, len(points) // 16)))
-    depth = next((d for d in range(1, BOOKS) if total <= CELL * words**d), BOOKS)
-    books = fit(points, words=words)
-    scheme = reach(vectors, np.array([r["node_key"] for r in sample], np.int64), points, books, k, _schemes(depth, probes, words))
-    codebooks = spark.sparkContext.broadcast(books)
-    depth, probes = scheme or (1, 1)
-    rows = vectors.mapInArrow(_encoder(codebooks, depth, probes), "node_key bigint, codes binary, norm float, vector binary, cells array<bigint>")
-    rows = written(rows, "encoded")
-    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    ranked = lambda hits: hits.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("a", "b", "cosine")
-    if scheme is None:
-        return ranked(exactly(rows, rows, total, k))
-    # A cell with more base vectors than a block holds is searched block by block: its base is spread over blocks by a hash of
-    # the key and its queries go to all of them.
-    full = rows.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_BLOCK)
-    full = full.select("cell", F.ceil(F.col("n") / CELL_BLOCK).cast("int").alias("blocks"))
-    placed = rows.select("node_key", "codes", "norm", "vector", F.posexplode("cells").alias("rank", "cell")).join(full, "cell", "left")
-    home = F.pmod(F.xxhash64("node_key"), F.coalesce("blocks", F.lit(1))).cast("int")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).select(
-        "cell", "block", "node_key", "codes", "norm", "vector", ((F.col("rank") == 0) & (F.col("block") == home)).alias("is_base")
-    )
-    sorted_cells = placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
-    hits = sorted_cells.mapInArrow(_searcher(codebooks, k), "a bigint, b bigint, cosine double")
-    near = written(ranked(hits), "near")
-    enough = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, total - 1)).select(F.col("a").alias("node_key"))
-    short = written(rows.join(enough, "node_key", "left_anti").select("node_key", "vector"), "short")
-    if short.isEmpty():
-        return near
-    return near.join(short.select(F.col("node_key").alias("a")), "a", "left_anti").unionByName(ranked(exactly(short, rows, total, k)))
+        return copies if copies is not None else spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    points = np.array([np.frombuffer(r["vector"], np.float32) for r in sample])
+    depth, sizes = _books(total, len(points))
+    books = fit(points, sizes)
+    probes = reach(units, np.array([r["node_key"] for r in sample], np.int64), points, Coder(books, depth), k)
+    if probes is None:
+        out = ranked(exactly(units, units, total, k))
+    else:
+        shared = spark.sparkContext.broadcast((books, depth))
+        rows = units.select("node_key", "vector").mapInArrow(_encoder(shared, probes), "node_key bigint, codes binary, norm float, vector binary, cells array<bigint>")
+        near = written(ranked(in_cells(written(rows, "encoded"), shared, k)), "near")
+        enough = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, total - 1)).select(F.col("a").alias("node_key"))
+        short = written(units.select("node_key", "vector").join(enough, "node_key", "left_anti"), "short")
+        out = near if short.isEmpty() else near.join(short.select(F.col("node_key").alias("a")), "a", "left_anti").unionByName(ranked(exactly(short, units, total, k)))
+    return out if copies is None else out.unionByName(copies)
 
 
 def neighbours(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    return nearest(usable(nodes).dropDuplicates(["node_key"]), k)
+    """``nearest`` of the nodes' usable embeddings."""
+    return nearest(usable(nodes), k)
 
 
 def found(nodes: DataFrame) -> DataFrame:
