@@ -45,45 +45,68 @@ def family():
 def test_near_duplicates_like_brute_force(spark, docs_of, odd, family):
     docs = docs_of(*((d, "x.py", None, c) for d, c in family), (family[3][0], "x.py", None, family[3][1]))
     got = {tuple(r) for r in neardup.found(odd(docs)).collect()}
-    assert got == _brute(family, 0.7)
+    assert got == _brute(family, 0.7)  # no two texts of the family are equal
     assert len(got) > 40
     classes = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
     assert all(classes[a] == classes[b] for a, b in got) and classes["three"] == classes["three2"] == "three" and "short" not in classes
 
 
-def test_lists_cut_into_blocks_lose_nothing(spark, docs_of, family, monkeypatch):
-    monkeypatch.setattr(neardup, "LIST_BLOCK", 2)
-    monkeypatch.setattr(neardup, "COUNTERS", 1 << 6)
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_skipping_by_size_and_place_loses_nothing(most):
     rng = np.random.default_rng(0)
     key = rng.integers(0, 5, 300).astype(np.int64)
-    ids, size = np.arange(300), rng.integers(50, 100, 300).astype(np.int32)
-    place = rng.integers(0, 10, 300).astype(np.int32)
-    pairs = np.concatenate(list(neardup.list_pairs(key, ids, size, place, np.zeros(300, np.int32), 0.7)))
-    want = set()
-    for a, b in itertools.combinations(range(300), 2):
-        x, y = (a, b) if size[a] <= size[b] else (b, a)
-        most = 1 + min(place[a], place[b]) + min(size[a] - place[a], size[b] - place[b]) - 1
-        if key[a] == key[b] and size[x] >= 0.7 * size[y] and most >= np.ceil((int(size[a]) + int(size[b])) * 0.7 / 1.7 - 1e-9):
-            want.add((a, b))
-    assert {tuple(sorted(p[:2])) for p in pairs.tolist()} == want
-
-
-def test_large_groups_of_copies_come_out_as_a_star(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(neardup, "COPIES", 3)
-    rows = [(f"c{i}", "x.py", None, "a b c d e f g h i j k l") for i in range(5)] + [("other", "x.py", None, "a b c d e f g h i j k m")]
-    got = {tuple(r) for r in neardup.found(docs_of(*rows)).collect()}
-    assert got == {("c0", f"c{i}") for i in range(1, 5)} | {("c0", "other")}
-
-
-def test_different_texts_with_equal_triples_come_out_as_all_pairs(docs_of, monkeypatch):
-    monkeypatch.setattr(neardup, "COPIES", 3)
+    ids, size = rng.permutation(300).astype(np.int64), rng.integers(50, 100, 300).astype(np.int32)
+    place, side, classes = rng.integers(0, 40, 300).astype(np.int32), rng.integers(0, 3, 300).astype(np.int32), rng.integers(1, 4, 300).astype(np.int64)
+    classes[key == 0] = 7
+    for sides, kinds in ((np.zeros(300, np.int32), np.zeros(300, np.int64)), (side, classes)):
+        found = [tuple(r) for part in neardup.list_pairs(key, ids, size, place, sides, kinds, 0.7, most) for r in part.tolist()]
+        want = set()
+        for a, b in itertools.permutations(range(300), 2):
+            most_common = min(place[a], place[b]) + min(size[a] - place[a], size[b] - place[b])
+            same = key[a] == key[b] and (sides[a] == 0 or sides[a] != sides[b] or sides[b] == 0) and (kinds[a] == 0 or kinds[a] != kinds[b])
+            alike = min(size[a], size[b]) >= 0.7 * max(size[a], size[b]) and most_common >= np.ceil((int(size[a]) + int(size[b])) * 0.7 / 1.7 - 1e-9)
+            if ids[a] < ids[b] and same and alike:
+                want.add(tuple(int(x) for x in (ids[a], ids[b], size[a], size[b], place[a], place[b])))
+        if not sides.any():
+            assert len(found) == len(set(found)) and set(found) == want
+        else:  # sides only meet in pairs of blocks, where 0 does not occur beside others
+            assert set(found) <= want
+
+
+def test_long_lists_are_cut_and_lose_nothing(docs_of, family, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST_BLOCK", 2)
+    monkeypatch.setattr(neardup, "LEAST_COUNTERS", 1 << 6)
+    monkeypatch.setattr(neardup, "MOST_COUNTERS", 1 << 6)
+    docs = docs_of(*((d, "x.py", None, c) for d, c in family))
+    assert {tuple(r) for r in neardup.found(docs).collect()} == _brute(family, 0.7)
+
+
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_records_are_paired_with_the_first_of_each_similar_text(docs_of, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(neardup, "NARROW_ROWS", rows)
     code = "a b c d e f g h i j k l"
-    rows = [(f"c{i}", "x.py", None, code) for i in range(5)] + [(f"d{i}", "x.py", None, code.replace(" ", " " * (i + 2))) for i in range(5)] + [("other", "x.py", None, "a b c d e f g h i j k m")]
-    got = {tuple(r) for r in neardup.found(docs_of(*rows)).collect()}
-    speaking = ["c0", *(f"d{i}" for i in range(5)), "other"]
-    assert got == {("c0", f"c{i}") for i in range(1, 5)} | set(itertools.combinations(speaking, 2))
-    told = {tuple(r) for r in neardup.copies(docs_of(*rows)).collect()}
-    assert told == {(f"c{i}", "c0", 5) for i in range(5)} | {(d, d, 1) for d in speaking[1:]}
+    table = [(f"c{i}", "x.py", None, code) for i in range(5)] + [(f"d{i}", "x.py", None, code.replace(" ", " " * (i + 2))) for i in range(3)] + [(f"e{i}", "x.py", None, "a b c d e f g h i j k m") for i in range(2)]
+    got = {tuple(r) for r in neardup.found(docs_of(*table, table[0])).collect()}
+    heads = ["c0", "d0", "d1", "d2", "e0"]
+    assert got == {tuple(sorted((d, h))) for d, *_ in table for h in heads if d != h}
+    told = {tuple(r) for r in neardup.copies(docs_of(*table, table[0])).collect()}
+    assert told == {(f"c{i}", "c0", 5) for i in range(5)} | {(f"d{i}", f"d{i}", 1) for i in range(3)} | {(f"e{i}", "e0", 2) for i in range(2)}
+    assert {(r["class_id"], r["members"]) for r in neardup.classes(docs_of(*table)).collect()} == {("c0", 10)}
+
+
+def test_a_family_has_its_class_and_all_its_pairs(docs_of):
+    rng = random.Random(12)
+    base = _code(rng, 200).split()
+    rows = []
+    for i in range(90):
+        x = list(base)
+        x[rng.randrange(200)] = f"n{i}"
+        rows.append((f"f{i:02}", " ".join(x)))
+    rows += [(f"g{i}", " ".join(base[:100] + _code(rng, 100).split())) for i in range(3)]
+    docs = docs_of(*((d, "x.py", None, c) for d, c in rows))
+    assert {tuple(r) for r in neardup.found(docs).collect()} == _brute(rows, 0.7)
+    assert sorted((r["class_id"], r["members"]) for r in neardup.classes(docs).collect()) == [("f00", 90)] * 90 + [("g0", 1), ("g1", 1), ("g2", 1)]
 
 
 def test_no_duplicates_in_nothing(docs_of):
@@ -127,17 +150,45 @@ def test_vectors_without_clusters_have_their_neighbours(spark):
     assert len(got) == 45000 and len(got & true) >= 0.9 * len(true)
 
 
-def test_vectors_whose_cells_hold_too_few_are_searched_exactly(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL", 1)
-    monkeypatch.setattr(ann, "REACH", 0.0)
-    monkeypatch.setattr(ann, "EXACT_BLOCK", 50)
-    points = np.random.default_rng(6).normal(size=(300, 64)).astype(np.float32)
-    got = {(r["a"], r["b"]) for r in ann.nearest(ann.usable(_nodes(spark, enumerate(points))), probes=1).collect()}
+def _true_neighbours(points):
     unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
     cos = unit @ unit.T
     np.fill_diagonal(cos, -2)
-    true = {(i, int(j)) for i, row in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in row}
-    assert len(got) == 1500 and len(got & true) >= 0.9 * len(true)
+    return {(i, int(j)) for i, row in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in row}
+
+
+def test_vectors_are_searched_exactly_where_cells_do_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 3)
+    monkeypatch.setattr(ann, "EXACT_BLOCK", 50)
+    points = np.random.default_rng(6).normal(size=(300, 64)).astype(np.float32)
+    for probes, reach in (((1,), 0.0), ((1,), 1.1)):  # too few seen in one cell, and no number of cells that reaches enough
+        monkeypatch.setattr(ann, "PROBES", probes)
+        monkeypatch.setattr(ann, "REACH", reach)
+        got = {(r["a"], r["b"]) for r in ann.nearest(ann.usable(_nodes(spark, enumerate(points)))).collect()}
+        assert len(got) == 1500 and (got == _true_neighbours(points) or reach == 0.0)
+
+
+def test_many_equal_vectors_have_the_smallest_keys(spark):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(60, 64)).astype(np.float32)
+    points[10:40] = points[10]  # thirty equal ones
+    got = {}
+    for r in ann.nearest(ann.usable(_nodes(spark, enumerate(points)))).collect():
+        got.setdefault(r["a"], []).append((-round(r["cosine"], 5), r["b"]))
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
+    for a in range(60):
+        want = sorted((-round(float(unit[a] @ unit[b]), 5), b) for b in range(60) if b != a)[:5]
+        assert sorted(got[a]) == want
+
+
+def test_codes_stand_for_vectors():
+    points = np.random.default_rng(8).normal(size=(500, 16)).astype(np.float32)
+    books = ann.fit(points, [20, 20, 64, 64, 64, 64])
+    codes, norms, cells = ann.Coder(books, 2).encode(points, 12)
+    sums = sum(b[codes[:, i]] for i, b in enumerate(books))
+    assert np.allclose(np.linalg.norm(sums, axis=1), norms, atol=1e-4)
+    assert ((points - sums) ** 2).sum() < 0.35 * (points**2).sum()
+    assert all(len(set(row.tolist())) == 12 and row.min() >= 0 and row.max() < 400 for row in cells)
 
 
 def test_few_equal_and_no_vectors(spark):
@@ -149,10 +200,12 @@ def test_few_equal_and_no_vectors(spark):
 
 def test_full_cells_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(ann, "CELL", 30)
     rng = np.random.default_rng(2)
     points = (np.ones(64) + 0.1 * rng.normal(size=(60, 64))).astype(np.float32)
     got = {(r["a"], r["b"]) for r in ann.neighbours(_nodes(spark, enumerate(points))).collect()}
-    assert len(got) == 300 and {a for a, _ in got} == set(range(60))
+    assert got == _true_neighbours(points)
 
 
 # ---------------------------------------------------------------- 5
@@ -298,6 +351,7 @@ def test_mixture_is_the_same_for_all_settings_and_meets_its_shares(spark, monkey
     monkeypatch.setattr(mixing, "GROUP_CHARS", 3000)
     monkeypatch.setattr(mixing, "RESTS", 3)
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 5)
+    monkeypatch.setattr(mixing, "BUNDLE_SHARDS", 2)
     monkeypatch.setattr(mixing, "MOST_BUNDLES", 4)
     rng = random.Random(16)
     rows = [(i, _code(rng, rng.randrange(5, 300)), rng.choice(["a", "a", "a", "b", "c"])) for i in range(150)] + [(1000, "w", "a"), (1000, "w", "a"), (None, _code(rng, 90), "b")]
