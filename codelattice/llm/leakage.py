@@ -105,7 +105,8 @@ def _looked_up(wanted: DataFrame, postings: DataFrame, name: str) -> DataFrame:
     wanted = written(wanted, name)
     if wanted.count() <= BROADCAST_ROWS:
         return postings.join(F.broadcast(wanted), [*_DOC, "term"])
-    return wanted.join(postings.join(sized(wanted.select(*_DOC).distinct(), f"{name}_documents"), _DOC, "left_semi"), [*_DOC, "term"])
+    docs, terms = sized(wanted.select(*_DOC).distinct(), f"{name}_documents"), sized(wanted.select("term").distinct(), f"{name}_terms")
+    return wanted.join(postings.join(terms, "term", "left_semi").join(docs, _DOC, "left_semi"), [*_DOC, "term"])
 
 
 def _runs(places: Column, width: int) -> Column:
