@@ -23,8 +23,9 @@ from .common import picked
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies cut text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Tokens of a block; blocks of a shard at least; bundles of shards at most, whose counts the driver draws (a task draws those inside).
-BLOCK, SHARD_BLOCKS, MOST_BUNDLES = 512, 256, 1024
+#: Tokens of a block; blocks of a shard at least; shards of a bundle at least, and bundles at most, whose counts the driver draws (a task
+#: draws those of its shards).
+BLOCK, SHARD_BLOCKS, BUNDLE_SHARDS, MOST_BUNDLES = 512, 256, 16, 1024
 #: Characters of a group of rows that is packed by itself; groups whose rests are packed together; numbering rows that are broadcast at most.
 GROUP_CHARS, RESTS, NUMBERING = 4_000_000, 256, 100_000
 
@@ -222,7 +223,7 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, len
     names = sorted(quota)
     total = sum(quota.values())
     shards = max(1, total // SHARD_BLOCKS)
-    bundles = min(MOST_BUNDLES, shards)
+    bundles = min(MOST_BUNDLES, -(-shards // BUNDLE_SHARDS))
     place = lambda shard: total * shard // shards
     edges = [shards * b // bundles for b in range(bundles + 1)]
     rows, taken = [], np.zeros(len(names), dtype=np.int64)
