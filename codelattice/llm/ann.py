@@ -63,14 +63,15 @@ class Coder:
         self.books, self.depth = books, depth
         self.flat = np.concatenate(books)
         self.starts = np.cumsum([0, *(len(b) for b in books)])
-        self.gram = self.flat @ self.flat.T
+        self.squares = np.einsum("ij,ij->i", self.flat, self.flat)
+        # twice the products of all earlier codewords with those of each codebook
+        self.products = [2 * (self.flat[: self.starts[b]] @ book.T) for b, book in enumerate(books)]
 
     def encode(self, vectors: np.ndarray, probes: int = 1, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, norms of the sums, cells): beam search over the codebooks; cells are the numbers of the ``probes`` best sums of the first
         codebooks, best first, -1 where there are fewer."""
         n = len(vectors)
-        products = vectors @ self.flat.T
-        squares = np.diagonal(self.gram)
+        products = 2 * (vectors @ self.flat.T)
         # error of a sum s for a vector x, without |x|²: |s|² - 2 x·s
         codes = np.zeros((n, 1, 0), np.int64)
         errors = np.zeros((n, 1), np.float32)
@@ -78,9 +79,9 @@ class Coder:
         rows = np.arange(n)[:, None]
         for b, book in enumerate(self.books):
             span, words = slice(self.starts[b], self.starts[b + 1]), len(book)
-            grown = errors[:, :, None] + (squares[span] - 2 * products[:, span])[:, None, :]
+            grown = errors[:, :, None] + (self.squares[span] - products[:, span])[:, None, :]
             for j in range(codes.shape[2]):
-                grown += 2 * self.gram[self.starts[j] + codes[:, :, j]][:, :, span]
+                grown += self.products[b][self.starts[j] + codes[:, :, j]]
             grown = grown.reshape(n, -1)
             width = min(max(beam, probes) if b < self.depth else beam, grown.shape[1])
             best = np.argpartition(grown, width - 1, axis=1)[:, :width] if width < grown.shape[1] else np.broadcast_to(np.arange(width), grown.shape)
