@@ -98,7 +98,7 @@ _SETS = pa.schema(
 )
 
 
-def _setter(frequency, t: float):
+def _setter(frequency, t: float, hashed: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
         mask = np.uint64(len(counts) - 1)
@@ -110,7 +110,7 @@ def _setter(frequency, t: float):
                 if not n:
                     continue
                 order = np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")
-                least = [_mixed(s ^ salt).min() for salt in _SALTS]
+                least = [_mixed(s ^ salt).min() for salt in _SALTS] if hashed else []
                 for column, value in zip(out, (doc, text, _number(s), n, s[order[: rare_length(n, t)]].view(np.int64), np.array(least, np.uint64).view(np.int64))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SETS)], schema=_SETS)
@@ -276,16 +276,16 @@ class Records:
     """The sets of a table of records, written once: (id, doc_id, text, number, size, rare, least), id being the row's own number.
 
     Records without code, without doc_id or with fewer than three tokens have none.  ``first`` gives of each number of a set that several rows
-    have the smallest id, ``each`` one row for a set.
+    have the smallest id, ``each`` one row for a set.  least, only made if ``hashed``, has the least of several hashes of the members.
     """
 
-    def __init__(self, docs: DataFrame, similarity: float):
+    def __init__(self, docs: DataFrame, similarity: float, hashed: bool = False):
         spark = docs.sparkSession
         self.similarity = similarity
         self.rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("code").alias("text"), "code")
         counts = frequencies(self.rows, docs.count())
         self.frequency, self.long = spark.sparkContext.broadcast(counts), bool(counts.max(initial=0) > LIST_BLOCK)
-        made = self.rows.mapInArrow(_setter(self.frequency, similarity), "doc_id string, text bigint, number bigint, size int, rare array<bigint>, least array<bigint>")
+        made = self.rows.mapInArrow(_setter(self.frequency, similarity, hashed), "doc_id string, text bigint, number bigint, size int, rare array<bigint>, least array<bigint>")
         self.sets = written(made.withColumn("id", F.monotonically_increasing_id()), "sets")
         again = self.sets.groupBy("number").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("number", "first")
         self.again = sized(again, "again", NARROW_ROWS)
@@ -431,7 +431,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Sets are first compared with the smallest one that shares one of their least hashes, which is linear and joins most of a
     class; only sets that this leaves in different classes are then searched for as pairs, so that a large family is never paired out.
     """
-    records = Records(docs, similarity)
+    records = Records(docs, similarity, hashed=True)
     hashed = records.each.select("id", "size", F.posexplode("least").alias("at", "hash"))
     first = hashed.groupBy("at", "hash").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = hashed.join(first, ["at", "hash"]).where("id > first.id").select(F.col("first.id").alias("id_a"), F.col("id").alias("id_b"), F.col("first.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
