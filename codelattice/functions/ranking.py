@@ -32,6 +32,12 @@ def retrieval_score(total: Column, visits: Column, cosine: Column, alpha: float)
     return F.when(visits > 0, alpha * total / visits + (1 - alpha) * 10 * cosine).otherwise(F.lit(0.0))
 
 
-def uct(reward: Column, visits: Column, parent_visits: Column, weight: float) -> Column:
-    """Upper confidence bound of a visited child."""
-    return reward / visits + weight * F.sqrt(2 * F.log(parent_visits) / visits)
+def at_sixth(score: Column) -> Column:
+    """A score at six places, halves up as of the double itself (rounding of the printed decimal differs between engines)."""
+    return F.floor(score * 1_000_000 + 0.5) / 1_000_000
+
+
+def uct(reward: Column, visits: Column, parent_visits: Column, weight: float, expanded: Column | None = None) -> Column:
+    """Upper confidence bound of a visited child; null for one never visited, 0 for one that is fully ``expanded``."""
+    bound = F.when(visits > 0, reward / visits + weight * F.sqrt(2 * F.log(F.greatest(parent_visits, F.lit(1))) / visits))
+    return bound if expanded is None else F.when(F.coalesce(expanded, F.lit(False)), F.lit(0.0)).otherwise(bound)

@@ -6,6 +6,7 @@ import ast
 import difflib
 import json
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -125,23 +126,26 @@ def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, .
     else:
         parts = list(text)
     out: list[str] = []
-    window: list[str] = []
+    window: deque[str] = deque()
 
     def close() -> None:
         if whole := "".join(window).strip():
             out.append(whole)
 
+    held = 0
     for part in parts:
         if len(part) > size:
             close()
             window.clear()
+            held = 0
             out.extend(recursive_split(part, size, overlap, finer) if finer else [part[i : i + size] for i in range(0, len(part), size)])
             continue
-        if window and sum(map(len, window)) + len(part) > size:
+        if window and held + len(part) > size:
             close()
-            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(part) > size):
-                window.pop(0)
+            while window and (held > overlap or held + len(part) > size):
+                held -= len(window.popleft())
         window.append(part)
+        held += len(part)
     close()
     return out
 
@@ -235,16 +239,21 @@ def purpose_line(description: Column) -> Column:
 
 
 def first_json(text: str | None) -> str | None:
-    """The first balanced JSON object in a text."""
-    if not text:
-        return None
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", text):
-        try:
-            value, end = decoder.raw_decode(text, m.start())
-            return text[m.start() : end] if isinstance(value, dict) else None
-        except ValueError:
+    """The text from its first brace to the one that balances it, braces being counted wherever they stand; nothing where it is not
+    JSON or never balances."""
+    depth, start = 0, -1
+    for m in re.finditer(r"[{}]", text or ""):
+        if start < 0 and m[0] == "}":
             continue
+        start = m.start() if start < 0 else start
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            whole = text[start : m.end()]
+            try:
+                json.loads(whole)
+            except ValueError:
+                return None
+            return whole
     return None
 
 
@@ -258,11 +267,27 @@ def extract_query(response: Column) -> Column:
     return F.when(fenced != "", stripped(fenced)).when(plain != "", stripped(plain)).otherwise(stripped(response))
 
 
-_FROM = r"from\s+([.\w]+)\s+import"
+_FROM = r"(?m)^\s*from\s+([.\w]+)\s+import"
+_IMPORT = r"(?m)^\s*import\s+(\w[\w.]*(?:\s+as\s+\w+)?(?:\s*,\s*\w[\w.]*(?:\s+as\s+\w+)?)*)"
 
 
 def imported_modules(code: Column) -> Column:
-    return F.regexp_extract_all(code, F.lit(r"(?m)^\s*" + _FROM), 1)
+    """The modules that lines of Python import, by ``from m import x`` and by ``import a.b as c, d``."""
+    plain = F.flatten(F.transform(F.regexp_extract_all(code, F.lit(_IMPORT), 1), lambda names: F.transform(F.split(names, r"\s*,\s*"), lambda n: F.regexp_extract(n, r"^[\w.]+", 0))))
+    return F.array_distinct(F.concat(F.regexp_extract_all(code, F.lit(_FROM), 1), plain))
+
+
+_FROM_NAMES = r"(?m)^[ \t]*from\s+([.\w]+)\s+import\s+(?:\(([^)]*)\)|([^\n(#]*))"
+
+
+def imported_names(code: Column) -> Column:
+    """array<struct(module, name, alias)> of ``from m import a as b`` lines, with or without parentheses; ``*`` names nothing."""
+    at = lambda i: F.regexp_extract_all(code, F.lit(_FROM_NAMES), i)
+    lines = F.arrays_zip(at(1).alias("m"), at(2).alias("p"), at(3).alias("q"))
+    names = lambda x: F.split(F.regexp_replace(F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(x["q"], F.lit(""))), r"#[^\n]*|\\\\\n", ""), ",")
+    part = lambda n, i: F.regexp_extract(n, r"^\s*([A-Za-z_]\w*)(?:\s+as\s+([A-Za-z_]\w*))?\s*$", i)
+    made = F.transform(lines, lambda x: F.transform(names(x), lambda n: F.struct(x["m"].alias("module"), part(n, 1).alias("name"), F.nullif(part(n, 2), F.lit("")).alias("alias"))))
+    return F.filter(F.flatten(made), lambda x: x["name"] != "")
 
 
 def identifiers(code: Column) -> Column:
@@ -275,35 +300,46 @@ def safe_name(c: Column) -> Column:
 
 
 def shortened_query(text: str, most: int) -> str:
-    """A completion query within so many tokens: its import lines, and of the other lines as many as fit from the end."""
+    """A completion query within so many tokens: its lines that hold ``import``, three dots, and of the other lines as many as fit from the
+    end, fewer tokens than are left."""
     if len(_tokens(text)) <= most:
         return text
     lines = text.split("\n")
-    kept = [x for x in lines if re.match(r"\s*(?:import|from)\s", x)]
+    kept = [x for x in lines if "import" in x]
     room, tail = most - sum(len(_tokens(x)) for x in kept), []
-    for line in reversed([x for x in lines if not re.match(r"\s*(?:import|from)\s", x)]):
+    for line in reversed([x for x in lines if "import" not in x]):
         room -= len(_tokens(line))
-        if room < 0:
+        if room <= 0:
             break
         tail.append(line)
-    return "\n".join([*kept, *reversed(tail)])
+    return "\n".join([*kept, "...", *reversed(tail)])
 
 
 def shorten_query(c: Column, most: int = 3000) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else shortened_query(t, most)), "string")(c)
 
 
+#: Lines before the definition a prompt's end stands in; lines kept where there is none; lines and imports that are always kept.
+BUFFER, FALLBACK, LEAST_LINES, LEAST_IMPORTS = 5, 50, 10, 3
+
+
 def shortened_prompt(text: str, most: int) -> str:
-    """A prompt within so many tokens that keeps its imports and the definition its end stands in."""
+    """A prompt within so many tokens: its imports, and what follows from a few lines before the last definition on, or its last lines where
+    nothing is defined.  What is still too long loses lines from the beginning, then imports, down to the least numbers of both."""
     if len(_tokens(text)) <= most:
         return text
     lines = text.split("\n")
-    start = next((i for i in range(len(lines) - 1, -1, -1) if re.match(r"\s*(?:async\s+def|def|class)\s", lines[i])), len(lines) - 1)
-    head = [x for x in lines[:start] if re.match(r"\s*(?:import|from)\s", x)]
-    body = lines[start:]
-    while len(body) > 2 and len(_tokens("\n".join([*head, *body]))) > most:
-        del body[1]
-    return "\n".join([*head, *body])
+    imports = [x for x in lines if "import " in x or "from " in x]
+    others = [x for x in lines if not ("import " in x or "from " in x)]
+    at = next((i for i in range(len(others) - 1, -1, -1) if re.match(r"\s*(?:async\s+def|def|class)\s", others[i])), None)
+    body = others[-FALLBACK:] if at is None else others[max(0, at - BUFFER) :]
+    sizes = [[len(_tokens(x)) for x in part] for part in (imports, body)]
+    total, cut = sum(map(sum, sizes)), [0, 0]
+    for part, least in ((1, LEAST_LINES), (0, LEAST_IMPORTS)):
+        while total > most and len(sizes[part]) - cut[part] > least:
+            total -= sizes[part][cut[part]]
+            cut[part] += 1
+    return "\n".join(imports[cut[0] :] + body[cut[1] :])
 
 
 def shorten_prompt(c: Column, most: int) -> Column:

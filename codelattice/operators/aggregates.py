@@ -34,6 +34,22 @@ def statistics_summary(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count(F.lit(1)).alias("repos"), F.count_if(F.col("total") == 0).alias("empty_repos"), F.sum("total").alias("nodes"), F.max("total").alias("largest"))
 
 
+def largest(stats: DataFrame, n: int = 10) -> DataFrame:
+    """The n repositories with the most nodes; ties by name."""
+    return stats.orderBy(F.desc("total"), "repo_name").limit(n)
+
+
+def documents_by_language(docs: DataFrame, language: str, key: str = "repo") -> DataFrame:
+    """(key, n, doc_ids) of one language's documents: how many, and which in order."""
+    return docs.where(F.lower(F.trim("language")) == language).groupBy(key).agg(F.countDistinct("doc_id").alias("n"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+
+
+def averages_without(results: DataFrame, excluded: DataFrame, *metrics: str) -> DataFrame:
+    """One row: the mean of each metric over results(repo, queries: array<struct<metrics>>) of the repositories not excluded(repo)."""
+    kept = results.join(excluded.select("repo").distinct(), "repo", "left_anti").select(F.inline("queries"))
+    return kept.agg(F.count(F.lit(1)).alias("queries"), *(F.avg(m).alias(m) for m in metrics))
+
+
 def repositories(nodes: DataFrame) -> DataFrame:
     return nodes.where("label = 'Repo'").select("name").distinct().orderBy("name")
 

@@ -131,26 +131,27 @@ def match_imports(imports: DataFrame, nodes: DataFrame, edges: DataFrame, by_nam
     return found.groupBy("import_id").agg(F.min(F.struct("tier", "rank", "target", "label")).alias("x")).select("import_id", "x.target", "x.label", "x.tier")
 
 
-def stitch_imports(nodes: DataFrame, edges: DataFrame, most_rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def stitch_imports(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, matches): imports replaced by what they mean.
 
     Modules and members are tried in rounds until a round finds nothing, as a resolved re-export gives its package a member
-    that other imports resolve through; what is left is tried by name alone.
+    that other imports resolve through; what is left is tried by name alone.  Each round resolves an import at least, so rounds end;
+    raises should they go on beyond ``most_rounds``.
     """
-    edges, matches = checkpointed(edges), None
-    left = checkpointed(nodes.where("label = 'Import'"))
-    for turn in range(most_rounds + 1):
-        found = checkpointed(match_imports(left, nodes, edges, by_name=turn == most_rounds))
-        if found.isEmpty():
-            if turn == most_rounds:
-                break
+    left, matches = nodes.where("label = 'Import'"), None
+    edges = checkpointed(edges)
+    for _ in range(most_rounds):
+        found = checkpointed(match_imports(left, nodes, edges, by_name=False))
+        last = found.isEmpty()
+        if last:
             found = checkpointed(match_imports(left, nodes, edges, by_name=True))
-            edges = checkpointed(redirected(edges, found))
-            matches = found if matches is None else matches.unionByName(found)
-            break
         edges = checkpointed(redirected(edges, found))
         matches = found if matches is None else matches.unionByName(found)
-        left = checkpointed(left.join(found.select(F.col("import_id").alias("node_id")), "node_id", "left_anti"))
+        if last:
+            break
+        left = nodes.where("label = 'Import'").join(matches.select(F.col("import_id").alias("node_id")), "node_id", "left_anti")
+    else:
+        raise RuntimeError(f"imports still resolve after {most_rounds} rounds")
     return nodes.join(matches.select(F.col("import_id").alias("node_id")), "node_id", "left_anti"), edges, matches
 
 
@@ -187,21 +188,33 @@ def keep_only(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[Data
     return delete_nodes(nodes, edges, nodes.join(keep.select("node_id").distinct(), "node_id", "left_anti"))
 
 
+def cleared(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without anything in it."""
+    return nodes.where("false"), edges.where("false")
+
+
+def broken_keys(nodes: DataFrame) -> DataFrame:
+    """(node_id, n): identities that more than one node has; a graph made by ``merged_nodes`` has none."""
+    return nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def empty_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Modules that contain nothing."""
     return nodes.where("label = 'Module'").join(edges.where("type = 'CONTAINS'").select(F.col("src").alias("node_id")), "node_id", "left_anti")
 
 
-def update_nodes(nodes: DataFrame, updates: DataFrame, *columns: str, keys: tuple[str, ...] = ("name", "module_name", "signature"), scoped: bool = True) -> DataFrame:
+def update_nodes(nodes: DataFrame, updates: DataFrame, *columns: str, keys: tuple[str, ...] = ("name", "module_name", "signature"), scoped: bool = True, order: str | None = None) -> DataFrame:
     """Columns set from updates where the keys agree; null there keeps the old value.
 
-    Updates with one key are reduced to the greatest.  ``scoped`` adds label and class to the keys, so that methods of one name
+    Of updates with one key the last by ``order`` wins as a whole (without it, the greatest row).  ``scoped`` adds label and class to the keys, so that methods of one name
     in different classes are told apart; without it they are updated together.
     """
     on = [*keys, *(("label", "class") if scoped else ())]
-    best = updates.groupBy(*on).agg(F.max(F.struct(*columns)).alias("new"))
-    same = reduce(lambda a, b: a & b, [nodes[k].eqNullSafe(best[k]) for k in on])
-    joined = nodes.join(best, same, "left").select(*(nodes[c] for c in nodes.columns), "new")
+    row = F.struct(*columns)
+    best = updates.groupBy(*on).agg(F.max_by(row, F.struct(F.col(order), F.to_json(row))).alias("new") if order else F.max(row).alias("new"))
+    best = best.select(*(F.col(k).alias(f"key_{k}") for k in on), "new")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in on])
+    joined = nodes.join(best, same, "left").select(*nodes.columns, "new")
     return joined.select(*((F.coalesce(F.col("new")[c], F.col(c)).alias(c) if c in columns else F.col(c)) for c in nodes.columns))
 
 

@@ -1,7 +1,8 @@
 """A read-only subset of the Cypher query language, compiled to DataFrames.
 
 Clauses: MATCH, OPTIONAL MATCH, WHERE, WITH, UNWIND, RETURN [DISTINCT], ORDER BY, SKIP, LIMIT, UNION [ALL].
-Patterns: labels, property maps, directed and undirected relationships, type alternatives, variable lengths.
+Patterns: labels, property maps, directed and undirected relationships, type alternatives, variable lengths.  No relationship is used
+twice in one MATCH, also where several patterns stand in it; a variable length without an end goes on as far as paths do.
 Rows are bags, as in Cypher; null sorts as the largest value.  Writing clauses are rejected.
 """
 
@@ -20,8 +21,6 @@ from .pattern import directed, paths
 _TOKEN = re.compile(r"\s+|//[^\n]*|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<param>\$\w+)|(?P<op><>|<=|>=|->|<-|\.\.|[-+*/%=<>()\[\]{}:,.|])")
 _WRITES = {"CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "CALL", "LOAD", "FOREACH"}
 _AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
-#: Longest path of an unbounded variable length.
-DEPTH = 8
 
 
 class CypherError(ValueError):
@@ -40,7 +39,8 @@ class RelPattern:
     var: str | None
     types: list[str]
     direction: str
-    least: int | None = None
+    length: bool = False
+    least: int = 1
     most: int | None = None
 
 
@@ -225,12 +225,12 @@ class Parser:
                     self.maybe(":")
                     rel.types.append(self.name())
             if self.maybe("*"):
-                rel.least, rel.most = 1, DEPTH
+                rel.length = True
                 if self.tokens[self.at][0] == "num":
                     rel.least = rel.most = int(self.tokens[self.at][1])
                     self.at += 1
                 if self.maybe(".."):
-                    rel.most = DEPTH
+                    rel.most = None
                     if self.tokens[self.at][0] == "num":
                         rel.most = int(self.tokens[self.at][1])
                         self.at += 1
@@ -405,6 +405,7 @@ class Compiler:
     def __init__(self, nodes: DataFrame, edges: DataFrame, params: dict[str, Any]):
         self.nodes, self.edges, self.params = nodes, edges, params
         self.spark = nodes.sparkSession
+        self.edges_used: list[str] = []  # columns with the keys of the edges that the clause at hand has used
 
     def run(self, parts: list[tuple[bool, list[Clause]]]) -> DataFrame:
         out = None
@@ -441,16 +442,18 @@ class Compiler:
     def match(self, rows: DataFrame, c: Clause) -> DataFrame:
         before = [x for x in rows.columns if "__" not in x]
         if c.kind == "match":
+            self.edges_used = []
             for path in c.items:
                 rows = self.extend(rows, path)
-            return self.filtered(rows, c.where)
+            return self.filtered(rows.drop(*self.edges_used), c.where)
         # OPTIONAL MATCH joins the whole pattern, with its condition, to each row or gives nulls once
         shared = [v for p in c.items for v in (x.var for x in p if isinstance(x, NodePattern)) if v in rows.columns]
         seeds = rows.select(*dict.fromkeys(shared)).distinct() if shared else self.spark.range(1).select(F.lit(1).alias("_one"))
         found = seeds
+        self.edges_used = []
         for path in c.items:
             found = self.extend(found, path)
-        found = self.filtered(found, c.where)
+        found = self.filtered(found.drop(*self.edges_used), c.where)
         new = [x for x in found.columns if x not in before and "__" not in x and x != "_one"]
         found = found.select(*dict.fromkeys(shared), *new)
         return rows.join(found, list(dict.fromkeys(shared)), "left") if shared else rows.join(found, F.lit(True), "left")
@@ -462,14 +465,18 @@ class Compiler:
             left = next(n for n, r in zip(path[0::2], path[1::2]) if r is rel)
             known = node.var in rows.columns
             end = f"_end_{node.var}" if known else node.var
-            if rel.least is None:
-                e = directed(self.edges, tuple(rel.types), rel.direction)
-                cols = [F.col("start").alias(left.var), F.col("end").alias(end)] + ([F.col("type").alias(rel.var)] if rel.var else [])
+            used = f"_edges__{len(self.edges_used)}"
+            if not rel.length:
+                e = directed(self.edges, tuple(rel.types), rel.direction, keyed=True)
+                cols = [F.col("start").alias(left.var), F.col("end").alias(end), F.array("edge").alias(used)] + ([F.col("type").alias(rel.var)] if rel.var else [])
                 rows = rows.join(e.select(*cols), left.var)
             else:
                 starts = rows.select(F.col(left.var).alias("node_id")).distinct()
-                reached = paths(starts, self.edges, *rel.types, direction=rel.direction, least=rel.least, most=rel.most)
-                rows = rows.join(reached.select(F.col("start").alias(left.var), F.col("end").alias(end)), left.var)
+                reached = paths(starts, self.edges, *rel.types, direction=rel.direction, least=rel.least, most=rel.most, used=True)
+                rows = rows.join(reached.select(F.col("start").alias(left.var), F.col("end").alias(end), F.col("used").alias(used)), left.var)
+            for before in self.edges_used:
+                rows = rows.where(~F.arrays_overlap(before, used))
+            self.edges_used = [*self.edges_used, used]
             if known:
                 rows = rows.where(F.col(end) == F.col(node.var)).drop(end)
                 rows = self.checked(rows, node)
@@ -510,9 +517,10 @@ class Compiler:
         if e[0] == "exists" or e[0] == "not" and e[1][0] == "exists":
             path = e[1] if e[0] == "exists" else e[1][1]
             shared = [x.var for x in path if isinstance(x, NodePattern) and x.var in rows.columns]
-            saved = set(self.node_vars)
+            saved, edges_used = set(self.node_vars), self.edges_used
+            self.edges_used = []
             found = self.extend(rows.select(*shared).distinct(), path).select(*shared).distinct()
-            self.node_vars = saved
+            self.node_vars, self.edges_used = saved, edges_used
             return rows.join(found, shared, "left_semi" if e[0] == "exists" else "left_anti")
         rows, c = self.value(rows, e)
         return rows.where(c)

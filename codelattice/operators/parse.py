@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import RAW_EDGES, RAW_NODES
+from ..session import written
 from ..sources.readers import folder_name, module_name, stdlib
 
 
@@ -39,6 +40,7 @@ class _File:
         self.methods: dict[tuple[str, str], dict] = {}
         self.globals: dict[str, dict] = {}
         self.fields: dict[str, set[str]] = {}
+        self.signatures: dict[int, str] = {}
 
     # -- records
 
@@ -62,6 +64,11 @@ class _File:
 
     def signature(self, n: ast.AST) -> str:
         """The header from its first word to the colon that closes it."""
+        if id(n) not in self.signatures:
+            self.signatures[id(n)] = self.header(n)
+        return self.signatures[id(n)]
+
+    def header(self, n: ast.AST) -> str:
         segment = "".join(self.lines[n.lineno - 1 : n.end_lineno])[len(self.lines[n.lineno - 1].encode()[: n.col_offset].decode()) :]
         depth = 0
         starts = [0]
@@ -96,9 +103,10 @@ class _File:
         self.relate(tree.body, self.top, None)
         for n in tree.body:
             if isinstance(n, ast.If) and self.is_main(n):
-                main = self.node("Function", ("__main__",), name="__main__", signature="__main__", code=self.code(n))
+                main = self.node("Function", ("__main__",), name="__main__", signature='if __name__ == "__main__":', code=self.code(n))
                 self.edge("CONTAINS", self.top, main)
                 self.uses(main, n.body, None)
+                self.relate(n.body, main, None, inner=True)
 
     def imported(self, origin: str, name: str, alias: str | None) -> None:
         if origin.split(".", 1)[0] in self.skip:
@@ -130,15 +138,13 @@ class _File:
                     self.define(h.body, owner, inside)
 
     def class_fields(self, n: ast.ClassDef) -> set[str]:
+        """What is assigned as ``self.x``, or as a bare name, anywhere inside the class, its methods included."""
         found = set()
         for x in ast.walk(n):
-            targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, (ast.AnnAssign, ast.AugAssign)) else []
-            for t in targets:
+            for t in x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AnnAssign) else []:
                 if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
                     found.add(t.attr)
-        for x in n.body:
-            for t in x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AnnAssign) else []:
-                if isinstance(t, ast.Name):
+                elif isinstance(t, ast.Name):
                     found.add(t.id)
         return found
 
@@ -156,26 +162,31 @@ class _File:
         t = n.test
         return isinstance(t, ast.Compare) and isinstance(t.left, ast.Name) and t.left.id == "__name__" and any(isinstance(c, ast.Constant) and c.value == "__main__" for c in t.comparators)
 
-    def relate(self, body: list[ast.stmt], owner: dict, cls: str | None) -> None:
+    def relate(self, body: list[ast.stmt], owner: dict | None, cls: str | None, inner: bool = False) -> None:
+        """Edges of what a body defines.  ``inner`` bodies, those of functions and of the main block, only give what they define directly and
+        without decorators; what a plain ``if`` defines has no edges."""
         for n in body:
+            if inner and (not isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) or n.decorator_list):
+                continue
             if isinstance(n, ast.ClassDef):
-                row = self.classes[n.name]
+                row = self.nodes["Class", n.name, self.signature(n)]
                 self.edge("CONTAINS", self.top, row)
                 for base in n.bases:
-                    if isinstance(base, ast.Name) and (target := self.imports.get(base.id) or self.classes.get(base.id)):
-                        self.edge("INHERITS", row, target)
+                    if isinstance(base, ast.Name):  # a class that is not known has no signature, and so matches nothing
+                        unknown = {"name": base.id, "type": "Class", "module_name": self.module}
+                        self.edge("INHERITS", row, self.imports.get(base.id) or self.classes.get(base.id) or unknown)
                 for name in sorted(self.fields[n.name]):
                     self.edge("HAS_FIELD", row, self.node("Field", (name, n.name), name=name, **{"class": n.name}))
-                self.uses(row, [x for x in n.body if isinstance(x, (ast.Assign, ast.AnnAssign))], n.name)
+                self.uses(row, [x for x in ast.walk(n) if isinstance(x, (ast.Assign, ast.AnnAssign))], None)
                 self.relate(n.body, row, n.name)
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                row = self.methods[cls, n.name] if cls else self.functions[n.name]
+                row = self.methods[cls, n.name] if cls else self.nodes["Function", n.name, self.signature(n)]
                 if cls:
                     self.edge("HAS_METHOD", self.classes[cls], row)
                 else:
                     self.edge("CONTAINS", self.top, row)
                 self.uses(row, n.body, cls)
-                self.relate(n.body, row, cls)
+                self.relate(n.body, row, cls, inner=True)
             elif isinstance(n, (ast.Assign, ast.AnnAssign)) and owner is self.top:
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     for name in t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t]:
@@ -184,6 +195,9 @@ class _File:
                             self.edge("CONTAINS", self.top, row)
                             if n.value is not None:
                                 self.uses(row, [n.value], None)
+            elif isinstance(n, (ast.Try, ast.With, ast.AsyncWith, ast.For, ast.AsyncFor, ast.While, ast.Match)):
+                for part in (getattr(n, "body", []), getattr(n, "orelse", []), getattr(n, "finalbody", []), *(x.body for x in [*getattr(n, "handlers", []), *getattr(n, "cases", [])])):
+                    self.relate(part, None, cls)
 
     def uses(self, source: dict, body: list[ast.AST], cls: str | None) -> None:
         """What names in a body refer to: an import, else a class, else a called function, else a global; ``self.x`` a field."""
@@ -232,6 +246,7 @@ def parse_files(files: DataFrame, required: DataFrame | None = None) -> DataFram
         rows = rows.join(packages, "repo", "left")
     else:
         rows = rows.withColumn("packages", F.array().cast("array<string>"))
+    # The parser runs once, however often its records are read.
     schema = f"repo string, path string, file_ord int, nodes array<{RAW_NODES.simpleString()}>, edges array<{RAW_EDGES.simpleString()}>, error string"
     names = ([f.name for f in RAW_NODES], [f.name for f in RAW_EDGES])
 
@@ -244,7 +259,7 @@ def parse_files(files: DataFrame, required: DataFrame | None = None) -> DataFram
                 out.append((r.repo, r.path, r.file_ord, [{k: n.get(k) for k in names[0]} for n in nodes], [{k: e.get(k) for k in names[1]} for e in edges], error))
             yield pd.DataFrame(out, columns=["repo", "path", "file_ord", "nodes", "edges", "error"])
 
-    return rows.mapInPandas(run, schema)
+    return written(rows.mapInPandas(run, schema), "parsed")
 
 
 def raw_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

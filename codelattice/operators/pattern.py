@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Rounds of a walk whose rows are kept apart before they are merged; rows of a frontier that may be broadcast.
+MERGED, FRONTIER_ROWS = 16, 100_000
+
 
 def matching(nodes: DataFrame, *labels: str, **properties: object) -> DataFrame:
     """Nodes with one of the labels and all the properties; no label means any."""
@@ -16,12 +21,19 @@ def matching(nodes: DataFrame, *labels: str, **properties: object) -> DataFrame:
     return out
 
 
-def directed(edges: DataFrame, types: tuple[str, ...] = (), direction: str = "out") -> DataFrame:
-    """(start, end, type) of the edges of the types: forwards (out), backwards (in) or both ways (any)."""
+def edge_key() -> Column:
+    """What tells edges apart: there is one of a type between two nodes."""
+    return F.xxhash64("src", "dst", "type")
+
+
+def directed(edges: DataFrame, types: tuple[str, ...] = (), direction: str = "out", keyed: bool = False) -> DataFrame:
+    """(start, end, type) of the edges of the types: forwards (out), backwards (in) or both ways (any), where a loop still comes once;
+    ``keyed`` adds the edge's key."""
     e = edges.where(F.col("type").isin(*types)) if types else edges
-    out = e.select(F.col("src").alias("start"), F.col("dst").alias("end"), "type")
-    back = e.select(F.col("dst").alias("start"), F.col("src").alias("end"), "type")
-    return out if direction == "out" else back if direction == "in" else out.unionByName(back)
+    more = [edge_key().alias("edge")] if keyed else []
+    out = e.select(F.col("src").alias("start"), F.col("dst").alias("end"), "type", *more)
+    back = e.select(F.col("dst").alias("start"), F.col("src").alias("end"), "type", *more)
+    return out if direction == "out" else back if direction == "in" else out.unionByName(back.where("start <> end"))
 
 
 def hop(rows: DataFrame, edges: DataFrame, start: str, end: str, *types: str, direction: str = "out", optional: bool = False) -> DataFrame:
@@ -36,41 +48,53 @@ def with_node(rows: DataFrame, nodes: DataFrame, column: str, *wanted: str, opti
     return rows.join(n, column, "left" if optional else "inner")
 
 
-def paths(starts: DataFrame, edges: DataFrame, *types: str, direction: str = "out", least: int = 1, most: int = 8) -> DataFrame:
-    """(start, end, depth) for every path of ``least`` to ``most`` edges from starts(node_id) that uses no edge twice: one row for
-    each path, so ends repeat."""
-    keyed = edges.withColumn("edge", F.xxhash64("src", "dst", "type"))
-    keyed = keyed.where(F.col("type").isin(*types)) if types else keyed
-    out = keyed.select(F.col("src").alias("end"), F.col("dst").alias("next"), "edge")
-    back = keyed.select(F.col("dst").alias("end"), F.col("src").alias("next"), "edge")
-    e = out if direction == "out" else back if direction == "in" else out.unionByName(back)
-    level = starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("end"), F.array().cast("array<bigint>").alias("used"))
-    found = level.select("start", "end", F.lit(0).alias("depth")) if least == 0 else None
-    for depth in range(1, most + 1):
+def paths(starts: DataFrame, edges: DataFrame, *types: str, direction: str = "out", least: int = 1, most: int | None = None, used: bool = False, most_rounds: int = 1000) -> DataFrame:
+    """(start, end, depth) for every path of at least ``least`` and at most ``most`` edges (without it: of any length) from
+    starts(node_id) that uses no edge twice: one row for each path, so ends repeat.  ``used`` adds the keys of the path's edges.
+
+    Paths end by themselves, as no edge comes twice; raises should they still go on after ``most_rounds`` edges.
+    """
+    e = checkpointed(directed(edges, types, direction, keyed=True).select(F.col("start").alias("end"), F.col("end").alias("next"), "edge"))
+    level = checkpointed(starts.select(F.col("node_id").alias("start"), F.col("node_id").alias("end"), F.array().cast("array<bigint>").alias("used")))
+    empty = level.select("start", "end", F.lit(0).alias("depth"), "used")
+    found = [empty if least == 0 else empty.where("false")]
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
+        if depth > most_rounds:
+            raise RuntimeError(f"paths go on beyond {most_rounds} edges")
         level = checkpointed(level.join(e, "end").where(~F.array_contains("used", F.col("edge"))).select("start", F.col("next").alias("end"), F.array_append("used", F.col("edge")).alias("used")))
         if level.isEmpty():
             break
         if depth >= least:
-            rows = level.select("start", "end", F.lit(depth).alias("depth"))
-            found = rows if found is None else found.unionByName(rows)
-    return found if found is not None else level.select("start", "end", F.lit(0).alias("depth")).where("false")
+            found.append(level.select("start", "end", F.lit(depth).alias("depth"), "used"))
+            if len(found) > MERGED:
+                found = [checkpointed(reduce(DataFrame.unionByName, found))]
+    out = reduce(DataFrame.unionByName, found)
+    return out if used else out.drop("used")
 
 
 def closure(starts: DataFrame, edges: DataFrame, *types: str, direction: str = "out", within: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
     """(node_id, depth): everything reachable from starts(node_id), the starts included at depth 0, each with its least depth.
 
-    Cycles end by the frontier: only nodes not seen before go on.  ``within`` (node_id) limits the nodes that may be reached.
+    Cycles end by the frontier: only nodes not seen before go on.  ``within`` (node_id) limits the nodes that may be reached.  The edges
+    that count are written once, and each round writes its own frontier only.
     """
-    e = directed(edges, types, direction).select(F.col("start").alias("node_id"), "end").distinct()
+    e = directed(edges, types, direction).select(F.col("start").alias("node_id"), "end").where("node_id <> end").distinct()
     if within is not None:
         e = e.join(within.select(F.col("node_id").alias("end")).distinct(), "end", "left_semi")
-    seen = frontier = checkpointed(starts.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    e = checkpointed(e)
+    frontier = checkpointed(starts.select("node_id").distinct().withColumn("depth", F.lit(0)))
+    seen = [frontier]
     for depth in range(1, most_rounds + 1):
-        reached = frontier.join(e, "node_id").select(F.col("end").alias("node_id")).distinct()
-        frontier = checkpointed(reached.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        near = F.broadcast(frontier) if frontier.count() <= FRONTIER_ROWS else frontier
+        reached = e.join(near.select("node_id"), "node_id").select(F.col("end").alias("node_id")).distinct()
+        frontier = checkpointed(reached.join(reduce(DataFrame.unionByName, seen), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(frontier))
+            return reduce(DataFrame.unionByName, seen)
+        seen.append(frontier)
+        if len(seen) > MERGED:
+            seen = [checkpointed(reduce(DataFrame.unionByName, seen))]
     raise RuntimeError(f"closure did not end in {most_rounds} rounds")
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine, dot, normalised
 from ..providers import Provider, embedded, scored
+from ..session import written
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries that are sent to the index at once.
+QUERY_BLOCK = 4096
 
 
 def top_k(rows: DataFrame, score: str, k: int, *ties: str, per: str | None = None) -> DataFrame:
@@ -30,12 +35,14 @@ def similar_nodes(nodes: DataFrame, query: Column, k: int = 1) -> DataFrame:
 def search_vectors(queries: DataFrame, index: DataFrame, k: int, query_id: str = "query_id", item: str = "id") -> DataFrame:
     """(query_id, item, similarity, rank) for a table of queries (query_id, embedding) against an index (item, embedding).
 
-    The smaller side is a stated query set: it is sent whole to the index's tasks, which keep k rows for each query before
-    anything is moved."""
-    q = queries.select(F.col(query_id), normalised("embedding").alias("q"))
+    Queries are sent whole to the index's tasks, which keep k rows for each query before anything is moved: at once up to QUERY_BLOCK of
+    them, more of them in blocks of about that size.  A search by an index of cells is among the operators for training data."""
+    q = written(queries.select(F.col(query_id), normalised("embedding").alias("q")), "queries")
     i = index.select(F.col(item), normalised("embedding").alias("v"))
-    pairs = i.join(F.broadcast(q), F.lit(True)).select(query_id, item, dot("q", "v").alias("similarity"))
-    return top_k(pairs, "similarity", k, item, per=query_id)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
+    pairs = [i.join(F.broadcast(p), F.lit(True)).select(query_id, item, dot("q", "v").alias("similarity")) for p in parts]
+    return reduce(DataFrame.unionByName, [top_k(p, "similarity", k, item, per=query_id) for p in pairs])
 
 
 # ---------------------------------------------------------------- chunk indexes
@@ -69,27 +76,36 @@ def chunked_lines(docs: DataFrame, key: str, content: str, size: int = 10) -> Da
 
 
 def inverted_index(chunks: DataFrame, keys: list[str], content: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, corpus): postings (keys, term, tf, dl); corpus is one row (n, avgdl)."""
-    tokens = chunks.select(*keys, T.bm25_tokens(F.col(content)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = tokens.select(*keys, "dl", F.explode("tokens").alias("term")).groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    """(index, corpus): index (keys, tokens, dl) has each chunk's words, written once; corpus is one row (n, avgdl)."""
+    tokens = written(chunks.select(*keys, T.bm25_tokens(F.col(content)).alias("tokens")).withColumn("dl", F.size("tokens")), "words")
+    return tokens, tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+def term_weights(index: DataFrame, corpus: DataFrame) -> DataFrame:
     """(term, idf): Okapi weights; a term in over half of the chunks gets a share of the mean weight instead of a negative one."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(corpus.select("n")), F.lit(True)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = written(df.join(F.broadcast(corpus.select("n")), F.lit(True)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "weights")
     mean = raw.agg(F.avg("idf").alias("mean"))
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25(queries: DataFrame, postings: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str = "query_id", content: str = "text") -> DataFrame:
-    """(query_id, keys, score, rank): the k best chunks with a positive score; a term repeated in a query counts as often."""
+#: Query terms that may be broadcast to the index.
+QUERY_TERMS = 100_000
+
+
+def bm25(queries: DataFrame, index: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str = "query_id", content: str = "text", digits: int | None = None) -> DataFrame:
+    """(query_id, keys, score, rank): the k best chunks with a positive score; a term repeated in a query counts as often.  ``digits``
+    rounds scores before they are ranked.  Only the queries' own terms leave the index."""
     terms = queries.select(query_id, F.explode(T.bm25_tokens(F.col(content))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = terms.join(term_weights(postings, corpus), "term")
-    hits = asked.join(postings, "term").join(F.broadcast(corpus.select("avgdl")), F.lit(True))
+    asked = written(terms.join(term_weights(index, corpus), "term"), "asked")
+    few = asked.count() <= QUERY_TERMS
+    sent = lambda df: F.broadcast(df) if few else df
+    words = index.select(*keys, "dl", F.explode("tokens").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
+    postings = words.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = postings.join(sent(asked), "term").join(F.broadcast(corpus.select("avgdl")), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(query_id, *keys).agg(F.sum(part).alias("score")).where("score > 0")
+    scores = hits.groupBy(query_id, *keys).agg(F.sum(part).alias("score"))
+    scores = (scores if digits is None else scores.withColumn("score", F.round("score", digits))).where("score > 0")
     return top_k(scores, "score", k, *keys, per=query_id)
 
 
@@ -106,9 +122,9 @@ def bm25_excluding(ranked: DataFrame, excluded: DataFrame, path: str, k: int, qu
 
 def rerank(items: DataFrame, query: Column, key: str, most_tokens: int = 512, k: int = 5, provider: Provider | None = None, by_lines: bool = True) -> DataFrame:
     """items(key, name, signature, code) by the best cosine of any of their pieces with a query text; the k best."""
-    prefix = F.concat(T.item_text(F.col("name"), F.col("signature"), F.lit("")), F.lit(""))
+    prefix = T.item_text(F.col("name"), F.col("signature"), F.lit(""))
     cut = items.withColumn("piece", F.explode(T.split_by_tokens(F.coalesce("code", F.lit("")), most_tokens, by_lines, prefix)))
-    rows = cut.withColumn("score", dot(normalised(embedded(F.col("piece"), provider)), normalised(embedded(query, provider))))
+    rows = cut.select(key, embedded(F.col("piece"), provider).alias("v"), embedded(query, provider).alias("q")).withColumn("score", dot(normalised("v"), normalised("q")))
     best = rows.groupBy(key).agg(F.max("score").alias("score"))
     return top_k(items.join(best, key), "score", k, key)
 

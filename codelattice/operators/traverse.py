@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..model import KEYS
 from .build import keep_only
-from .pattern import closure, descending, directed, holds_text, hop, matching
+from .pattern import closure, descending, directed, holds_text, hop, matching, paths
 
 
 def repo_root(nodes: DataFrame, name: str) -> DataFrame:
@@ -31,14 +31,15 @@ HAS_CHILDREN = {
 
 
 def _by_label(nodes: DataFrame, edges: DataFrame, rules: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
-    """(node_id, child): pairs by the rule of the start's label."""
-    kinds = {rule: [x for x, r in rules.items() if r == rule] for rule in set(rules.values())}
-    ids = nodes.select("node_id", "label")
-    parts = []
-    for (types, direction), labels in sorted(kinds.items()):
-        e = directed(edges, types, direction).select(F.col("start").alias("node_id"), F.col("end").alias("child"))
-        parts.append(ids.where(F.col("label").isin(*labels)).join(e, "node_id").select("node_id", "child"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """(node_id, child): pairs by the rule of the start's label, in one pass over the edges in the directions that rules ask for."""
+    table = [(label, t, way) for label, (types, direction) in rules.items() for t in types for way in (("out", "in") if direction == "any" else (direction,))]
+    known = F.broadcast(nodes.sparkSession.createDataFrame(table, "label string, type string, way string"))  # a row for a label, type and direction
+    ways = []
+    for way in sorted({w for _, _, w in table}):
+        types = sorted({t for _, t, w in table if w == way})
+        ways.append(directed(edges, tuple(types), way).withColumn("way", F.lit(way)))
+    e = reduce(DataFrame.unionByName, ways).select(F.col("start").alias("node_id"), F.col("end").alias("child"), "type", "way")
+    return e.join(nodes.select("node_id", "label"), "node_id").join(known, ["label", "type", "way"], "left_semi").select("node_id", "child").distinct()
 
 
 def children(nodes: DataFrame, edges: DataFrame, wide: bool = False) -> DataFrame:
@@ -72,7 +73,7 @@ def cross_module_dependencies(nodes: DataFrame, edges: DataFrame, module: str) -
     members = hop(m, edges, "m", "a", "CONTAINS").select("a")
     methods = hop(members, edges, "a", "b", "HAS_METHOD").select(F.col("b").alias("a"))
     used = hop(members.unionByName(methods).distinct(), edges, "a", "node_id", "USES").select("node_id").distinct()
-    return nodes.join(used, "node_id", "left_semi").where(F.col("module_name") != module).orderBy("module_name", "label", "name", "node_id")
+    return nodes.where(F.col("module_name") != module).join(used, "node_id", "left_semi")
 
 
 # ---------------------------------------------------------------- search by specification
@@ -141,19 +142,23 @@ def ranked_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, query:
 
 
 def expanded(nodes: DataFrame, edges: DataFrame, results: DataFrame) -> DataFrame:
-    """results(node_id, position) with their contents: all below a module and the methods there, a class with its members, others
-    themselves; each node once, at its first position."""
+    """results(node_id, position) with their contents: for a module all it contains, however deep, and the methods of classes there, but
+    not itself; a class with its members; others themselves.  Nodes of one name, signature, module and class come once, at their first
+    position; within a position the result itself comes first, then by node."""
     ids = results.join(nodes.select("node_id", "label"), "node_id")
-    own = ids.select("node_id", "position", F.lit(0).alias("step"))
-    e = directed(edges, ("CONTAINS", "HAS_METHOD", "HAS_FIELD"))
-    below = ids.where("label IN ('Module', 'Class')").select("node_id", "position", "label")
-    first = below.join(e.where("type = 'CONTAINS' OR type LIKE 'HAS%'").withColumnRenamed("start", "node_id"), "node_id").select(F.col("end").alias("node_id"), "position", F.lit(1).alias("step"))
-    second = first.join(e.withColumnRenamed("start", "node_id"), "node_id").select(F.col("end").alias("node_id"), "position", F.lit(2).alias("step"))
-    whole = own.join(ids.where("label = 'Module'").select("node_id"), "node_id", "left_anti").unionByName(first).unionByName(second)
+    own = ids.where("label <> 'Module'").select("node_id", "position", F.lit(0).alias("step"))
+    modules = ids.where("label = 'Module'").select("node_id", "position")
+    inside = paths(modules.select("node_id").distinct(), edges, "CONTAINS").select(F.col("start").alias("node_id"), "end").distinct()
+    below = modules.join(inside, "node_id").select(F.col("end").alias("node_id"), "position")
+    methods = hop(below, edges, "node_id", "m", "HAS_METHOD").select(F.col("m").alias("node_id"), "position")
+    members = hop(ids.where("label = 'Class'").select("node_id", "position"), edges, "node_id", "m", "HAS_METHOD", "HAS_FIELD").select(F.col("m").alias("node_id"), "position")
+    parts = [below, methods, members]
+    whole = reduce(DataFrame.unionByName, [own, *(p.withColumn("step", F.lit(1)) for p in parts)])
     at = whole.groupBy("node_id").agg(F.min(F.struct("position", "step")).alias("at"))
     keys = ["name", "signature", "module_name", "class"]
     joined = nodes.join(at, "node_id")
-    return joined.groupBy(*keys).agg(F.min_by(F.struct(*joined.columns), F.struct("at", "node_id")).alias("x")).select("x.*").orderBy("at", "node_id")
+    best = joined.groupBy(*(F.coalesce(F.col(k), F.lit("")).alias(f"key_{k}") for k in keys)).agg(F.min_by(F.struct(*joined.columns), F.struct("at", "node_id")).alias("x"))
+    return best.select("x.*")
 
 
 # ---------------------------------------------------------------- pruning to a corpus

@@ -474,8 +474,7 @@ _BM25 = f"""
 def _bm25(spark, at, k: int) -> DataFrame:
     chunks = retrieval.chunked_lines(_t(spark, at, "documents"), "doc_id", "text")
     postings, corpus = retrieval.inverted_index(chunks, ["doc_id", "chunk"])
-    hits = retrieval.bm25(_t(spark, at, "queries"), postings, corpus, ["doc_id", "chunk"], 10**9)
-    return retrieval.top_k(hits.drop("rank").withColumn("score", _r(F.col("score"))).where("score > 0"), "score", k, "doc_id", "chunk", per="query_id")
+    return retrieval.bm25(_t(spark, at, "queries"), postings, corpus, ["doc_id", "chunk"], k, digits=6)
 
 
 @query("bm25_topk", _BM25 + "SELECT query_id, doc_id, chunk, score FROM ranked WHERE rank <= 5")
@@ -725,12 +724,12 @@ def _(spark, at):
 
 @query(
     "retrieval_scores",
-    "SELECT node_key, round(CASE WHEN visit_count > 0 THEN 0.5 * total_reward / visit_count + 0.5 * 10 * coalesce(retrieval_score, 0) ELSE 0 END, 6) AS score FROM tree_nodes",
+    "SELECT node_key, floor((CASE WHEN visit_count > 0 THEN 0.5::DOUBLE * total_reward / visit_count + 0.5::DOUBLE * 10 * coalesce(retrieval_score, 0) ELSE 0 END) * 1000000 + 0.5) / 1000000 AS score FROM tree_nodes",
 )
 def _(spark, at):
     t = _t(spark, at, "tree_nodes")
     s = ranking.retrieval_score(F.col("total_reward"), F.col("visit_count"), F.coalesce("retrieval_score", F.lit(0.0)), 0.5)
-    return t.select("node_key", _r(s).alias("score"))
+    return t.select("node_key", ranking.at_sixth(s).alias("score"))
 
 
 @query("tree_sizes", "SELECT query_id, count(*) AS nodes FROM tree_nodes GROUP BY query_id")
@@ -766,7 +765,7 @@ def _(spark, at):
 
 def _python_files(spark, at) -> DataFrame:
     d = _t(spark, at, "docs").where("func_name IS NULL AND path LIKE '%.py' AND code IS NOT NULL").select("repo", "path", "code").dropDuplicates(["repo", "path"])
-    return d.select("repo", "path", F.col("code").alias("content"), F.row_number().over(Window.partitionBy("repo").orderBy("path")).alias("file_ord"))
+    return readers.numbered_files(d.select("repo", "path", F.col("code").alias("content")))
 
 
 @query("parse_graph_counts")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
@@ -32,9 +35,13 @@ def build(app: str = "codelattice", cpus: str | int = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's setting, or a new local folder where none is set (tests)."""
+    """The folder all executors share: the session's setting; where none is set, a new local folder if all tasks run on this machine (tests),
+    else an error, as a machine's own folder would be missed by the others."""
     at = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SHARED} to a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="codelattice-")
         spark.conf.set(SHARED, at)
     return at
@@ -48,14 +55,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/codelattice-{spark.sparkContext.applicationId}"
+
+
+_OWN: dict[str, object] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: an intermediate that several jobs read."""
+    """The rows as a Parquet table in the shared folder, read back: an intermediate that several jobs read.  It lasts until ``discard`` or
+    the end of the driver."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = _own_dir(spark)
+    if own not in _OWN:
+        _OWN[own] = spark.sparkContext._jsc.hadoopConfiguration()
+    at = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@atexit.register
+def discard() -> None:
+    """Deletes the intermediate tables written so far; call it when the results that read them are stored.  The end of the driver does."""
+    for at, conf in list(_OWN.items()):
+        del _OWN[at]
+        with contextlib.suppress(Exception):  # the driver may be ending without its JVM
+            path = SparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def threads() -> None:
     """One thread for linear algebra: tasks already fill the cores."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):

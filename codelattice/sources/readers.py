@@ -9,8 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where requirements are looked for, the first that exists wins.
-REQUIREMENTS = ("requirements.txt", "requirements/base.txt", "requirements/requirements.txt", "requirements-dev.txt", "dev-requirements.txt", "requirements/dev.txt")
+# Where requirements are looked for, in order of precedence, by kind of data set.
+REQUIREMENTS = {
+    "search": ("requirements.txt", "test_requirements.txt", "dev_requirements.txt", "requirements-dev.txt", "requirements/base.txt", "requirements/requirements.txt"),
+    "completion": (
+        "requirements.txt", "requirements-dev.txt", "requirements-test.txt", "test_requirements.txt", "dev-requirements.txt", "requirements/base.txt", "requirements/dev.txt", "requirements/test.txt",
+    ),
+}
+
+
+def numbered_files(files: DataFrame) -> DataFrame:
+    """files(repo, path, ...) with file_ord, the place of the path in its repository from 0: paths alone are put in order, contents stay
+    where they are."""
+    order = files.select("repo", "path").withColumn("file_ord", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).cast("int"))
+    return files.join(order, ["repo", "path"])
 
 
 def source_files(spark: SparkSession, root: str, repo: str, pattern: str = "*.py") -> DataFrame:
@@ -18,8 +30,7 @@ def source_files(spark: SparkSession, root: str, repo: str, pattern: str = "*.py
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = "/" + root.split("://", 1)[-1].strip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^\\Q" + base + "\\E", "")
-    named = raw.select(F.lit(repo).alias("repo"), relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
-    return named.withColumn("file_ord", (F.row_number().over(Window.partitionBy("repo").orderBy("path")) - 1).cast("int"))
+    return numbered_files(raw.select(F.lit(repo).alias("repo"), relative.alias("path"), F.decode("content", "UTF-8").alias("content"))).select("repo", "path", "content", "file_ord")
 
 
 def folder_name(path: Column) -> Column:
@@ -57,15 +68,16 @@ def requirements(lines: DataFrame) -> DataFrame:
     return kept.select("repo", F.translate(name, "-", "_").alias("package")).distinct()
 
 
-def requirement_file(root: str) -> str | None:
+def requirement_file(root: str, kind: str = "search") -> str | None:
     """The repository's requirements file, if one of the usual places has it."""
-    return next((str(p) for n in REQUIREMENTS if (p := Path(root) / n).is_file()), None)
+    return next((str(p) for n in REQUIREMENTS[kind] if (p := Path(root) / n).is_file()), None)
 
 
-def choose_requirement_file(files: DataFrame) -> DataFrame:
-    """(repo, path): of many repositories' files, the requirements file each uses."""
-    rank = F.array_position(F.array(*(F.lit(n) for n in REQUIREMENTS)), F.col("path"))
-    return files.withColumn("rank", rank).where("rank > 0").groupBy("repo").agg(F.min_by("path", "rank").alias("path"))
+def choose_requirement_file(files: DataFrame, kind: str = "search") -> DataFrame:
+    """(repo, path): of many repositories' files(repo, path), the requirements file each uses; a null path, which stands for an empty
+    file, where it has none."""
+    rank = F.nullif(F.array_position(F.array(*(F.lit(n) for n in REQUIREMENTS[kind])), F.col("path")), F.lit(0))
+    return files.select("repo", "path", rank.alias("rank")).groupBy("repo").agg(F.min_by("path", "rank").alias("path"))
 
 
 def stdlib(spark: SparkSession) -> DataFrame:

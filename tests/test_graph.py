@@ -171,3 +171,102 @@ def test_search_visits_add_up():
     assert [b[0] for b in best][0] == "e"
     again = mcts.Search("r", labels, near, sim, {k: 10 * v for k, v in sim.items()}, 100, mcts.Settings(iterations=50, k=2, k_least=1)).run()
     assert best == again
+
+
+# ---------------------------------------------------------------- the query language's walks
+
+
+@pytest.fixture(scope="module")
+def chain(spark):
+    nodes = conform(spark.createDataFrame([(f"n{i:02}", "Function", f"f{i:02}") for i in range(20)], "node_id string, label string, name string"), NODES)
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", "USES") for i in range(14)] + [("n18", "n18", "USES"), ("n18", "n19", "CONTAINS")]
+    return nodes, conform(spark.createDataFrame(pairs, "src string, dst string, type string"), EDGES)
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("MATCH (x {name:'f00'})-[:USES*]->(y) RETURN count(y) AS n", [(14,)]),
+        ("MATCH (x {name:'f00'})-[:USES]-(y)-[:USES]-(z) RETURN z.name AS z", [("f02",)]),
+        ("MATCH (x {name:'f18'})-[:USES]-(y) RETURN y.name AS z", [("f18",)]),
+        ("MATCH (x {name:'f18'})-[:USES*]-(y) RETURN y.name AS z", [("f18",)]),
+        ("MATCH (a {name:'f01'})-[:USES]->(b), (c)-[:USES]->(b) RETURN c.name AS c", []),
+        ("MATCH (a {name:'f01'})-[:USES]->(b) MATCH (c)-[:USES]->(b) RETURN c.name AS c", [("f01",)]),
+        ("MATCH (a {name:'f00'})-[:USES*2..3]->(b)-[:USES]->(c) RETURN c.name AS c ORDER BY c", [("f03",), ("f04",)]),
+        ("MATCH (a {name:'f13'}) OPTIONAL MATCH (a)-[:USES]->(b)-[:USES]->(c) RETURN a.name AS a, c.name AS c", [("f13", None)]),
+    ],
+)
+def test_no_edge_is_used_twice_and_walks_have_no_end(chain, query, want):
+    assert [tuple(r) for r in cypher.run_cypher(query, *chain).collect()] == want
+
+
+def test_walks_that_do_not_end_in_time_raise(chain):
+    nodes, edges = chain
+    with pytest.raises(RuntimeError):
+        pattern.paths(nodes.where("name = 'f00'"), edges, "USES", most_rounds=5)
+    with pytest.raises(RuntimeError):
+        pattern.closure(nodes.where("name = 'f00'"), edges, "USES", most_rounds=5)
+    assert pattern.closure(nodes.where("name = 'f00'"), edges, "USES").count() == 15
+
+
+def test_edges_of_nested_and_conditional_definitions(spark):
+    code = (
+        "class A(Missing):\n    x = 1\n    def m(self):\n        self.y = helper()\n        z = Other\n        def inner():\n            pass\n        @deco\n        def hidden():\n            pass\n"
+        "class Other: pass\ndef helper(): pass\ndef deco(f): return f\nif helper:\n    def conditional(): pass\ntry:\n    def tried(): pass\nexcept E:\n    pass\n"
+        'if __name__ == "__main__":\n    def main(): pass\n'
+    )
+    nodes, edges, _ = parse.raw_records(parse.parse_files(_files(spark, m=code)))
+    rows = {(r["type"], r["source"], r["target"]) for r in edges.collect()}
+    assert {("HAS_METHOD", "A", "m"), ("HAS_METHOD", "A", "inner"), ("CONTAINS", "m", "tried"), ("CONTAINS", "m", "main"), ("CONTAINS", "m", "__main__"), ("USES", "A", "helper"), ("USES", "A", "Other"), ("INHERITS", "A", "Missing")} <= rows
+    assert not {("HAS_METHOD", "A", "hidden"), ("CONTAINS", "m", "conditional")} & rows
+    assert {r["name"] for r in nodes.where("type = 'Field' AND class = 'A'").collect()} >= {"x", "y", "z"}
+    built, kept = build.build_graph(nodes, edges)
+    assert build.broken_keys(built).count() == 0 and kept.where("type = 'INHERITS'").count() == 0
+
+
+def test_last_update_wins_as_a_whole(spark):
+    nodes = conform(spark.createDataFrame([("a", "Function", "f", "m", "old", "kept")], "node_id string, label string, name string, module_name string, description string, code string"), NODES)
+    updates = spark.createDataFrame([("a", 1, "zzz", "x"), ("a", 2, "new", None)], "node_id string, at int, description string, code string")
+    r = build.update_nodes(nodes, updates, "description", "code", keys=("node_id",), scoped=False, order="at").first()
+    assert (r["description"], r["code"]) == ("new", "kept")
+
+
+# ---------------------------------------------------------------- whole jobs
+
+
+def test_jobs_from_sources_to_answers(spark, tmp_path, graph):
+    from codelattice.operators import pipelines
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "base.py").write_text(BASE)
+    (tmp_path / "src" / "extended.py").write_text(EXTENDED)
+    report = pipelines.build_repositories(spark, {"r": str(tmp_path / "src")}, str(tmp_path / "out")).collect()
+    nodes, edges = graph
+    assert [(r["repo"], r["nodes"], r["edges"], r["errors"]) for r in report] == [("r", nodes.count(), edges.count(), 0)]
+    assert pipelines.build_repositories(spark, {"r": str(tmp_path / "src")}, str(tmp_path / "out")).count() == 0
+    described = pipelines.described_graph(nodes, edges, most_tokens=30)
+    assert described.where("label IN ('Function', 'Method', 'Class', 'Module') AND (description IS NULL OR embedding IS NULL)").count() == 0
+    assert pipelines.described_graph(described, edges).where("description <> ''").count() == described.where("description <> ''").count()
+
+    class Model(pipelines.Offline):
+        def __init__(self, text):
+            super().__init__()
+            self.text = text
+
+        def answer(self, prompts):
+            return [self.text] * len(prompts)
+
+    ask = lambda text: pipelines.answer(described, edges, "class Base def run self helper size LIMIT return", Model(text))
+    stage, rows = ask("```\nMATCH (c:Class {name: 'Base'}) RETURN c AS item\n```")
+    assert stage == "query" and {r["name"] for r in rows.collect()} == {"Base", "run", "stop"}
+    stage, rows = ask('{"entities": [{"name": "helper", "type": "Function"}]}')
+    assert stage == "specification" and "helper" in {r["name"] for r in rows.collect()}
+    stage, rows = ask("nothing to say")
+    assert stage == "search" and 0 < rows.count() <= 5
+    tasks = spark.createDataFrame([("q", "r", "x = ", "1"), ("p", "r", "y = ", "2")], "query_id string, repo string, prompt string, groundtruth string")
+    found = spark.createDataFrame([("q", 0, "def helper(): pass")], "query_id string, position int, text string")
+    done = {r["query_id"]: (r["predicted"], r["exact_match"]) for r in pipelines.completed(tasks, found, found, provider=Model("1\n2")).collect()}
+    assert done == {"q": ("1", True), "p": ("1", False)}
+    assert pipelines.settings("a:\n  b: 1  # remark\n  c:\n    - x\n    - 2\nd: 'text'\n") == {"a": {"b": 1, "c": ["x", 2]}, "d": "text"}
+    rows, seconds = pipelines.timed(lambda: found)
+    assert len(rows) == 1 and seconds > 0
