@@ -604,8 +604,9 @@ class Compiler:
         plain = {"collect": F.collect_set if distinct else F.collect_list, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "tolower": F.lower, "toupper": F.upper, "coalesce": F.coalesce, "abs": F.abs, "tostring": lambda c: c.cast("string")}
         if name in plain:
             return plain[name](*columns)
-        if name == "size":
-            return F.size(columns[0])
+        if name == "size":  # of a text or of a list
+            text = args[0][0] in ("prop", "lit") or args[0][0] == "call" and args[0][1] in ("tolower", "toupper", "tostring")
+            return F.length(columns[0]) if text else F.size(columns[0])
         raise CypherError(f"function {name} is not supported")
 
     # -- projection

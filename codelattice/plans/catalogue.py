@@ -153,14 +153,22 @@ def _(nodes, edges):
     return traverse.graph_size(nodes, edges).where("size > 1")
 
 
-@query("not_exists_empty_modules", "SELECT node_id FROM nodes WHERE label = 'Class' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = node_id AND type = 'HAS_METHOD')", graph=True)
-def _(nodes, edges):
-    return cypher.run_cypher("MATCH (c:Class) WHERE NOT (c)-[:HAS_METHOD]->() RETURN c AS node_id", nodes, edges)
+@query("not_exists_empty_modules", "SELECT node_id FROM nodes WHERE label = 'Class' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = node_id AND type = 'HAS_METHOD' AND dst IN (SELECT 'Method:' || o_orderkey FROM orders WHERE o_orderstatus = 'P'))", graph=False)
+def _(spark, at):
+    nodes, edges = graph_view(spark, at)
+    some = _t(spark, at, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("Method:"), F.col("o_orderkey")).alias("dst"))
+    return cypher.run_cypher("MATCH (c:Class) WHERE NOT (c)-[:HAS_METHOD]->() RETURN c AS node_id", nodes, edges.join(some, "dst", "left_semi"))
 
 
-@query("empty_modules", "SELECT node_id FROM nodes WHERE label = 'Module' AND NOT EXISTS (SELECT 1 FROM edges WHERE src = node_id AND type = 'CONTAINS')", graph=True)
-def _(nodes, edges):
-    return build.empty_modules(nodes, edges).select("node_id")
+SQL["not_exists_empty_modules"] = "WITH " + GRAPH_SQL + SQL["not_exists_empty_modules"]
+
+
+@query("empty_modules", "SELECT 'Module:' || n_nationkey AS node_id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)", graph=False)
+def _(spark, at):
+    """Of the graph that holds the classes of one kind only."""
+    nodes, edges = graph_view(spark, at)
+    rich = _t(spark, at, "customer").where("c_acctbal > 9900").select(F.concat(F.lit("Class:"), F.col("c_custkey")).alias("node_id"))
+    return build.empty_modules(*build.keep_only(nodes, edges, rich.unionByName(nodes.where("label = 'Module'").select("node_id")))).select("node_id")
 
 
 @query(
@@ -502,27 +510,13 @@ def _(spark, at):
     return p.select("p_partkey", _r(T.edit_similarity(F.col("p_name"), F.col("p_type"))).alias("similarity"), T.exact_match(F.col("p_name"), F.col("p_type")).alias("exact"))
 
 
-@query("purpose_extract", "SELECT doc_id, contains(text, '**Purpose**') AS marked, CASE WHEN contains(text, '**Purpose**') THEN NULL END AS none FROM documents")
-def _(spark, at):
-    d = _t(spark, at, "documents")
-    told = d.select("doc_id", F.col("text").contains("**Purpose**").alias("marked"), T.purpose(F.col("text")).alias("purpose"))
-    return told.select("doc_id", "marked", F.when(F.col("purpose").isNull() & F.col("marked"), "lost").alias("none"))
-
-
 @query("purposes")
 def _(spark, at):
     return _t(spark, at, "documents").select("doc_id", T.purpose(F.col("text")).alias("purpose"), T.purpose_line(F.col("text")).alias("line"))
 
 
-@query("token_budget_fit", "SELECT doc_id, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS tokens, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) <= 200 AS fits FROM documents WHERE lang = 'xx' AND text IS NOT NULL")
-def _(spark, at):
-    d = _t(spark, at, "documents").where("lang = 'xx' AND text IS NOT NULL")
-    return d.select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.fits_context(F.col("text"), [], 200, 0).alias("fits"))
-
-
-@query("token_budget_fit_all")
+@query("token_budget_fit", r"SELECT doc_id, n AS tokens, n <= 200 AS fits FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]')) AS n FROM documents WHERE text IS NOT NULL)")
 def _(spark, at):
-    """Over every document; token_budget_fit has only those its SQL has."""
     d = _t(spark, at, "documents").where("text IS NOT NULL")
     return d.select("doc_id", T.token_count(F.col("text")).alias("tokens"), T.fits_context(F.col("text"), [], 200, 0).alias("fits"))
 
@@ -783,9 +777,13 @@ def _(spark, at):
 
 
 def queries() -> dict[str, Query]:
+    from . import library  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import library  # noqa: F401 - registers its queries
+
     return dict(SQL)
 

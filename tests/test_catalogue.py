@@ -26,7 +26,7 @@ def duck():
 
 def _norm(v):
     if isinstance(v, (float, Decimal)):
-        return "nan" if math.isnan(v) else round(float(v), 4) + 0.0
+        return "nan" if math.isnan(v) else round(float(v), 6) + 0.0
     return v
 
 
@@ -69,4 +69,4 @@ def test_tokens_of_every_document_like_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     count = lambda t: len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0b\f\r]", t))
     want = {(i, count(t), count(t) <= 200) for i, t, _ in rows if t is not None}
-    assert {tuple(r) for r in catalogue.queries()["token_budget_fit_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalogue.queries()["token_budget_fit"](spark, str(tmp_path)).collect()} == want
