@@ -85,12 +85,13 @@ def closure(starts: DataFrame, edges: DataFrame, *types: str, direction: str = "
         e = e.join(within.select(F.col("node_id").alias("end")).distinct(), "end", "left_semi")
     e = checkpointed(e)
     frontier = checkpointed(starts.select("node_id").distinct().withColumn("depth", F.lit(0)))
-    seen = [frontier]
+    seen, size = [frontier], frontier.count()
     for depth in range(1, most_rounds + 1):
-        near = F.broadcast(frontier) if frontier.count() <= FRONTIER_ROWS else frontier
+        near = F.broadcast(frontier) if size <= FRONTIER_ROWS else frontier
         reached = e.join(near.select("node_id"), "node_id").select(F.col("end").alias("node_id")).distinct()
         frontier = checkpointed(reached.join(reduce(DataFrame.unionByName, seen), "node_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             return reduce(DataFrame.unionByName, seen)
         seen.append(frontier)
         if len(seen) > MERGED:

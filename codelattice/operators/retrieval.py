@@ -95,17 +95,18 @@ QUERY_TERMS = 100_000
 
 def bm25(queries: DataFrame, index: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str = "query_id", content: str = "text", digits: int | None = None) -> DataFrame:
     """(query_id, keys, score, rank): the k best chunks with a positive score; a term repeated in a query counts as often.  ``digits``
-    rounds scores before they are ranked.  Only the queries' own terms leave the index."""
+    rounds scores (half up, as of the double) before they are ranked.  Only the queries' own terms leave the index."""
     terms = queries.select(query_id, F.explode(T.bm25_tokens(F.col(content))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
     asked = written(terms.join(term_weights(index, corpus), "term"), "asked")
     few = asked.count() <= QUERY_TERMS
     sent = lambda df: F.broadcast(df) if few else df
     words = index.select(*keys, "dl", F.explode("tokens").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
-    postings = words.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # Placed by chunk once: counting words and summing scores by query then need no further move of the many hits.
+    postings = words.repartition(*keys).groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     hits = postings.join(sent(asked), "term").join(F.broadcast(corpus.select("avgdl")), F.lit(True))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy(query_id, *keys).agg(F.sum(part).alias("score"))
-    scores = (scores if digits is None else scores.withColumn("score", F.round("score", digits))).where("score > 0")
+    scores = (scores if digits is None else scores.withColumn("score", F.floor(F.col("score") * 10**digits + 0.5) / 10**digits)).where("score > 0")
     return top_k(scores, "score", k, *keys, per=query_id)
 
 

@@ -474,7 +474,7 @@ _BM25 = f"""
     raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, corpus), idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
     q AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[[:punct:]]', '', 'g')), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS term FROM queries WHERE text IS NOT NULL),
     qt AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL),
-    scored AS (SELECT query_id, doc_id, chunk, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN post USING (term), corpus GROUP BY ALL),
+    scored AS (SELECT query_id, doc_id, chunk, floor(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * 1000000 + 0.5) / 1000000 AS score FROM qt JOIN idf USING (term) JOIN post USING (term), corpus GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk) AS rank FROM scored WHERE score > 0)
 """
 
