@@ -3,8 +3,8 @@
 Method: exact set-similarity join with set-relation skipping.  Equal sets are answered once.  Index lists hold the rarest part of
 each set, sorted by set size and by the place of the entry in its set: for a block of entries of one size and place, the entries of another
 size that may match are one stretch of places, and all others are skipped without being looked at.  That part is long enough that similar
-sets must meet in several lists, in more the larger they are.  Each set is then compared with the first of the sets it met; the overlap of
-two sets that were compared with the same one is derived from what each of them lacks of it and has besides.
+sets must meet in several lists, in more the larger they are.  Sets that are highly similar to one are its family: what each lacks of it
+and has besides is kept, the overlaps within the family are derived from that, and lists are only searched for pairs across families.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ LIST_BLOCK = 20_000
 NARROW_ROWS = 1_000_000
 #: Places of the filter that tells which records' texts verification may need, a table of fixed size.
 PLACES = 1 << 18
-#: Least hashes by which sets are first brought to one that is probably similar, to find classes.
-HASHES = 4
+#: Least hashes, two at a time, by which sets are first brought to one that is probably similar; sets of a family paired in a block.
+HASHES, FAMILY_BLOCK = 8, 1000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,7 +98,7 @@ _SETS = pa.schema(
 )
 
 
-def _setter(frequency, t: float, hashed: bool):
+def _setter(frequency, t: float):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequency.value
         mask = np.uint64(len(counts) - 1)
@@ -110,7 +110,7 @@ def _setter(frequency, t: float, hashed: bool):
                 if not n:
                     continue
                 order = np.argsort(counts[(s & mask).astype(np.int64)], kind="stable")
-                least = [_mixed(s ^ salt).min() for salt in _SALTS] if hashed else []
+                least = [_mixed(s ^ salt).min() for salt in _SALTS]
                 for column, value in zip(out, (doc, text, _number(s), n, s[order[: rare_length(n, t)]].view(np.int64), np.array(least, np.uint64).view(np.int64))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SETS)], schema=_SETS)
@@ -151,8 +151,9 @@ def list_pairs(key, ids, size, place, side, classes, t: float, most: int = 1_000
     """Pairs of sets that meet in a list and may be similar: columns id, id, size, size, place, place, ids in order.
 
     Entries of a list are sorted by size and place.  For a block of entries of size a at place i and another size b, what may still match
-    stands from i - (a - need) to i + (b - need), where need is the overlap they must have; only that stretch is looked at.  Lists
-    whose entries are all of one class (0 is none) are skipped, as are pairs within one.
+    stands from i - (a - need) to i + (b - need), where need is the overlap they must have; only that stretch is looked at.  Pairs of one
+    class (0 is none) are not wanted: of each list the entries of its largest class are only looked at beside others, so that a list of
+    one class is skipped as a whole.
     """
     order = np.lexsort((place, size, key))
     key, ids, size, place, side, classes = (x[order] for x in (key, ids, size, place, side, classes))
@@ -168,41 +169,53 @@ def list_pairs(key, ids, size, place, side, classes, t: float, most: int = 1_000
     sizes = size[starts].astype(np.int64)
     span = np.int64(place.max()) + 1
     code = group * span + place  # ascending
-    blocks = np.flatnonzero(new_block)
-    ends = np.r_[blocks[1:], n]
-    if classes.any():
-        first = np.flatnonzero(new_list)
-        low, high = np.minimum.reduceat(classes, first), np.maximum.reduceat(classes, first)
-        mixed = (low != high) | (low == 0)
-        blocks, ends = blocks[mixed[np.cumsum(new_list)[blocks] - 1]], ends[mixed[np.cumsum(new_list)[blocks] - 1]]
-    distance = 0
-    while len(blocks):
-        own = group[blocks]
-        other = own + distance
-        ok = other < len(starts)
-        blocks, ends, own, other = blocks[ok], ends[ok], own[ok], other[ok]
-        ok = (list_of[own] == list_of[other]) & (sizes[own] >= t * sizes[other] - 1e-9)
-        blocks, ends, own, other = blocks[ok], ends[ok], own[ok], other[ok]
-        if not len(blocks):
-            return
-        a, b, i = sizes[own], sizes[other], place[blocks].astype(np.int64)
-        need = _least_overlap(a.astype(np.float64), b, t).astype(np.int64)
-        low = np.searchsorted(code, other * span + np.clip(i - (a - need), 0, span - 1))
-        high = np.searchsorted(code, other * span + np.clip(i + (b - need), 0, span - 1), side="right")
-        # every entry of the block with the stretch; within its own size only with what comes after it
-        count = ends - blocks
-        entry = np.repeat(blocks, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        low, high = np.repeat(low, count), np.repeat(high, count)
-        if not distance:
-            low = np.maximum(low, entry + 1)
-        length = np.maximum(high - low, 0)
-        for x in range(0, len(entry), max(1, most // 64)):
-            part = slice(x, x + max(1, most // 64))
-            yield from _fits(entry[part], low[part], length[part], ids, size, place, side, classes, most)
-        distance += 1
-
-
-def _fits(entry, low, length, ids, size, place, side, classes, most: int) -> Iterator[np.ndarray]:
+    block_of = np.cumsum(new_block)
+    major = _largest_class(np.cumsum(new_list) - 1, classes) if classes.any() else np.zeros(n, bool)
+    entries = np.flatnonzero(~major)
+    for step in (1, -1) if major.any() else (1,):
+        x, distance = entries, 0 if step > 0 else -1
+        while len(x):
+            own = group[x]
+            other = own + distance
+            ok = (other >= 0) & (other < len(starts))
+            x, own, other = x[ok], own[ok], other[ok]
+            small, large = (own, other) if step > 0 else (other, own)
+            ok = (list_of[own] == list_of[other]) & (sizes[small] >= t * sizes[large] - 1e-9)
+            x, own, other = x[ok], own[ok], other[ok]
+            if not len(x):
+                break
+            # the stretch is the same for all of a block
+            block = np.flatnonzero(np.r_[True, block_of[x[1:]] != block_of[x[:-1]]])
+            a, b, i = sizes[own[block]], sizes[other[block]], place[x[block]].astype(np.int64)
+            need = _least_overlap(a.astype(np.float64), b, t).astype(np.int64)
+            low = np.searchsorted(code, other[block] * span + np.clip(i - (a - need), 0, span - 1))
+            high = np.searchsorted(code, other[block] * span + np.clip(i + (b - need), 0, span - 1), side="right")
+            count = np.diff(np.r_[block, len(x)])
+            low, high = np.repeat(low, count), np.repeat(high, count)
+            if not distance and not major.any():
+                low = np.maximum(low, x + 1)
+            length = np.maximum(high - low, 0)
+            for f in range(0, len(x), max(1, most // 64)):
+                part = slice(f, f + max(1, most // 64))
+                yield from _fits(x[part], low[part], length[part], (ids, size, place, side, classes, major), distance, most)
+            distance += step
+
+
+def _largest_class(lists: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Whether each entry is of the class that most entries of its list are of."""
+    order = np.lexsort((classes, lists))
+    a, c = lists[order], classes[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+    length = np.diff(np.r_[starts, len(a)])
+    by = np.lexsort((length, a[starts]))  # the last of a list is its longest run
+    last = by[np.r_[a[starts][by][1:] != a[starts][by][:-1], True]]
+    best = np.zeros(int(a[-1]) + 1, classes.dtype)
+    best[a[starts][last]] = c[starts][last]
+    return classes == best[lists]
+
+
+def _fits(entry, low, length, columns: tuple, distance: int, most: int) -> Iterator[np.ndarray]:
+    ids, size, place, side, classes, major = columns
     total = np.cumsum(length)
     at = 0
     while at < len(entry):
@@ -213,6 +226,8 @@ def _fits(entry, low, length, ids, size, place, side, classes, most: int) -> Ite
         y = np.repeat(low[at:to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = to
         fit = ((side[x] == 0) | (side[x] != side[y])) & (ids[x] != ids[y]) & ((classes[x] != classes[y]) | (classes[x] == 0))
+        if distance <= 0:  # each pair once: entries beside the largest class, and others that come later
+            fit &= major[y] | (y > x)
         x, y = x[fit], y[fit]
         if len(x):
             swap = ids[x] > ids[y]
@@ -276,16 +291,16 @@ class Records:
     """The sets of a table of records, written once: (id, doc_id, text, number, size, rare, least), id being the row's own number.
 
     Records without code, without doc_id or with fewer than three tokens have none.  ``first`` gives of each number of a set that several rows
-    have the smallest id, ``each`` one row for a set.  least, only made if ``hashed``, has the least of several hashes of the members.
+    have the smallest id, ``each`` one row for a set.  least has the least of several hashes of the members.
     """
 
-    def __init__(self, docs: DataFrame, similarity: float, hashed: bool = False):
+    def __init__(self, docs: DataFrame, similarity: float):
         spark = docs.sparkSession
         self.similarity = similarity
         self.rows = with_code(picked(docs, "doc_id", "code")).where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("code").alias("text"), "code")
         counts = frequencies(self.rows, docs.count())
         self.frequency, self.long = spark.sparkContext.broadcast(counts), bool(counts.max(initial=0) > LIST_BLOCK)
-        made = self.rows.mapInArrow(_setter(self.frequency, similarity, hashed), "doc_id string, text bigint, number bigint, size int, rare array<bigint>, least array<bigint>")
+        made = self.rows.mapInArrow(_setter(self.frequency, similarity), "doc_id string, text bigint, number bigint, size int, rare array<bigint>, least array<bigint>")
         self.sets = written(made.withColumn("id", F.monotonically_increasing_id()), "sets")
         again = self.sets.groupBy("number").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("number", "first")
         self.again = sized(again, "again", NARROW_ROWS)
@@ -334,6 +349,50 @@ class Records:
         some = self.rows.withColumn("place", place).join(places, "place", "left_semi").select("doc_id", "text", "code")
         return some.join(wanted, ["doc_id", "text"]).select("id", "code").dropDuplicates(["id"])
 
+    def _similar(self, pairs: DataFrame) -> DataFrame:
+        """(id_a, id_b, shared, either) of the pairs (id_a, id_b, size_a, size_b, shared) that are similar enough."""
+        either = F.col("size_a") + F.col("size_b") - F.col("shared")
+        return pairs.withColumn("either", either).where(F.col("shared") >= self.similarity * F.col("either") - 1e-9).select("id_a", "id_b", "shared", "either")
+
+    def families(self) -> DataFrame:
+        """(id, size, head, head_size, shared, plus, minus), written: sets that are similar to their head, a set that has none itself, with
+        what they have besides its members and lack of them.  Each set is compared with one other at most, so this is linear."""
+        band = lambda i: F.xxhash64(F.col("least")[i], F.col("least")[i + 1])
+        hashed = self.each.select("id", "size", F.posexplode(F.array(*(band(i) for i in range(0, HASHES, 2)))).alias("at", "hash"))
+        first = hashed.groupBy("at", "hash").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        placed = hashed.join(first, ["at", "hash"]).groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.id").alias("head"), F.col("first.size").alias("head_size"))
+        placed = written(placed, "placed")
+        roots = placed.where("id = head").select("head")
+        wanted = written(placed.where("id > head").join(roots, "head", "left_semi"), "wanted")
+        texts = written(self.texts(wanted.select("id").unionByName(wanted.select(F.col("head").alias("id"))).distinct()), "texts")
+        heads = texts.select(F.col("id").alias("head"), F.col("code").alias("head_code"))
+        told = texts.join(wanted, "id").join(heads, "head").select("id", "code", "head", "head_code", "head_size")
+        told = told.mapInArrow(_differ, "id bigint, size int, head bigint, shared int, plus array<bigint>, minus array<bigint>, head_size int")
+        return written(told.where(F.col("plus").isNotNull() & (F.col("shared") >= self.similarity * (F.col("size") + F.col("head_size") - F.col("shared")) - 1e-9)), "families")
+
+    @staticmethod
+    def family_classes(families: DataFrame) -> DataFrame:
+        """(id, class) of all sets that are in a family."""
+        both = families.select("id", (F.col("head") + 1).alias("class")).unionByName(families.select(F.col("head").alias("id"), (F.col("head") + 1).alias("class")).distinct())
+        return sized(both, "classes", NARROW_ROWS)
+
+    def within(self, families: DataFrame) -> DataFrame:
+        """(id_a, id_b, shared, either) of the similar pairs within families, the heads included.  A large family is paired block by block."""
+        direct = families.select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.col("head_size").alias("size_a"), F.col("size").alias("size_b"), "shared")
+        many = families.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks"))
+        rows = families.join(sized(many, "many", NARROW_ROWS), "head").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "plus", "minus")]
+        left = rows.where("own = low").select("head", "head_size", "low", "high", *side("a"))
+        right = rows.where("own = high").select("head", "low", "high", *side("b"))
+        pairs = left.join(right, ["head", "low", "high"]).where("low < high OR id_a < id_b")
+        lacking = F.size("minus_a") + F.size("minus_b") - F.size(F.array_intersect("minus_a", "minus_b"))
+        pairs = pairs.withColumn("shared", F.col("head_size") - lacking + F.size(F.array_intersect("plus_a", "plus_b")))
+        swap = F.col("id_a") > F.col("id_b")
+        ordered = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c)).alias(c)
+        pairs = pairs.select(ordered("id_a", "id_b"), ordered("id_b", "id_a"), ordered("size_a", "size_b"), ordered("size_b", "size_a"), "shared")
+        return self._similar(direct.unionByName(pairs))
+
     def links(self, candidates: DataFrame) -> DataFrame:
         """(id_a, id_b, shared, either) of the candidates that are similar."""
         candidates = written(candidates.select("id_a", "id_b", "size_a", "size_b"), "candidates")
@@ -341,8 +400,8 @@ class Records:
         nearest = written(met.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("head")), "heads")
         texts = written(self.texts(nearest.select("id")), "texts")
         heads = texts.join(nearest.where("head < id").select(F.col("head").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("head"), F.col("code").alias("head_code"))
-        told = texts.join(nearest.where("id <> head"), "id").join(heads, "head").select("id", "code", "head", "head_code")
-        told = written(told.mapInArrow(_differ, "id bigint, size int, head bigint, shared int, plus array<bigint>, minus array<bigint>"), "differences")
+        told = texts.join(nearest.where("id <> head"), "id").join(heads, "head").select("id", "code", "head", "head_code", F.lit(0).alias("head_size"))
+        told = written(told.mapInArrow(_differ, "id bigint, size int, head bigint, shared int, plus array<bigint>, minus array<bigint>, head_size int"), "differences")
         pairs = candidates.join(told.select(F.col("id").alias("id_b"), F.col("head").alias("id_a"), "shared"), ["id_a", "id_b"], "left")
         direct = pairs.where("shared IS NOT NULL").select("id_a", "id_b", "size_a", "size_b", "shared")
         rest = written(pairs.where("shared IS NULL").select("id_a", "id_b", "size_a", "size_b"), "rest")
@@ -358,11 +417,10 @@ class Records:
         code = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("code").alias(f"code_{s}"))
         compared = left.join(code("a"), "id_a").join(code("b"), "id_b").select("id_a", "id_b", "size_a", "size_b", "code_a", "code_b")
         compared = compared.mapInArrow(_comparer, "id_a bigint, id_b bigint, size_a int, size_b int, shared int")
-        every = direct.unionByName(derived).unionByName(compared).withColumn("either", F.col("size_a") + F.col("size_b") - F.col("shared"))
-        return every.where(F.col("shared") >= self.similarity * F.col("either") - 1e-9).select("id_a", "id_b", "shared", "either")
+        return self._similar(direct.unionByName(derived).unionByName(compared))
 
 
-_DIFFERENCES = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("head", pa.int64()), ("shared", pa.int32()), ("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64()))])
+_DIFFERENCES = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("head", pa.int64()), ("shared", pa.int32()), ("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64())), ("head_size", pa.int32())])
 
 
 def _differ(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,21 +428,34 @@ def _differ(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     head, base = None, np.empty(0, np.uint64)
     for batch in it:
         out: list[list] = [[] for _ in _DIFFERENCES]
-        for i, code, h, head_code in zip(*(batch.column(x).to_pylist() for x in range(4))):
+        for i, code, h, head_code, size in zip(*(batch.column(x).to_pylist() for x in range(5))):
             if h != head:
                 head, base = h, shingles(head_code)
             s = shingles(code)
             shared = len(np.intersect1d(s, base, assume_unique=True))
             alike = 2 * shared >= len(base)
             plus, minus = (np.setdiff1d(x, y, assume_unique=True).view(np.int64) if alike else None for x, y in ((s, base), (base, s)))
-            for column, value in zip(out, (i, len(s), h, shared, plus, minus)):
+            for column, value in zip(out, (i, len(s), h, shared, plus, minus, size)):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _DIFFERENCES)], schema=_DIFFERENCES)
 
 
+#: Sets a task keeps, as a set has often several pairs.
+KEPT = 2000
+
+
 def _comparer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[int, np.ndarray] = {}
+
+    def members(i: int, code: str) -> np.ndarray:
+        if i not in kept:
+            if len(kept) >= KEPT:
+                kept.pop(next(iter(kept)))
+            kept[i] = shingles(code)
+        return kept[i]
+
     for batch in it:
-        shared = [len(np.intersect1d(shingles(a), shingles(b), assume_unique=True)) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        shared = [len(np.intersect1d(members(a, x), members(b, y), assume_unique=True)) for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)))]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int32())], names=["id_a", "id_b", "size_a", "size_b", "shared"])
 
 
@@ -398,7 +469,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     records = Records(docs, similarity)
     members = written(records.members(), "members")
-    links = written(records.links(records.candidates()), "links")
+    families = records.families()
+    across = records.links(records.candidates(records.family_classes(families)))
+    links = written(records.within(families).unionByName(across), "links")
     texts = members.groupBy("id", "text").agg(F.min("doc_id").alias("head"))
     own = members.join(texts, "id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"), F.lit(1.0).alias("similarity"))
     linked = links.select("id_a", "id_b", (F.col("shared") / F.col("either")).alias("similarity"))
@@ -428,17 +501,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, members): one row per record; class_id is the first doc_id of the records it is connected to by similarity,
     members how many they are.
 
-    Sets are first compared with the smallest one that shares one of their least hashes, which is linear and joins most of a
-    class; only sets that this leaves in different classes are then searched for as pairs, so that a large family is never paired out.
+    Families are found first, which is linear; only sets that this leaves in different classes are then searched for as pairs, so that a
+    large family is never paired out.
     """
-    records = Records(docs, similarity, hashed=True)
-    hashed = records.each.select("id", "size", F.posexplode("least").alias("at", "hash"))
-    first = hashed.groupBy("at", "hash").agg(F.min(F.struct("id", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = hashed.join(first, ["at", "hash"]).where("id > first.id").select(F.col("first.id").alias("id_a"), F.col("id").alias("id_b"), F.col("first.size").alias("size_a"), F.col("size").alias("size_b")).distinct()
-    near = written(records.links(near), "near")
-    number = sized(components(near, "id_a", "id_b").select(F.col("node").alias("id"), (F.col("component") + 1).alias("class")), "numbers", NARROW_ROWS)
-    more = written(records.links(records.candidates(number)), "more")
-    number = components(near.select("id_a", "id_b").unionByName(more.select("id_a", "id_b")), "id_a", "id_b")
+    records = Records(docs, similarity)
+    families = records.families()
+    more = written(records.links(records.candidates(records.family_classes(families))), "more")
+    number = components(families.select(F.col("head").alias("id_a"), F.col("id").alias("id_b")).unionByName(more.select("id_a", "id_b")), "id_a", "id_b")
     joined = written(records.members().join(number.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")), "joined")
     names = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
     return joined.join(names, "component").select("doc_id", "class_id", "members")
