@@ -29,6 +29,8 @@ class Node:
     simulated: float = 0.0
     simulations: int = 0
     expanded: bool = False
+    closed: bool = False  # nothing below can be expanded any more, which stays so
+    open: list[Node] = field(default_factory=list)  # children not known to be closed
 
     @property
     def mean(self) -> float:
@@ -61,15 +63,24 @@ class Search:
         self.trace: list[tuple[int, str, int, float]] = []
 
     def can_expand(self, n: Node) -> bool:
-        return not n.expanded and any(c not in self.known and self.similarity.get(c, 0.0) > 0 for c in self.near.get(n.id, ()))
+        if not n.expanded:  # what is known stays known, so a node without new neighbours has none later
+            n.expanded = not any(c not in self.known and self.similarity.get(c, 0.0) > 0 for c in self.near.get(n.id, ()))
+        return not n.expanded
 
     def open_below(self, n: Node) -> bool:
-        stack = [n]
-        while stack:
-            x = stack.pop()
-            if self.can_expand(x):
+        """Whether anything below can be expanded; each node is closed once, so over a search this is linear in the tree."""
+        way = [n]
+        while way:
+            x = way[-1]
+            if not x.closed and self.can_expand(x):
                 return True
-            stack.extend(x.children)
+            while x.open and x.open[-1].closed:
+                x.open.pop()
+            if x.closed or not x.open:
+                x.closed = True
+                way.pop()
+            else:
+                way.append(x.open[-1])
         return False
 
     def select(self) -> Node | None:
@@ -96,6 +107,7 @@ class Search:
                 self.known.add(i)
                 made.append(Node(i, self.labels.get(i, ""), self.similarity.get(i, 0.0), parent))
         parent.children += made
+        parent.open += made
         return made
 
     def expand(self, n: Node) -> list[Node]:
