@@ -28,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK, SHARD_BLOCKS, BUNDLE_SHARDS, MOST_BUNDLES = 512, 256, 16, 1024
 #: Characters of a group of rows that is packed by itself; groups whose rests are packed together; numbering rows that are broadcast at most.
 GROUP_CHARS, RESTS, NUMBERING = 4_000_000, 256, 100_000
+#: Tasks that pack at most; with more groups than that a task packs several, one after the other.
+MOST_TASKS = 50_000
 
 
 @lru_cache(4)
@@ -132,7 +134,7 @@ def pack(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, length
     groups = max(1, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // GROUP_CHARS))
     mark = F.xxhash64("doc_id", "text")
     spread = rows.select(F.pmod(mark, F.lit(groups)).alias("group"), "source", "doc_id", "text", mark.alias("mark"))
-    spread = spread.repartition(groups, "group").sortWithinPartitions("group", "source", "mark", "doc_id").select("group", "source", "doc_id", "text")
+    spread = spread.repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group", "source", "mark", "doc_id").select("group", "source", "doc_id", "text")
     done, level = None, 0
     while True:
         packed = written(spread.mapInArrow(_packer(path, length, groups == 1), _BLOCKS_DDL), "blocks")
@@ -142,7 +144,7 @@ def pack(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, length
             break
         groups, level = -(-groups // RESTS), level + 1
         rests = packed.where("number < 0").select(F.floor(F.col("group") / RESTS).alias("group"), "source", F.col("doc_ids")[0].alias("doc_id"), "tokens", F.col("group").alias("from"), F.xxhash64("tokens").alias("mark"))
-        spread = rests.repartition(groups, "group").sortWithinPartitions("group", "source", "from", "mark", "doc_id").select("group", "source", "doc_id", "tokens")
+        spread = rests.repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group", "source", "from", "mark", "doc_id").select("group", "source", "doc_id", "tokens")
     # Blocks before each group's, by source: one row for a source and group.
     counts = done.groupBy("source", "level", "group").agg(F.count(F.lit(1)).alias("n"))
     before = counts.selectExpr("source", "level", "group", "sum(n) over (partition by source order by level, group rows between unbounded preceding and 1 preceding) as before")

@@ -347,6 +347,7 @@ def test_packing_is_a_round_trip(spark):
 def test_mixture_is_the_same_for_all_settings_and_meets_its_shares(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_CHARS", 3000)
     monkeypatch.setattr(mixing, "RESTS", 3)
+    monkeypatch.setattr(mixing, "MOST_TASKS", 4)
     monkeypatch.setattr(mixing, "SHARD_BLOCKS", 5)
     monkeypatch.setattr(mixing, "BUNDLE_SHARDS", 2)
     monkeypatch.setattr(mixing, "MOST_BUNDLES", 4)
