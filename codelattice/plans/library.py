@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import text as T
 from ..model import EDGES, NODES, conform, node_id
 from ..operators import aggregates as A
 from ..operators import build, cypher, enrich, evaluate, pattern, pipelines, retrieval, traverse
-from ..session import shared_dir
+from ..session import own_dir
 from ..sources import readers, sinks
 from .catalogue import SQL, _r, _t, query
 from .graph_view import GRAPH_SQL, graph_view
@@ -664,26 +666,26 @@ def _(spark, at):
     return retrieval.missing_repos(d.select("repo").distinct(), d.where("language = 'go'").select(F.col("repo").alias("repo_name")))
 
 
-def _place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/results-{spark.sparkContext.applicationId}/{name}"
+def _place(spark, at: str, name: str) -> str:
+    return f"{own_dir(spark)}/results/{name}-{zlib.crc32(at.encode())}"
 
 
 @query("json_round_trip", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def _(spark, at):
     s = _t(spark, at, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    sinks.write_json(s, _place(spark, "json"), by="s_nationkey")
-    return readers.json_lines(spark, _place(spark, "json"), s.schema)
+    sinks.write_json(s, _place(spark, at, "json"), by="s_nationkey")
+    return readers.json_lines(spark, _place(spark, at, "json"), s.schema)
 
 
 @query("csv_round_trip", "SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def _(spark, at):
-    sinks.write_csv(_t(spark, at, "customer").select("c_custkey", "c_name"), _place(spark, "csv"))
-    return spark.read.option("header", True).csv(_place(spark, "csv"))
+    sinks.write_csv(_t(spark, at, "customer").select("c_custkey", "c_name"), _place(spark, at, "csv"))
+    return spark.read.option("header", True).csv(_place(spark, at, "csv"))
 
 
 @query("appended_results", "SELECT o_orderkey, 1 AS run FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, at):
-    place = _place(spark, f"appended-{abs(hash(at))}")
+    place = _place(spark, at, "appended")
     o = _t(spark, at, "orders")
     o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(1).alias("run")).write.mode("overwrite").parquet(place)
     sinks.append(o.where("o_orderstatus = 'P'").select("o_orderkey", F.lit(2).alias("run")), place)
@@ -692,17 +694,17 @@ def _(spark, at):
 
 @query("partitions_replaced", "SELECT c_custkey AS k, CASE WHEN c_nationkey = 3 THEN 'new' ELSE 'old' END AS v, c_nationkey AS part FROM customer")
 def _(spark, at):
-    place = _place(spark, f"parts-{abs(hash(at))}")
+    place = _place(spark, at, "parts")
     c = _t(spark, at, "customer").select(F.col("c_custkey").alias("k"), F.lit("old").alias("v"), F.col("c_nationkey").alias("part"))
     c.write.mode("overwrite").partitionBy("part").parquet(place)
     sinks.upsert_partitions(place, c.where("part = 3").withColumn("v", F.lit("new")), "part")
     return spark.read.schema(c.schema).parquet(place)
 
 
-@query("snapshot_round_trip", "SELECT label, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT type, count(*) FROM edges GROUP BY type", graph=True)
-def _(nodes, edges):
-    spark = nodes.sparkSession
-    place = _place(spark, "snapshot")
+@graph_query("snapshot_round_trip", " SELECT label, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT type, count(*) FROM edges GROUP BY type")
+def _(spark, at):
+    nodes, edges = graph_view(spark, at)
+    place = _place(spark, at, "snapshot")
     sinks.snapshot(nodes.withColumn("repo", F.coalesce("module_name", F.lit("none"))), edges, place)
     n, e = sinks.load_snapshot(spark, place)
     return A.label_counts(n).unionByName(e.groupBy(F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n")))

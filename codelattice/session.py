@@ -55,21 +55,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/codelattice-{spark.sparkContext.applicationId}"
+_OWN: dict[str, object] = {}
 
 
-_OWN: dict[str, object] = {}
+def own_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder, which ``discard`` deletes."""
+    at = f"{shared_dir(spark)}/codelattice-{spark.sparkContext.applicationId}"
+    if at not in _OWN:
+        _OWN[at] = spark.sparkContext._jsc.hadoopConfiguration()
+    return at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: an intermediate that several jobs read.  It lasts until ``discard`` or
     the end of the driver."""
     spark = df.sparkSession
-    own = _own_dir(spark)
-    if own not in _OWN:
-        _OWN[own] = spark.sparkContext._jsc.hadoopConfiguration()
-    at = f"{own}/{name}-{uuid.uuid4().hex}"
+    at = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
