@@ -156,3 +156,53 @@ def test_arriving_files_replace_their_records(spark, tmp_path):
         ingest.ingest(ingest.arriving(spark, source), target, str(tmp_path / "check")).awaitTermination(120)
     rows = spark.read.parquet(target).select(F.inline("nodes")).where("type = 'Function'").collect()
     assert [r["name"] for r in rows] == ["g"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codelattice import session
+
+    told = {}
+    conf = SimpleNamespace(get=lambda *_: None, set=told.__setitem__)
+    on = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(on(master))
+    assert session.shared_dir(on("local[2]")).startswith("file://") and told
+
+
+def test_intermediates_are_deleted(spark):
+    from pathlib import Path
+
+    from codelattice import session
+
+    kept = session.written(spark.range(3), "kept")
+    at = Path(session.own_dir(spark).removeprefix("file://").removeprefix("file:"))
+    assert kept.count() == 3 and at.exists()
+    session.discard()
+    assert not at.exists()
+
+
+def test_requirements_by_precedence_and_imports_of_every_form(spark):
+    files = spark.createDataFrame([("a", "requirements/base.txt"), ("a", "test_requirements.txt"), ("b", "setup.py")], "repo string, path string")
+    assert {r["repo"]: r["path"] for r in readers.choose_requirement_file(files).collect()} == {"a": "test_requirements.txt", "b": None}
+    assert {r["repo"]: r["path"] for r in readers.choose_requirement_file(files, "completion").collect()} == {"a": "test_requirements.txt", "b": None}
+    code = "import os, a.b as c\nfrom . import x\n  from m.n import (p as q,\n    r)  # z\nfrom k import *\n"
+    assert sorted(_one(spark, T.imported_modules(F.col("a")), code)) == [".", "a.b", "k", "m.n", "os"]
+    assert [tuple(r) for r in _one(spark, T.imported_names(F.col("a")), code)] == [(".", "x", None), ("m.n", "p", "q"), ("m.n", "r", None)]
+
+
+def test_prompts_keep_imports_and_the_last_definition():
+    lines = ["import a"] + [f"x{i} = {i}" for i in range(200)] + ["def f():", "    return x1"]
+    short = T.shortened_prompt("\n".join(lines), 60)
+    assert short.split("\n")[0] == "import a" and short.endswith("def f():\n    return x1") and len(short.split("\n")) == 8
+    assert T.shortened_prompt("\n".join(lines[:-2]), 30).split("\n")[0] == "import a"
+    assert T.first_json('a {"x": {"y": 1}} {') == '{"x": {"y": 1}}' and T.first_json('{bad} {"a": 1}') is None
+
+
+def test_lenient_scores_do_not_take_methods(spark):
+    truths = spark.createDataFrame([("q", "A.x", 2), ("q", "A.y", 3), ("q", "z", 0)], "query_id string, name string, relevance int")
+    ranked = spark.createDataFrame([("q", 1, "Class", "A", None), ("q", 2, "Method", "y", "A"), ("q", 3, "Class", "A", None)], "query_id string, rank int, label string, name string, class string")
+    r = evaluate.lenient_scores(ranked, truths).first()
+    assert math.isclose(r["recall"], 1 / 3) and math.isclose(r["ndcg"], (3 + 3 / math.log2(3) + 3 / 2) / (3 + 2 / math.log2(3)))
