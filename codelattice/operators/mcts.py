@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import math
 from collections import deque
-
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..providers import Provider
+
 
 @dataclass
 class Node:
@@ -55,7 +57,8 @@ class Settings:
 
 
 class Search:
-    def __init__(self, root: str, labels: dict[str, str], near: dict[str, list[str]], similarity: dict[str, float], reward: dict[str, float], size: int, settings: Settings, uses: dict[str, list[str]] | None = None):
+    def __init__(self, root: str, labels: dict[str, str], near: dict[str, list[str]], similarity: dict[str, float], reward: dict[str, float], size: int, settings: Settings, uses: dict[str, list[str]] | None = None, scorer: Callable[[list[str]], list[float]] | None = None):
+        self.scorer = scorer  # scores nodes when they are first reached; without it all rewards are given
         self.labels, self.near, self.similarity, self.reward, self.size, self.s, self.uses = labels, near, similarity, reward, size, settings, uses or {}
         self.root = Node(root, labels.get(root, "Repo"), similarity.get(root, 0.0))
         self.known = {root}
@@ -124,6 +127,8 @@ class Search:
         return made
 
     def learn(self, nodes: list[Node]) -> None:
+        if self.scorer and (asked := [x.id for x in nodes if x.id not in self.reward]):
+            self.reward.update(zip(asked, self.scorer(asked)))
         for x in nodes:
             value = self.reward.get(x.id, 0.0)
             x.visits += 1
@@ -161,28 +166,39 @@ class Search:
         return sorted(found, key=lambda x: -x[1])[: self.s.results]
 
 
-def _search_of(pdf: pd.DataFrame, settings: Settings) -> Search:
+def _search_of(pdf: pd.DataFrame, settings: Settings, provider: Provider | None = None) -> Search:
     near: dict[str, list[str]] = {}
     uses: dict[str, list[str]] = {}
     labels, similarity, reward, root = {}, {}, {}, None
+    texts: dict[str, str] = {}
     for r in pdf.sort_values("node_id").itertuples(index=False):
-        labels[r.node_id], similarity[r.node_id], reward[r.node_id] = r.label, r.similarity, r.reward
+        labels[r.node_id], similarity[r.node_id] = r.label, r.similarity
+        if provider:
+            texts[r.node_id] = r.text or ""
+        else:
+            reward[r.node_id] = r.reward
         near[r.node_id] = sorted(r.children) if r.children is not None else []
         uses[r.node_id] = sorted(r.users) if r.users is not None else []
         if r.label == "Repo":
             root = r.node_id
-    return Search(root or min(labels), labels, near, similarity, reward, int(pdf["size"].iloc[0]), settings, uses)
+
+    def scored(ids: list[str]) -> list[float]:
+        question = pdf["question"].iloc[0] or ""
+        return [min(max(10.0 * float(x), 0.0), 10.0) for x in provider.score([(question, texts[i]) for i in ids])]
+
+    return Search(root or min(labels), labels, near, similarity, reward, int(pdf["size"].iloc[0]), settings, uses, scored if provider else None)
 
 
-def search(space: DataFrame, settings: Settings | None = None, per: str = "query_id") -> DataFrame:
+def search(space: DataFrame, settings: Settings | None = None, per: str = "query_id", provider: Provider | None = None) -> DataFrame:
     """(query_id, node_id, score, visits, rank) of each query's best nodes.
 
     space(query_id, node_id, label, children, users, similarity, reward, size): a row for each node of the query's repository;
-    one repository must fit in a task, which is why code and vectors are not in it."""
+    one repository must fit in a task, which is why code and vectors are not in it.  With a ``provider`` the columns question and text stand
+    in place of reward, and it scores the nodes as they are reached, a batch for an expansion."""
     s = settings or Settings()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _search_of(pdf, s).run()
+        found = _search_of(pdf, s, provider).run()
         return pd.DataFrame([(pdf[per].iloc[0], i, round(score, 9), v, at + 1) for at, (i, score, v) in enumerate(found)], columns=[per, "node_id", "score", "visits", "rank"])
 
     return space.groupBy(per).applyInPandas(run, f"{per} string, node_id string, score double, visits int, rank int")

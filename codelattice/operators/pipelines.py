@@ -150,19 +150,18 @@ def by_specification(nodes: DataFrame, edges: DataFrame, question: str, provider
 
 
 def by_search(nodes: DataFrame, edges: DataFrame, question: str, provider: Provider | None = None, iterations: int = 200, k: int = 10) -> DataFrame:
-    """The guided search over the graph, scored for this question."""
+    """The guided search over the graph; the provider scores nodes for the question as the search reaches them."""
     provider = provider or Offline()
     spark = nodes.sparkSession
     q = F.array(*(F.lit(float(x)) for x in provider.embed([question])[0]))
     vectors = nodes.select(F.lit("q").alias("query_id"), "repo", "node_id", retrieval.cosine("embedding", q).alias("similarity"))
-    scores = retrieval.cross_scores(nodes.select("node_id", F.lit(question).alias("question"), F.coalesce("description", "code", "name").alias("text")), ["node_id"], "question", "text", provider=provider)
-    similarity = vectors.join(scores.withColumnRenamed("score", "reward"), "node_id")
-    similarity = similarity.withColumn("repo", F.lit("all")).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
+    similarity = vectors.withColumn("reward", F.lit(0.0)).withColumn("repo", F.lit("all")).withColumn("similarity", F.greatest("similarity", F.lit(0.0)))
     sizes = nodes.agg(F.count(F.lit(1)).cast("int").alias("size")).withColumn("repo", F.lit("all"))
-    space = mcts.space_of(nodes, traverse.children(nodes, edges), similarity, sizes)
+    texts = nodes.select("node_id", F.lit(question).alias("question"), F.coalesce("description", "code", "name").alias("text"))
+    space = mcts.space_of(nodes, traverse.children(nodes, edges), similarity, sizes).join(texts, "node_id")
     row = spark.createDataFrame([(nodes.where("label = 'Module'").count(),)], "m bigint").select(adaptive_k(F.col("m")).alias("k"))
     at = row.select("k", exploration(F.col("k")).alias("c")).first()
-    found = mcts.search(space, mcts.Settings(iterations=iterations, k=at["k"], exploration=at["c"], results=k))
+    found = mcts.search(space, mcts.Settings(iterations=iterations, k=at["k"], exploration=at["c"], results=k), provider=provider)
     return nodes.join(found.select("node_id", "score", "rank"), "node_id")
 
 

@@ -270,3 +270,16 @@ def test_jobs_from_sources_to_answers(spark, tmp_path, graph):
     assert pipelines.settings("a:\n  b: 1  # remark\n  c:\n    - x\n    - 2\nd: 'text'\n") == {"a": {"b": 1, "c": ["x", 2]}, "d": "text"}
     rows, seconds = pipelines.timed(lambda: found)
     assert len(rows) == 1 and seconds > 0
+
+
+def test_nodes_are_scored_when_they_are_reached():
+    asked = []
+
+    def scorer(ids):
+        asked.extend(ids)
+        return [1.0] * len(ids)
+
+    near = {"r": ["a", "b"], "a": ["c"], "b": ["d"], "d": ["e"]}
+    sim = {k: 0.5 for k in "rabcde"} | {"e": 0.0}
+    s = mcts.Search("r", {k: "Function" for k in sim} | {"r": "Repo"}, near, sim, {}, 100, mcts.Settings(iterations=50, k=1, k_least=1), scorer=scorer)
+    assert {i for i, *_ in s.run()} == {"a", "b", "c", "d"} and sorted(asked) == ["a", "b", "c", "d"]
