@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 from ..functions.vectors import cosine, dot, normalised
 from ..providers import Provider, embedded, scored
 from ..session import written
+from .scoring import asked_words, scorer
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -89,25 +91,42 @@ def term_weights(index: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-#: Query terms that may be broadcast to the index.
+#: Distinct query terms that may be broadcast to the index.
 QUERY_TERMS = 100_000
+#: Words of queries that are sent at once to the tasks that score.
+ASKED_ROWS = 1_000_000
+#: Chunks that a task scores at once, at most and at least.
+MOST_CHUNKS, LEAST_CHUNKS = 65_536, 2_048
 
 
 def bm25(queries: DataFrame, index: DataFrame, corpus: DataFrame, keys: list[str], k: int, query_id: str = "query_id", content: str = "text", digits: int | None = None) -> DataFrame:
     """(query_id, keys, score, rank): the k best chunks with a positive score; a term repeated in a query counts as often.  ``digits``
-    rounds scores (half up, as of the double) before they are ranked.  Only the queries' own terms leave the index."""
+    rounds scores (half up, as of the double) before they are ranked.
+
+    Only the queries' own terms leave the index.  Every hit counts, but none is a row: a task holds the scores of a block of chunks as a
+    vector, adds up a query's terms in it and passes on the query's k best, so what is moved grows with the results."""
+    spark = index.sparkSession
     terms = queries.select(query_id, F.explode(T.bm25_tokens(F.col(content))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = written(terms.join(term_weights(index, corpus), "term"), "asked")
-    few = asked.count() <= QUERY_TERMS
-    sent = lambda df: F.broadcast(df) if few else df
-    words = index.select(*keys, "dl", F.explode("tokens").alias("term")).join(sent(asked.select("term").distinct()), "term", "left_semi")
-    # Placed by chunk once: counting words and summing scores by query then need no further move of the many hits.
-    postings = words.repartition(*keys).groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    hits = postings.join(sent(asked), "term").join(F.broadcast(corpus.select("avgdl")), F.lit(True))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(query_id, *keys).agg(F.sum(part).alias("score"))
-    scores = (scores if digits is None else scores.withColumn("score", F.floor(F.col("score") * 10**digits + 0.5) / 10**digits)).where("score > 0")
-    return top_k(scores, "score", k, *keys, per=query_id)
+    asked = written(terms.join(term_weights(index, corpus), "term").select(query_id, "term", (F.col("times") * F.col("idf")).alias("weight")), "asked")
+    wanted = written(asked.select("term").distinct(), "wanted")
+    words = index.select(*keys, "dl", F.explode("tokens").alias("term")).join(F.broadcast(wanted) if wanted.count() <= QUERY_TERMS else wanted, "term", "left_semi")
+    cores, chunks = spark.sparkContext.defaultParallelism, index.count()
+    blocks = max(1, min(cores * -(-chunks // (cores * MOST_CHUNKS)), chunks // LEAST_CHUNKS))
+    postings = words.repartition(blocks, *keys).groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(corpus.select("avgdl")), F.lit(True))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    held = postings.groupBy(*keys).agg(F.collect_list(F.struct("term", part.alias("part"))).alias("words"))
+    parts = max(1, -(-asked.count() // ASKED_ROWS))
+    if parts > 1:
+        held = written(held, "postings").repartition(blocks, *keys)
+    held = held.sortWithinPartitions(*keys)
+    schema = StructType([StructField(f.name, f.dataType) for f in (asked.schema[query_id], *(index.schema[c] for c in keys))]).add("score", "double")
+
+    def scores(number: int) -> DataFrame:
+        of = asked if parts == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == number)
+        sent = asked_words(of.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("words")), query_id)
+        return held.mapInArrow(scorer(spark.sparkContext.broadcast(sent), query_id, keys, k, digits), schema)
+
+    return top_k(reduce(DataFrame.unionByName, map(scores, range(parts))), "score", k, *keys, per=query_id)
 
 
 def bm25_excluding(ranked: DataFrame, excluded: DataFrame, path: str, k: int, query_id: str = "query_id") -> DataFrame:

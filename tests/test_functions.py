@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,47 @@ def test_bm25_terms_in_most_chunks_keep_a_weight(spark):
     assert [(r["query_id"], r["id"]) for r in retrieval.bm25(q, postings, corpus, ["id"], 5).collect()] == [("q", 1)]
 
 
+def _bm25_by_hand(chunks: list[tuple], queries: list[tuple], k: int, digits: int) -> set[tuple]:
+    """(query, key, score): chunks are (key, text); texts with the same key and length are one, as are queries with the same name."""
+    lengths, df = [len(t.split()) for _, t in chunks], Counter(w for _, t in chunks for w in set(t.split()))
+    raw = {w: math.log(len(chunks) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    tf, asked = Counter((key, len(t.split()), w) for key, t in chunks for w in t.split()), Counter((q, w) for q, t in queries for w in t.split())
+    score: dict[tuple, float] = {}
+    for (key, dl, w), n in tf.items():
+        for q in {q for q, _ in queries}:
+            if times := asked[q, w]:
+                score[q, key] = score.get((q, key), 0) + times * idf[w] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / (sum(lengths) / len(lengths))))
+    rounded = [(q, key, math.floor(s * 10**digits + 0.5) / 10**digits) for (q, key), s in score.items()]
+    return {r for q in {q for q, _ in queries} for r in sorted((r for r in rounded if r[0] == q and r[2] > 0), key=lambda r: (-r[2], r[1]))[:k]}
+
+
+def _lexical_case(spark) -> tuple:
+    """Words from in all chunks to in few; equal texts under other keys and other texts under equal ones; a query without a name."""
+    word = lambda i, j: f"w{int((i * 7919 + j * 104729) % 9973 / 9973 * (j % 13 + 1) ** 1.5)}"
+    chunks = [(i % 590, "all " + " ".join(word(i % 450, j) for j in range(3 + i % 450 % 17))) for i in range(600)]
+    queries = [(None if q == 3 else f"q{q % 97}", " ".join(["all", *(word(q, j) for j in range(q % 6)), *["w1", "w1"] * (q % 3)])) for q in range(100)] + [("none", "unheard")]
+    return chunks, queries, spark.createDataFrame(chunks, "id int, text string"), spark.createDataFrame(queries, "query_id string, text string")
+
+
+def _most_rows(plan) -> int:
+    """The most rows that any step of a finished plan made."""
+    name = plan.nodeName()
+    below = [plan.finalPhysicalPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    rows = plan.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_bm25_makes_no_row_of_a_hit(spark):
+    chunks, queries, c, q = _lexical_case(spark)
+    index, corpus = retrieval.inverted_index(c, ["id"])
+    r = retrieval.bm25(q, index, corpus, ["id"], 5, digits=6)
+    rows = r.collect()
+    assert {(x["query_id"], x["id"], x["score"]) for x in rows} == _bm25_by_hand(chunks, queries, 5, 6) and len(rows) == 5 * 97
+    hits = len(chunks) * len(queries)  # by one word alone
+    assert _most_rows(r._jdf.queryExecution().executedPlan()) <= sum(len(t.split()) for _, t in chunks) < hits / 5
+
+
 def test_budget_ends_at_the_first_overflow(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "pos int, n int")
     assert [r["pos"] for r in retrieval.within_budget(rows, F.col("n"), 10, "pos").collect()] == [1]
