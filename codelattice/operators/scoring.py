@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: A term of over this share of a block's chunks is held as a column of all of them.
-DENSE = 0.25
+DENSE = 0.125
 #: Chunks of which only the best score is looked at first.
 GROUP = 256
 
@@ -36,12 +36,10 @@ def best(score: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.
     peaks = groups.max(axis=1)
     least = np.partition(peaks, len(peaks) - k)[len(peaks) - k] if len(peaks) > k else 0.0
     least -= 0.0 if digits is None else 1.5 * 10.0**-digits
-    if least > 0:
-        near = np.flatnonzero(peaks >= least)
-        row, column = np.nonzero(groups[near] >= least)
-        at = near[row] * GROUP + column
-    else:
-        at = np.flatnonzero(score > 0)
+    near = np.flatnonzero(peaks >= least if least > 0 else peaks > 0)
+    some = groups[near].ravel()
+    within = np.flatnonzero(some >= least if least > 0 else some > 0)
+    at = near[within // GROUP] * GROUP + within % GROUP
     found = score[at]
     if digits is not None:
         found = np.floor(found * 10**digits + 0.5) / 10**digits
@@ -93,22 +91,22 @@ def scorer(shared: Broadcast, query_id: str, keys: list[str], k: int, digits: in
             asked, at, value = (pa.array(np.concatenate(x)) for x in zip(*out))
             return pa.RecordBatch.from_arrays([ids.take(asked), *(t.column(c).chunk(0).take(at) for c in keys), value], names=[query_id, *keys, "score"])
 
-        score, product = np.zeros(size), np.empty(size)
+        # Queries of the same frequent words come one after the other: the sum over those is made once.
+        frequent = [tuple((numbers[j], weights[j]) for j in range(starts[q], starts[q + 1]) if numbers[j] in columns) for q in range(len(ids))]
+        score, base, last = np.zeros(size), np.zeros(size), ()
         out: list[tuple] = []
         rows = 0
-        for q in range(len(ids)):
-            score.fill(0)
-            some = False
-            for j in range(starts[q], starts[q + 1]):
-                if (column := columns.get(numbers[j])) is not None:
-                    np.multiply(column, weights[j], out=product)
-                    np.add(score, product, out=score)
-                elif (found := lists.get(numbers[j])) is not None:
-                    score[found[0]] += found[1] * weights[j]
-                else:
-                    continue
-                some = True
-            if some:
+        for q in sorted(range(len(ids)), key=frequent.__getitem__):
+            if frequent[q] != last:
+                last = frequent[q]
+                base.fill(0)
+                for word, weight in last:
+                    base += columns[word] * weight
+            rare = [(lists[numbers[j]], weights[j]) for j in range(starts[q], starts[q + 1]) if numbers[j] in lists]
+            if last or rare:
+                np.copyto(score, base)
+                for (places, parts), weight in rare:
+                    score[places] += parts * weight
                 at, value = best(score, k, digits)
                 out.append((np.full(len(at), q), at, value))
                 rows += len(at)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codelattice import providers
 from codelattice.functions import ranking, vectors
 from codelattice.functions import text as T
-from codelattice.operators import aggregates, enrich, evaluate, retrieval
+from codelattice.operators import aggregates, enrich, evaluate, retrieval, scoring
+from codelattice.plans import catalogue
 from codelattice.sources import readers, sinks
 from codelattice.streaming import ingest
 
@@ -173,6 +175,36 @@ def test_bm25_makes_no_row_of_a_hit(spark):
     assert _most_rows(r._jdf.queryExecution().executedPlan()) <= sum(len(t.split()) for _, t in chunks) < hits / 5
 
 
+@pytest.mark.parametrize("digits", [6, 1])
+def test_bm25_topk_in_blocks_of_chunks_and_parts_of_queries(spark, monkeypatch, digits):
+    chunks, queries, c, q = _lexical_case(spark)
+    for name, value in (("LEAST_CHUNKS", 100), ("MOST_CHUNKS", 150), ("ASKED_ROWS", 120), ("QUERY_TERMS", 1)):
+        monkeypatch.setattr(retrieval, name, value)
+    index, corpus = retrieval.inverted_index(c, ["id"])
+    rows = retrieval.bm25(q, index, corpus, ["id"], 7, digits=digits).collect()
+    assert {(x["query_id"], x["id"], x["score"]) for x in rows} == _bm25_by_hand(chunks, queries, 7, digits) and len(rows) == 7 * 97
+
+
+def test_bm25_topk_makes_no_row_of_a_hit(spark, tmp_path):
+    chunks, queries, c, q = _lexical_case(spark)
+    c.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit("crawl").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    q.write.parquet(str(tmp_path / "queries.parquet"))
+    r = catalogue.queries()["bm25_topk"](spark, str(tmp_path))
+    assert len(r.collect()) == 5 * 97
+    assert _most_rows(r._jdf.queryExecution().executedPlan()) <= sum(len(t.split()) for _, t in chunks)
+
+
+def test_best_scores_are_the_first_of_equals():
+    for n, k in ((1, 5), (700, 5), (40_000, 15)):
+        values = [(i * 7919 % 1009) / 100 - 3 if i % 3 else 0.0 for i in range(n)]
+        score = np.zeros(-(-n // scoring.GROUP) * scoring.GROUP)
+        score[:n] = values
+        for digits in (None, 1):
+            rounded = values if digits is None else [math.floor(x * 10 + 0.5) / 10 for x in values]
+            at, got = scoring.best(score, k, digits)
+            assert list(zip(at, got)) == sorted(sorted(((i, x) for i, x in enumerate(rounded) if x > 0), key=lambda r: (-r[1], r[0]))[:k])
+
+
 def test_budget_ends_at_the_first_overflow(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 1)], "pos int, n int")
     assert [r["pos"] for r in retrieval.within_budget(rows, F.col("n"), 10, "pos").collect()] == [1]
