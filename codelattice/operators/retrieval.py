@@ -131,8 +131,8 @@ def bm25(queries: DataFrame, index: DataFrame, corpus: DataFrame, keys: list[str
 
 def bm25_excluding(ranked: DataFrame, excluded: DataFrame, path: str, k: int, query_id: str = "query_id") -> DataFrame:
     """Of each query's best 3k chunks those whose path does not end with the query's own file; of them the first k."""
-    own = excluded.select(query_id, F.col("file"))
-    kept = ranked.where(F.col("rank") <= 3 * k).join(own, query_id, "left").where(F.col("file").isNull() | ~F.endswith(path, F.col("file")))
+    own = excluded.select(F.col(query_id).alias("own"), F.col("file"))  # a query without a name has its file too
+    kept = ranked.where(F.col("rank") <= 3 * k).join(own, F.col(query_id).eqNullSafe(F.col("own")), "left").drop("own").where(F.col("file").isNull() | ~F.endswith(path, F.col("file")))
     order = Window.partitionBy(query_id).orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("file")
 

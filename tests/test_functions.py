@@ -194,6 +194,13 @@ def test_bm25_topk_makes_no_row_of_a_hit(spark, tmp_path):
     assert _most_rows(r._jdf.queryExecution().executedPlan()) <= sum(len(t.split()) for _, t in chunks)
 
 
+def test_bm25_excluding_knows_a_query_without_a_name(spark):
+    ranked = spark.createDataFrame([(q, i, f"{d}/crawl" if i < 3 else "web") for q in ("a", None) for i, d in enumerate("wxyz", 1)], "query_id string, rank int, source string")
+    own = spark.createDataFrame([("a", "crawl"), (None, "crawl")], "query_id string, file string")
+    kept = retrieval.bm25_excluding(ranked, own, "source", 2)
+    assert kept.columns == ranked.columns and sorted(map(str, kept.collect())) == sorted(f"Row(query_id={q!r}, rank={i}, source='web')" for q in ("a", None) for i in (1, 2))
+
+
 def test_best_scores_are_the_first_of_equals():
     for n, k in ((1, 5), (700, 5), (40_000, 15)):
         values = [(i * 7919 % 1009) / 100 - 3 if i % 3 else 0.0 for i in range(n)]
